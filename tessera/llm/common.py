@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..deploy import ship
+
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -198,6 +200,12 @@ def ids(col: pa.Array, null: int = -(1 << 63)) -> np.ndarray:
     return np.asarray(col.cast(pa.int64()).fill_null(null))
 
 
+def arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 class Bloom:
     """A bit set of fixed size over integer keys: no key is missed, some others pass.
 
@@ -226,6 +234,7 @@ class Bloom:
         from pyspark.sql import functions as F
 
         words = self._words
+        ship(self._spark)
 
         @F.pandas_udf("boolean")
         def may_hold(h):

@@ -23,4 +23,24 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_rules)}
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), context=2048, end=1, digest=True)
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import store
+
+    return store(table(spark, sf_dir, "documents"), media=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_rules, op5_secrets, op6_packing, op9_media)}
