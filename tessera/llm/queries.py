@@ -43,4 +43,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(table(spark, sf_dir, "documents"), media=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_rules, op5_secrets, op6_packing, op9_media)}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_rules, op5_secrets, op6_packing, op9_media, op10_lm)}
