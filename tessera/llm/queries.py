@@ -49,4 +49,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_rules, op5_secrets, op6_packing, op9_media, op10_lm)}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_rules, op5_secrets, op6_packing, op8_warc, op9_media, op10_lm)}
