@@ -230,7 +230,14 @@ class Bloom:
         self._words = self._spark.sparkContext.broadcast(words)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Rows of ``df`` whose key may be in the set; null keys never are."""
+        """Rows of ``df`` whose key, which must not be null, may be in the set."""
+        return df.where(self._may_hold(name))
+
+    def drop(self, df: DataFrame, name: str) -> DataFrame:
+        """The other rows: their key is certainly not in the set."""
+        return df.where(~self._may_hold(name))
+
+    def _may_hold(self, name: str):
         from pyspark.sql import functions as F
 
         words = self._words
@@ -244,4 +251,4 @@ class Bloom:
             at = np.mod(x, Bloom.bits)
             return pd.Series(((words.value[at >> 6] >> np.mod(x, 64)) & 1).astype(bool))
 
-        return df.where(F.col(name).isNotNull()).where(may_hold(F.xxhash64(F.col(name))))
+        return may_hold(F.xxhash64(F.col(name)))

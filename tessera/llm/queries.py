@@ -49,10 +49,16 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove
+
+    return remove(table(spark, sf_dir, "documents"), k=13)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_rules, op5_secrets, op6_packing, op8_warc, op9_media, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_rules, op5_secrets, op6_packing, op7_substring, op8_warc, op9_media, op10_lm)}
