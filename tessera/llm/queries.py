@@ -16,6 +16,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "source_size", "target", "taken", first).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import join
+
+    return join(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import judge
 
@@ -61,4 +67,4 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_rules, op5_secrets, op6_packing, op7_substring, op8_warc, op9_media, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard, op4_rules, op5_secrets, op6_packing, op7_substring, op8_warc, op9_media, op10_lm)}
