@@ -200,7 +200,7 @@ def ids(col: pa.Array, null: int = -(1 << 63)) -> np.ndarray:
     return np.asarray(col.cast(pa.int64()).fill_null(null))
 
 
-def arrow(df: DataFrame, run, schema: str) -> DataFrame:
+def arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

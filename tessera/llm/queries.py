@@ -22,6 +22,12 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import judge
 
@@ -67,4 +73,4 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard, op4_rules, op5_secrets, op6_packing, op7_substring, op8_warc, op9_media, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard, op3_resampling, op4_rules, op5_secrets, op6_packing, op7_substring, op8_warc, op9_media, op10_lm)}
