@@ -1,4 +1,8 @@
 """Named queries over the panels and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import series
+
+QUERIES: dict = {**series.Q}
+ORACLE_SQL: dict = {**series.S}
