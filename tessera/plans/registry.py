@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import series
+from . import portfolios, series
 
-QUERIES: dict = {**series.Q}
-ORACLE_SQL: dict = {**series.S}
+QUERIES: dict = {**series.Q, **portfolios.Q}
+ORACLE_SQL: dict = {**series.S, **portfolios.S}
+hl_series = portfolios.hl_series

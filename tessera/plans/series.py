@@ -251,7 +251,7 @@ def holding_returns(spark, sf):
 
 @query(sql("ev", """SELECT entity, date, round(close, 6) AS close FROM k UNION ALL
 SELECT a.entity, m.d, round((a.c + b.c) / 2, 6) FROM (SELECT entity, arg_max(close, date) AS c FROM k, m WHERE date < d GROUP BY 1) a JOIN (SELECT entity, arg_min(close, date) AS c FROM k, m WHERE date > d GROUP BY 1) b USING (entity), m""",
-           "m AS (SELECT DATE '2024-01-10' AS d), k AS (SELECT * FROM ev, m WHERE date <> d)"))
+           "m AS (SELECT DATE '2024-01-10' AS d), k AS (SELECT ev.* FROM ev, m WHERE date <> d)"))
 def fill_session(spark, sf):
     gap = ev_daily(spark, sf).where("date <> date'2024-01-10'")
     return rounded(signals.fill_session(gap, "2024-01-10", ("close",)), "close")
@@ -409,10 +409,10 @@ def asof_join(spark, sf):
     return rounded(asof.as_of_join(ev.select("entity", "date", "close"), pred, "p_up"), "close", "p_up")
 
 
-@query(sql("su", "SELECT entity, date, round((open + high + low) / 3, 6) AS p_up FROM su WHERE entity % 3 <> 0 AND vol > 20"))
+@query(sql("su", "SELECT entity, date, round((open / 7 + high / 7 + low / 7) / 3, 6) AS p_up FROM su WHERE entity % 3 <> 0 AND vol > 20"))
 def ensemble_mean(spark, sf):
     su = su_daily(spark, sf)
-    member = lambda c, keep: su.where(keep).select("entity", "date", F.col(c).alias("p_up"))
+    member = lambda c, keep: su.where(keep).select("entity", "date", (F.col(c) / 7).alias("p_up"))
     return rounded(asof.ensemble([member("open", "entity % 3 <> 0"), member("high", "vol > 20"), member("low", "true")]), "p_up")
 
 
