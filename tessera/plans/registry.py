@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import portfolios, series
+from . import models, portfolios, series
 
-QUERIES: dict = {**series.Q, **portfolios.Q}
-ORACLE_SQL: dict = {**series.S, **portfolios.S}
+QUERIES: dict = {**series.Q, **portfolios.Q, **models.Q}
+ORACLE_SQL: dict = {**series.S, **portfolios.S, **models.S}
 hl_series = portfolios.hl_series
