@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A stream of the event files below ``path`` with the schema of what lies there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A stream of the event files below ``path`` with the schema of what lies there; ts becomes an instant."""
+    files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def bars(events: DataFrame, size: str = "1 day", late: str = "1 day", slide: str | None = None) -> DataFrame:
