@@ -159,3 +159,37 @@ def stream_bars(spark, sf):
     from ..streaming.windows import bars
 
     return bars(table(spark, sf, "events")).drop("end")
+
+
+@query()
+def rule_scan(spark, sf):
+    """Every 131st rule, so that all families and variants of note take part; the scan itself takes any list."""
+    from ..operators import rules
+    from .pipelines import rule_scan as scan
+
+    return scan(su_daily(spark, sf), rules.manifest()[::131], 20, 5)
+
+
+@query()
+def benchmark_backtests(spark, sf):
+    from .pipelines import backtests
+
+    d = period_panel(su_daily(spark, sf), "month").withColumn("date", F.col("period"))
+    panels = {n: d.select("entity", "date", F.col(c).alias("signal"), "ret", "cap") for n, c in (("price", "close"), ("volume", "vol"))}
+    return backtests(panels, 20, 5, eval_horizons=(2, 3))
+
+
+@query()
+def holding_breakdown(spark, sf):
+    from .pipelines import holding_breakdown as breakdown
+
+    su = su_daily(spark, sf).withColumns({"r5": compounded("ret", 1, 5), "r20": compounded("ret", 1, 20), "period": F.to_date(F.date_trunc("month", "date"))})
+    last = su.groupBy("entity", "period").agg(F.max_by(F.struct("r5", "r20", "cap", F.col("close").alias("signal")), "date").alias("x")).select("entity", F.col("period").alias("date"), "x.*")
+    return breakdown({"price": last}, "r5", "r20", 5)
+
+
+@query()
+def labelled_images(spark, sf):
+    from .pipelines import build_images
+
+    return build_images(su_daily(spark, sf), (5,), (5,))[5, 5].select("entity", "date", "window", "year", "ret", "label", F.length("image").alias("n_bytes"))

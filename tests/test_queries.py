@@ -15,7 +15,7 @@ def test_matches_sql(spark, name):
     assert differing(spark, SF, registry.QUERIES[name], registry.ORACLE_SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"chart_images_20", "factor_backtest", "top_n_backtest"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"chart_images_20", "factor_backtest", "top_n_backtest", "benchmark_backtests"}))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).columns
 
