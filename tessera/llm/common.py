@@ -7,6 +7,7 @@ Word hashing works on the UTF-8 bytes of a whole Arrow batch at once. A word is
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -21,6 +22,8 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _BLOCK = 1 << 20
+#: Bytes that pass to or from a Python worker at once.
+ARROW_BYTES = str(8 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +51,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, most: int, *keys: str, seed: int = 17) -> DataFrame:
+    """At most ``most`` rows, the same on every run: all of them, or those whose hash lies under a bound set by the count.
+
+    No rows are sorted or gathered to choose; the bound aims a little low, and what passes ``most`` by chance is cut.
+    """
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    if n <= most:
+        return df
+    bound = int(0.97 * most / n * (1 << 40))
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)) < bound).limit(most)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -201,9 +218,25 @@ def ids(col: pa.Array, null: int = -(1 << 63)) -> np.ndarray:
 
 
 def arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand on the executors."""
+    """``df.mapInArrow`` with this package at hand on the executors, over batches of at most ARROW_BYTES."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(limit, None) != ARROW_BYTES:
+        df.sparkSession.conf.set(limit, ARROW_BYTES)
+
+    def tidy(parts):
+        yield from run(parts)
+        release_memory()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release_memory() -> None:
+    """Give memory that this worker no longer uses back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class Bloom:
@@ -251,4 +284,5 @@ class Bloom:
             at = np.mod(x, Bloom.bits)
             return pd.Series(((words.value[at >> 6] >> np.mod(x, 64)) & 1).astype(bool))
 
-        return may_hold(F.xxhash64(F.col(name)))
+        # else the optimizer also applies it to what the rows are joined with
+        return may_hold.asNondeterministic()(F.xxhash64(F.col(name)))
