@@ -79,7 +79,7 @@ def spearman_by_date(spark, sf):
     return rounded(xsection.spearman(panel(spark, sf), "signal", "cap"), "rho")
 
 
-@query(sql("panel", f"""SELECT n, lag, round(mean, 6) AS mean, round(mean / nullif(se, 0), 4) AS t FROM q3""", f"""
+@query(sql("panel", f"""SELECT n, lag, round(mean, 6) AS mean, round(mean / nullif(se, 0), 4) AS t FROM q3 WHERE n IS NOT NULL""", f"""
 r0 AS (SELECT date, count(*) AS n, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS x FROM (SELECT date, {_RANK.format(c='signal')} AS a, {_RANK.format(c='cap')} AS b FROM panel) GROUP BY date HAVING count(*) >= 30),
 q0 AS (SELECT date, x, x - avg(x) OVER () AS e, count(*) OVER () AS n, row_number() OVER (ORDER BY date) AS i FROM r0 WHERE x IS NOT NULL),
 q1 AS (SELECT *, CAST(least(greatest(floor(4 * pow(n / 100.0, 2.0 / 9.0)), 1), n - 1) AS INTEGER) AS lag FROM q0),
