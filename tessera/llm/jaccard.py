@@ -8,8 +8,8 @@ by chance. Segments that hold no token or one say little; a set leaves them out
 which the band's spare segments make the rule. Candidates are verified exactly on the whole sets.
 
 Sets that are equal form classes first, and only classes are joined. A signature that many classes share is a star,
-not a clique: its members are compared with its smallest one, and what that leaves unconnected is compared in full, so
-components are exact. Tasks reduce what they send to one entry per signature.
+not a clique: its members are compared with its smallest one, and what that leaves unconnected is compared with all others, in
+blocks and by sketches first, so components are exact. Tasks reduce what they send to one entry per signature.
 """
 
 from __future__ import annotations
@@ -23,13 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import Bloom, arrow, batches, column, hash_words, materialise, shingle, shuffle_partitions, signed, splitmix, utf8
 from .components import components
-from .substring import LAST, keyed
+from .substring import LAST, expand, keyed, squeeze
 
 _U = np.uint64
 _SALT = _U(0xC2B2AE3D27D4EB4F)
 #: Entries of a share and of a part, about.
-SHARE, PART = 600_000, 2_000_000
+SHARE, PART = 400_000, 1_500_000
 BAND_RATIO = 1.25
+#: Classes at one signature whose pairs are all looked at; beyond, a signature is a crowd.
+CROWD = 24
+#: Members of a crowd that are compared at a time.
+BLOCK = 2000
+WHOLE, HOT, PLAIN = 1, 2, 4
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -99,8 +104,9 @@ class Bands:
         return h, best[1], best[2]
 
     def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of a set, and whether they stand for a whole segment (else one with a token deleted)."""
-        keys, whole = [], []
+        """Keys of a set and their tags: WHOLE (for a whole segment, else one with a token deleted), PLAIN (from a plain
+        segment), the band, and how many plain keys the set can do without, plus one (0: none, it needs all)."""
+        keys, tags = [], []
         for b in self.joined(len(s)):
             h, n0, n1 = self.plan[b]
             if h == 0:
@@ -113,22 +119,40 @@ class Bands:
             size = np.bincount(seg, minlength=m)
             mark = splitmix(salt + np.arange(m, dtype=_U))
             telling = size[:n0] > 1
+            spare = min(int(telling.sum()) + 2 * n1 - (h + 1), 8000)
             take = np.ones(m, bool)
-            if telling.sum() + 2 * n1 > h:
+            if spare >= 0:
                 take[:n0] = telling
+            tag = b << 16 | max(spare + 1, 0) << 3
             keys.append(splitmix(total[take] ^ mark[take]))
-            whole.append(np.ones(int(take.sum()), bool))
+            tags.append(np.where(np.flatnonzero(take) < n0, tag | WHOLE | PLAIN, tag | WHOLE).astype(np.int32))
             if n1:
                 d = seg >= n0
                 keys.append(splitmix((total[seg[d]] - g[d]) ^ mark[seg[d]]))
-                whole.append(np.zeros(int(d.sum()), bool))
+                tags.append(np.full(int(d.sum()), tag, np.int32))
         if not keys:
-            return np.zeros(0, _U), np.zeros(0, bool)
-        return np.concatenate(keys), np.concatenate(whole)
+            return np.zeros(0, _U), np.zeros(0, np.int32)
+        return np.concatenate(keys), np.concatenate(tags)
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's tokens over a power of two of positions, at least one a token. Two sets' sketches differ in
+    at most as many places as the sets differ in tokens."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((splitmix(s ^ _U(0x5851F42D4C957F2D)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """Per row: doc_id, id, mark (see ``keyed``), n_shingles and two 64-bit prints of the set."""
+    """Per row: doc_id, id, mark (see ``keyed``), n_shingles, two 64-bit prints of the set, and its sketch."""
 
     def run(parts):
         for whole in parts:
@@ -136,63 +160,66 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                 sets = _sets(batch, k)
                 prints = [_prints(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id"), column(batch, "id"), column(batch, "mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())],
-                    ["doc_id", "id", "mark", "n_shingles", "cls", "cls2"])
+                    [column(batch, "doc_id"), column(batch, "id"), column(batch, "mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([sketch(x).tobytes() if len(x) else b"" for x in sets], pa.binary())],
+                    ["doc_id", "id", "mark", "n_shingles", "cls", "cls2", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow(keyed(docs), run, f"doc_id {kind}, id long, mark long, n_shingles long, cls long, cls2 long")
+    return arrow(keyed(docs), run, f"doc_id {kind}, id long, mark long, n_shingles long, cls long, cls2 long, sketch binary")
 
 
-def _group(key: np.ndarray, cls: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key, whole segments first, then class; and where keys begin in it."""
-    order = np.lexsort((cls, ~whole, key))
+def _sorted(key, cls, tag):
+    """Order by key, whole segments first, then class, repeats left out; where keys begin; how many each has."""
+    order = np.lexsort((cls, ~tag & WHOLE, key))
+    k, c, w = key[order], cls[order], tag[order] & WHOLE
+    new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])][: len(k)]
+    order = order[new]
     k = key[order]
-    return order, np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
-
+    begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
+    return order, begin, np.diff(np.r_[begin, len(k)])
 
-def _shared(key, cls, whole):
-    """Of sorted groups: which entries lie in a key of several classes."""
-    order, begin = _group(key, cls, whole)
-    size = np.diff(np.r_[begin, len(key)])
-    c = cls[order]
-    several = np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin) if len(key) else np.zeros(0, bool)
-    return order, begin, size, several
 
+def shared_signatures(docs: DataFrame, k: int, bands: Bands, parts: int, most: int = CROWD) -> DataFrame:
+    """kind 0: x, y, two classes that share a signature of at most ``most`` classes. kind 1: x, y, tag: a signature that more
+    share, and each class at it. Rows may repeat.
 
-def shared_signatures(docs: DataFrame, k: int, bands: Bands, parts: int) -> DataFrame:
-    """key, cls, whole: every class at every signature that it shares with another class. Rows may repeat."""
+    A share sends a crowded signature's first class to the signature's part, marked, and its other classes elsewhere, so
+    no task gathers a crowd.
+    """
 
     def flush(held):
-        key, cls, whole = (np.concatenate(x) for x in zip(*held))
+        key, cls, tag = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        order, begin, size, several = _shared(key, cls, whole)
-        in_several = np.repeat(several, size)
-        # to the others goes the first whole and the first deleted entry of each key; a share's own groups stay rows
-        w = whole[order]
+        order, begin, size = _sorted(key, cls, tag)
+        key, cls, tag = key[order], cls[order], tag[order]
+        crowd = np.repeat(size > most, size)
         first = np.zeros(len(key), bool)
         first[begin] = True
-        first[1:] |= w[:-1] & ~w[1:]
-        part = ((key >> _U(32)) % _U(parts)).astype(np.int64)
-        for kind, pick in ((0, order[first]), (1, order[in_several])):
-            pick = pick[np.argsort(part[pick], kind="stable")]
+        tag = np.where(crowd, tag | HOT, tag)
+        away = crowd & ~first
+        part = (np.where(away, splitmix(cls.view(_U)), key) >> _U(32)) % _U(parts)
+        part = part.astype(np.int64)
+        for kind, pick in ((0, np.flatnonzero(~away)), (1, np.flatnonzero(away))):
+            pick = pick[np.lexsort((cls[pick], part[pick]))]
             p = part[pick]
             bounds = np.flatnonzero(np.r_[True, p[1:] != p[:-1]][: len(p)])
             for a, b in zip(bounds, np.r_[bounds[1:], len(p)]):
                 t = pick[a:b]
-                yield int(p[a]), kind, key[t].tobytes(), cls[t].tobytes(), np.packbits(whole[t]).tobytes()
+                names, at = np.unique(cls[t], return_inverse=True)
+                yield int(p[a]), kind, key[t].tobytes(), names.tobytes(), squeeze(np.diff(at.astype(np.int32), prepend=np.int32(0)), tag[t])
+
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
     def rows(found):
-        held, size = [[] for _ in range(5)], 0
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        held, size = [[] for _ in kinds], 0
         for row in found:
             for c, x in zip(held, row):
                 c.append(x)
             size += sum(map(len, row[2:]))
             if size > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds)], ["part", "kind", "keys", "cls", "whole"])
-                held, size = [[] for _ in range(5)], 0
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds)], ["part", "kind", "keys", "names", "meta"])
+                held, size = [[] for _ in kinds], 0
         if held[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds)], ["part", "kind", "keys", "cls", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, kinds)], ["part", "kind", "keys", "names", "meta"])
 
     def run(whole_parts):
         held, size, seen = [], 0, set()
@@ -205,10 +232,10 @@ def shared_signatures(docs: DataFrame, k: int, bands: Bands, parts: int) -> Data
                     if c in seen:
                         continue
                     seen.add(c)
-                    keys, whole = bands.signatures(s)
+                    keys, tags = bands.signatures(s)
                     if len(keys) == 0:
                         continue
-                    held.append((keys, np.full(len(keys), c, np.int64), whole))
+                    held.append((keys, np.full(len(keys), c, np.int64), tags))
                     size += len(keys)
                     if size >= SHARE:
                         yield from rows(flush(held))
@@ -218,26 +245,88 @@ def shared_signatures(docs: DataFrame, k: int, bands: Bands, parts: int) -> Data
             yield from rows(flush(held))
 
     def merge(table: pa.Table) -> pa.Table:
-        key, cls, whole, out = [], [], [], []
-        for kind, a, c, w in zip(*(table[n].to_pylist() for n in ("kind", "keys", "cls", "whole"))):
-            a, c = np.frombuffer(a, _U), np.frombuffer(c, np.int64)
-            w = np.unpackbits(np.frombuffer(w, np.uint8), count=len(a)).astype(bool)
+        key, cls, tag, out = [], [], [], []
+        for kind, a, names, meta in zip(*(table[n].to_pylist() for n in ("kind", "keys", "names", "meta"))):
+            at, t = expand(meta)
+            a, c = np.frombuffer(a, _U), np.frombuffer(names, np.int64)[np.cumsum(at)]
             if kind == 1:
-                out.append((a, c, w))
+                out.append((np.ones(len(a), np.int32), signed(a), c, t))
             else:
                 key.append(a)
                 cls.append(c)
-                whole.append(w)
+                tag.append(t)
         if key:
-            key, cls, whole = np.concatenate(key), np.concatenate(cls), np.concatenate(whole)
-            order, begin, size, several = _shared(key, cls, whole)
-            t = order[np.repeat(several, size)]
-            out.append((key[t], cls[t], whole[t]))
-        a, c, w = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool))
-        return pa.table({"key": pa.array(signed(a)), "cls": pa.array(c), "whole": pa.array(w)})
+            key, cls, tag = np.concatenate(key), np.concatenate(cls), np.concatenate(tag)
+            order, begin, size = _sorted(key, cls, tag)
+            key, cls, tag = key[order], cls[order], tag[order]
+            crowd = (size > most) | (np.bitwise_or.reduceat(tag, begin) & HOT > 0)
+            hot = np.repeat(crowd, size)
+            out.append((np.ones(int(hot.sum()), np.int32), signed(key[hot]), cls[hot], tag[hot]))
+            few = np.flatnonzero(np.repeat(~crowd & (size > 1), size))
+            key, cls, tag = key[few], cls[few], tag[few]
+            for d in range(1, most):
+                i = np.arange(max(len(key) - d, 0))
+                i = i[(key[i] == key[i + d])]
+                if not len(i):
+                    break
+                # whole ones come first: the second alone may be one with a token deleted
+                i = i[(cls[i] != cls[i + d]) & (tag[i] & WHOLE > 0)]
+                pairs = np.unique(np.stack([np.minimum(cls[i], cls[i + d]), np.maximum(cls[i], cls[i + d])]), axis=1)
+                out.append((np.zeros(pairs.shape[1], np.int32), pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int32)))
+        n, x, y, t = (np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return pa.table({"kind": pa.array(n), "x": pa.array(x), "y": pa.array(y), "tag": pa.array(t)})
+
+    entries = arrow(docs.select("text"), run, "part int, kind int, keys binary, names binary, meta binary").repartition(parts, "part")
+    return entries.groupBy("part").applyInArrow(merge, "kind int, x long, y long, tag int")
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches allow a link; exact, since sketches never differ in more places than sets."""
 
-    entries = arrow(docs.select("text"), run, "part int, kind int, keys binary, cls binary, whole binary").repartition(parts, "part")
-    return entries.groupBy("part").applyInArrow(merge, "key long, cls long, whole boolean")
+    def run(parts):
+        for batch in parts:
+            keep = []
+            for x, y, n, m in zip(column(batch, "sa"), column(batch, "sb"), column(batch, "na").to_pylist(), column(batch, "nb").to_pylist()):
+                keep.append(sketch_distance(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) * (den + num) <= (den - num) * (n + m))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], ["a", "b"])
+
+    side = lambda c, s, n: classes.select(F.col("cls").alias(c), F.col("sketch").alias(s), F.col("n_shingles").alias(n))
+    both = pairs.join(side("b", "sb", "nb"), "b").join(side("a", "sa", "na"), "a")
+    both = both.where(num * F.greatest("na", "nb") <= den * F.least("na", "nb"))
+    return arrow(both.select("a", "b", "sa", "sb", "na", "nb"), run, "a long, b long").distinct()
+
+
+def _apart(mixed: DataFrame, classes: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Plausible pairs (a, b) of a crowd's members outside its main component with all members of other components.
+
+    ``mixed`` has key, cls, root, whole and main. Both sides are dealt into blocks, so no crowd meets in one task, and a
+    pair of blocks is compared on sketches: no row is made for a pair that they exclude.
+    """
+    sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("rows"), F.ceil(F.count(F.when(F.col("root") != F.col("main"), 1)) / block).cast("int").alias("outer"))
+    d = mixed.join(sizes, "key").join(classes.select("cls", "sketch", "n_shingles"), "cls")
+    mine = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    columns = ["cls", "root", "whole", "sketch", "n_shingles"]
+    all_ = d.select("key", mine("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("j"), F.lit(False).alias("out"), *columns)
+    outer = d.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), mine("outer").alias("j"), F.lit(True).alias("out"), *columns)
+
+    def compare(table: pa.Table) -> pa.Table:
+        out = np.asarray(table["out"].combine_chunks())
+        cls, root, n = (np.asarray(table[c].combine_chunks()) for c in ("cls", "root", "n_shingles"))
+        whole = np.asarray(table["whole"].combine_chunks())
+        sketches = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["sketch"].combine_chunks()]
+        width = min(map(len, sketches))
+        flat = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in sketches]).view(np.uint64)
+        members = np.flatnonzero(~out)
+        found = [np.zeros((2, 0), np.int64)]
+        for u in np.flatnonzero(out):
+            far = np.bitwise_count(flat[members] ^ flat[u]).sum(axis=1, dtype=np.int64)
+            m = members[(far * (den + num) <= (den - num) * (n[members] + n[u])) & (root[members] != root[u]) & (whole[members] | whole[u]) & (num * np.maximum(n[members], n[u]) <= den * np.minimum(n[members], n[u]))]
+            found.append(np.stack([np.minimum(cls[m], cls[u]), np.maximum(cls[m], cls[u])]))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return all_.unionByName(outer).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -274,7 +363,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num
     return arrow(both.select("a", "b", "sa", "sb"), test, "a long, b long")
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, crowd: int = CROWD) -> DataFrame:
     """Per row: doc_id, id, mark, n_shingles, component_id (smallest doc_id reachable by links).
 
     Two documents are linked if ``den`` times what their sets of ``k``-word shingles share is at least ``num`` times
@@ -287,7 +376,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     """
     spark = docs.sparkSession
     rows = materialise(describe(docs, k))
-    classes = materialise(rows.where("n_shingles > 0").groupBy("cls", "cls2", "n_shingles").agg(F.min("id").alias("rep")))
+    classes = materialise(rows.where("n_shingles > 0").groupBy("cls", "cls2", "n_shingles").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")))
     plain = Bands(num, den)
     band = F.lit(0)
     top = classes.agg(F.max("n_shingles")).first()[0] or 0
@@ -298,27 +387,30 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     bands = Bands(num, den, {r.band: r.n for r in stats})
     entries = sum(r.n * sum(bands.plan[b][1] + bands.plan[b][2] * (1 + r.tokens / r.n / max(1, sum(bands.plan[b][1:]))) for b in bands.joined(int(r.tokens / r.n))) for r in stats)
     parts = max(shuffle_partitions(spark), math.ceil(entries / PART))
-    at = shared_signatures(docs, k, bands, parts)
-    at = materialise(at.join(classes.select("cls", "rep", "n_shingles"), "cls"))
-    smallest = lambda: F.min(F.when(F.col("whole"), F.struct("rep", "cls", "n_shingles")))
-    centres = at.groupBy("key").agg(smallest().alias("c"), F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y and c is not null").select("key", "c")
-    fits = lambda m, n: num * F.greatest(m, n) <= den * F.least(m, n)
+    at = materialise(shared_signatures(docs, k, bands, parts, crowd))
+    # a set that can do without its crowded signatures leaves them
+    crowded = at.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("cls"), F.col("tag").bitwiseAND(F.lit(~HOT)).alias("tag")).distinct()
+    crowded = crowded.select("key", "cls", (F.col("tag").bitwiseAND(F.lit(WHOLE)) > 0).alias("whole"), (F.col("tag").bitwiseAND(F.lit(PLAIN)) > 0).alias("plain"),
+                             F.shiftright("tag", 16).alias("band"), F.shiftright(F.col("tag").bitwiseAND(F.lit(0xFFFF)), 3).alias("spare"))
+    crowded = materialise(crowded)
+    free = crowded.where("plain").groupBy("cls", "band").agg(F.count("*").alias("n"), F.max("spare").alias("spare")).where("n < spare").select("cls", "band", F.lit(True).alias("free"))
+    crowded = materialise(crowded.join(free, ["cls", "band"], "left").where("free is null or not plain").select("key", "cls", "whole"))
+    # of a crowd, its first member is compared with all; of the others, all pairs
+    centres = crowded.groupBy("key").agg(F.min(F.when(F.col("whole"), F.col("cls"))).alias("c"))
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    stars = at.join(centres, "key").where((F.col("cls") != F.col("c.cls")) & fits(F.col("n_shingles"), F.col("c.n_shingles")))
-    stars = materialise(stars.select(*ordered(F.col("cls"), F.col("c.cls"))).distinct())
-    edges = materialise(_verified(docs, stars, classes, k, num, den))
+    stars = crowded.join(centres, "key").where(F.col("cls") != F.col("c")).select(*ordered(F.col("cls"), F.col("c")))
+    first = at.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(stars).distinct()
+    edges = materialise(_verified(docs, materialise(_plausible(first, classes, num, den)), classes, k, num, den))
     labels = components(edges)
-    # what the stars left apart: members outside the largest component of their signature, against all others in it
-    placed = at.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    placed = materialise(placed.join(centres.select("key"), "key", "left_semi").distinct())
+    # what the stars left apart: members outside the largest component of their crowd, against all others in it
+    placed = crowded.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     of_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = of_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("m.root").alias("main"))
-    mixed = placed.join(main, "key")
-    few = mixed.where("root <> main").select("key", *(F.col(c).alias(f"f_{c}") for c in ("cls", "root", "whole", "n_shingles")))
-    more = few.join(mixed, "key").where((F.col("root") != F.col("f_root")) & (F.col("whole") | F.col("f_whole")) & fits(F.col("n_shingles"), F.col("f_n_shingles")))
-    more = materialise(more.select(*ordered(F.col("cls"), F.col("f_cls"))).distinct().join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        labels = components(edges.unionByName(_verified(docs, more, classes, k, num, den)))
+    mixed = materialise(placed.join(main, "key"))
+    if not mixed.isEmpty():
+        more = materialise(_apart(mixed, classes, num, den).join(first, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            labels = components(edges.unionByName(_verified(docs, more, classes, k, num, den)))
     named = classes.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest_of = named.groupBy("root").agg(F.min("rep").alias("component"))
     named = named.join(smallest_of, "root").select("cls", "cls2", "n_shingles", "component")
@@ -328,9 +420,18 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
 
 
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id, and of repeated rows one."""
-    found = join(docs, k, num, den)
-    stays = found.groupBy(F.coalesce(F.col("component_id").cast("long"), F.col("id")).alias("component"), F.when(F.col("n_shingles") == 0, F.col("mark")).alias("empty")).agg(F.min(F.struct("id", "mark")).alias("s"))
+    """``docs`` with one document of each component: that with the smallest doc_id, and of repeated rows one.
+
+    Documents without words are groups of their own, by text. Only documents that may have to go are shuffled.
+    """
+    found = materialise(join(docs, k, num, den))
+    component = F.coalesce(F.col("component_id").cast("long"), F.col("id"))
+    stays = found.groupBy(component.alias("component"), F.when(F.col("n_shingles") == 0, F.col("mark")).alias("empty")).agg(F.min(F.struct("id", "mark")).alias("s"), F.count("*").alias("n"))
+    groups = found.select(component.alias("component"), F.when(F.col("n_shingles") == 0, F.col("mark")).alias("empty"), "id")
+    several = stays.where("n > 1")
+    touched = Bloom(groups.join(several, groups["component"].eqNullSafe(several["component"]) & groups["empty"].eqNullSafe(several["empty"]), "left_semi").select("id").distinct(), "id")
     stays = stays.select(F.col("s.id").alias("__id"), F.col("s.mark").alias("__mark")).distinct()
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__mark", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return rows.join(stays, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"]).select(*docs.columns)
+    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    looked_at = touched.keep(rows, "__id").withColumn("__mark", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
+    kept = looked_at.join(stays, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
+    return kept.select(*docs.columns).unionByName(touched.drop(rows, "__id").select(*docs.columns))
