@@ -297,11 +297,12 @@ def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Data
     return arrow(both.select("a", "b", "sa", "sb", "na", "nb"), run, "a long, b long").distinct()
 
 
-def _apart(mixed: DataFrame, classes: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+def _apart(mixed: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool, block: int = BLOCK) -> DataFrame:
     """Plausible pairs (a, b) of a crowd's members outside its main component with all members of other components.
 
     ``mixed`` has key, cls, root, whole and main. Both sides are dealt into blocks, so no crowd meets in one task, and a
-    pair of blocks is compared on sketches: no row is made for a pair that they exclude.
+    pair of blocks is compared on sketches: no row is made for a pair that they exclude. ``nearest``: of each other
+    component only the member whose sketch is nearest.
     """
     sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("rows"), F.ceil(F.count(F.when(F.col("root") != F.col("main"), 1)) / block).cast("int").alias("outer"))
     d = mixed.join(sizes, "key").join(classes.select("cls", "sketch", "n_shingles"), "cls")
@@ -322,6 +323,9 @@ def _apart(mixed: DataFrame, classes: DataFrame, num: int, den: int, block: int
         for u in np.flatnonzero(out):
             far = np.bitwise_count(flat[members] ^ flat[u]).sum(axis=1, dtype=np.int64)
             m = members[(far * (den + num) <= (den - num) * (n[members] + n[u])) & (root[members] != root[u]) & (whole[members] | whole[u]) & (num * np.maximum(n[members], n[u]) <= den * np.minimum(n[members], n[u]))]
+            if nearest and len(m):
+                order = np.argsort(np.bitwise_count(flat[m] ^ flat[u]).sum(axis=1, dtype=np.int64), kind="stable")
+                m = m[order[np.unique(root[m][order], return_index=True)[1]]]
             found.append(np.stack([np.minimum(cls[m], cls[u]), np.maximum(cls[m], cls[u])]))
         a, b = np.concatenate(found, axis=1)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
@@ -399,18 +403,23 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, crowd: int
     centres = crowded.groupBy("key").agg(F.min(F.when(F.col("whole"), F.col("cls"))).alias("c"))
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     stars = crowded.join(centres, "key").where(F.col("cls") != F.col("c")).select(*ordered(F.col("cls"), F.col("c")))
-    first = at.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(stars).distinct()
+    first = materialise(at.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(stars).distinct())
     edges = materialise(_verified(docs, materialise(_plausible(first, classes, num, den)), classes, k, num, den))
     labels = components(edges)
-    # what the stars left apart: members outside the largest component of their crowd, against all others in it
-    placed = crowded.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    of_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = of_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("m.root").alias("main"))
-    mixed = materialise(placed.join(main, "key"))
-    if not mixed.isEmpty():
-        more = materialise(_apart(mixed, classes, num, den).join(first, ["a", "b"], "left_anti"))
+    # what the stars left apart: members outside the largest component of their crowd, with the nearest member of each
+    # other one, which joins most of them; then what is still apart with all members of others
+    for nearest in (True, False):
+        placed = crowded.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        of_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+        main = of_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("m.root").alias("main"))
+        mixed = materialise(placed.join(main, "key"))
+        if mixed.isEmpty():
+            break
+        more = materialise(_apart(mixed, classes, num, den, nearest).join(first, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            labels = components(edges.unionByName(_verified(docs, more, classes, k, num, den)))
+            first = first.unionByName(more)
+            edges = materialise(edges.unionByName(_verified(docs, more, classes, k, num, den)))
+            labels = components(edges)
     named = classes.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest_of = named.groupBy("root").agg(F.min("rep").alias("component"))
     named = named.join(smallest_of, "root").select("cls", "cls2", "n_shingles", "component")
