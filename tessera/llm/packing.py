@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow, batches, column, materialise
 
-#: Words whose tokens a Python worker remembers, at most.
-REMEMBERED = 800_000
+#: Words whose tokens a Python worker remembers between batches, about; half as many more wait to come up again.
+REMEMBERED = 280_000
 END = 1
-_WORDS: dict[str, dict[bytes, bytes]] = {}
+_WORDS: dict[str, _Known] = {}
 
 
 def _tokenizer(path: str):
@@ -30,6 +30,29 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Known(dict):
+    """Tokens of words that came up in more than one batch; those of newer words wait beside it to come up again."""
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.young[word]
+
+    def unknown(self, words: set[bytes]) -> list[bytes]:
+        """Of words that are not in the dictionary, those that nothing is known of; the others move up."""
+        if len(self.young) > REMEMBERED // 2:
+            self.young.clear()
+        out = []
+        for w in words:
+            ids = self.young.pop(w, None)
+            if ids is None:
+                out.append(w)
+            else:
+                self[w] = ids
+        return out
+
+
 class _Encoder:
     """Token ids, little-endian unsigned 32-bit, of texts whose words (parted by ASCII white space) are encoded alone.
 
@@ -38,20 +61,19 @@ class _Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.known = _WORDS.setdefault(path, {})
+        self.known = _WORDS.setdefault(path, _Known())
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) > REMEMBERED:
             known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        words = known.unknown({w for row in split for w in row if w not in known})
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+                known.young[w] = np.asarray(e.ids, "<u4").tobytes()
+        return [b"".join(map(known.__getitem__, row)) for row in split]
 
 
 def lengths(n: int, context: int) -> list[int]:
