@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, batches, column, hash_words, materialise, shingle, splitmix, text_hash, utf8
+from .common import arrow, batches, column, hash_words, hashed_sample, materialise, shingle, splitmix, text_hash, utf8
 
 _U = np.uint64
 BITS = 16
@@ -39,9 +39,9 @@ def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled(labels: DataFrame, most: int = LABELS) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and labels (1 good, 0 bad), sorted by id; beyond ``most``, those first by a hash of the id."""
+    """Ids and labels (1 good, 0 bad), sorted by id; beyond ``most``, those under a bound by a hash of the id."""
     rows = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("q"))
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toArrow()
+    got = hashed_sample(rows, most, "doc_id").toArrow()
     if got.num_rows == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, q = np.asarray(got["doc_id"].combine_chunks()), np.asarray(got["q"].combine_chunks())

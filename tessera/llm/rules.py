@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hashed_sample, materialise
 
 #: Labelled rows that a decision list is learned from, at most.
 SAMPLE = 20_000
@@ -89,11 +89,11 @@ def contingency(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, bins:
     """Thresholds by feature, and (bins, held out, label, count) of at most ``sample`` labelled rows.
 
     Labels are ``doc_id`` and ``quality`` (1 good, 0 bad); rows without either are left out. Beyond ``sample`` rows,
-    those that come first by a hash of doc_id are taken.
+    those under a bound by a hash of doc_id are taken.
     """
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
     rows = stats.where("doc_id is not null").select("doc_id", *FEATURES).join(lab, "doc_id")
-    rows = materialise(rows.withColumn("__o", F.xxhash64("doc_id", F.lit(17))).orderBy("__o").limit(sample))
+    rows = materialise(hashed_sample(rows, sample, "doc_id").withColumn("__o", F.xxhash64("doc_id", F.lit(5))))
     at = [i / bins for i in range(1, bins)]
     quantiles = rows.groupBy("y").agg(*(F.percentile_approx(f, at, 2000).alias(f) for f in FEATURES)).collect()
     thresholds = {f: sorted({0.0, *(v for r in quantiles for v in r[f] or ())}) for f in FEATURES}

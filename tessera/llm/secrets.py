@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import arrow, batches, column
+from .common import arrow, batches, column, hashed_sample
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -29,8 +29,8 @@ _HINTS = ("pass", "secret", "token", "api")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 _PLACE = np.full(128, len(_ALPHABET), np.int64)
 _PLACE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
-#: Documents whose words are the ordinary samples, at most, and samples taken from them, at most.
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 100_000
+#: Documents whose words are the ordinary samples, samples taken from them, and from one of them, at most.
+SAMPLE_DOCS, SAMPLE_WORDS, WORDS_OF_ONE = 400, 100_000, 2000
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -86,15 +86,15 @@ def random_strings(n: int = 4000, seed: int = 5) -> list[str]:
 
 
 def ordinary_strings(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_words: int = SAMPLE_WORDS) -> list[str]:
-    """Labelled samples of the second kind: words of those documents that come first by a hash of their text, without
-    what the patterns match."""
-    rows = docs.where("length(text) > 0").select(F.substring("text", 1, 20_000).alias("text"), F.xxhash64("text", F.lit(3)).alias("o"))
+    """Labelled samples of the second kind: words of at most ``most_docs`` documents, chosen by a hash of their text,
+    without what the patterns match."""
+    rows = hashed_sample(docs.where("length(text) > 0").select("text"), most_docs, "text", seed=3)
     out: list[str] = []
-    for r in rows.orderBy("o").limit(most_docs).collect():
+    for r in rows.collect():
         text = r.text
         for _, a, b in sorted(base_spans(text), key=lambda s: -s[1]):
             text = text[:a] + " " + text[b:]
-        out += [w for w in re.findall(r"[A-Za-z0-9+/_=.-]{4,}", text) if not any(c.isdigit() for c in w) or len(w) < 16]
+        out += [w for w in re.findall(r"[A-Za-z0-9+/_=.-]{4,}", text) if not any(c.isdigit() for c in w) or len(w) < 16][:WORDS_OF_ONE]
     return out[:most_words]
 
 
