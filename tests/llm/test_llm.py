@@ -181,6 +181,26 @@ def test_resampling_separates(spark):
     assert resampling.keep(d, lab).count() == sum(r.kept for r in got)
 
 
+def test_resampling_compares_documents_of_all_lengths(spark):
+    rng = random.Random(4)
+    good, bad = "the of and to erth onst ti ing bles that from with".split(), "%%% $$$ ### !!! ***".split()
+    rows, labels = [], []
+    sets_cut = resampling._holds_back(np.arange(600))
+    for i in range(600):
+        junk = i % 3 == 0
+        n = (12, 40, 200, 4000)[i % 4]
+        # long good documents that set the cut are atypical: some of their words are otherwise met in bad ones only
+        rate = 0.9 if junk else 0.3 if n == 4000 and sets_cut[i] else 0.0
+        rows.append((i, " ".join(rng.choice(bad if rng.random() < rate else good) for _ in range(n)), "s"))
+        labels.append((i, int(not junk), 0))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in resampling.classify(corpus(spark, rows), lab).collect()}
+    for j in range(4):
+        assert sum(kept[i] for i in range(j, 600, 4) if i % 3 == 0) <= 2
+        assert sum(kept[i] for i in range(j, 600, 4) if i % 3) >= 90
+    assert sum(kept[i] for i in range(600) if i % 3) >= 390
+
+
 def _statistics(text):
     w = words(text)
     seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
