@@ -152,7 +152,7 @@ def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """Per row: doc_id, id, mark (see ``keyed``), n_shingles, two 64-bit prints of the set, and its sketch."""
+    """Per row: doc_id, id (see ``keyed``), mark (the text's hash, 64 bits: all rows without a doc_id share an id), n_shingles, two 64-bit prints of the set, and its sketch."""
 
     def run(parts):
         for whole in parts:
@@ -164,7 +164,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "id", "mark", "n_shingles", "cls", "cls2", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow(keyed(docs), run, f"doc_id {kind}, id long, mark long, n_shingles long, cls long, cls2 long, sketch binary")
+    return arrow(keyed(docs).withColumn("mark", F.xxhash64("text")), run, f"doc_id {kind}, id long, mark long, n_shingles long, cls long, cls2 long, sketch binary")
 
 
 def _sorted(key, cls, tag):
@@ -368,7 +368,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, crowd: int = CROWD) -> DataFrame:
-    """Per row: doc_id, id, mark, n_shingles, component_id (smallest doc_id reachable by links).
+    """Per row: doc_id, id, mark, n_shingles, component_id (smallest doc_id reachable by links), root (of the component
+    itself: components without a doc_id, or with one in common, differ in it; null where there are no words).
 
     Two documents are linked if ``den`` times what their sets of ``k``-word shingles share is at least ``num`` times
     their union. Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.
@@ -422,10 +423,10 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, crowd: int
             labels = components(edges)
     named = classes.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest_of = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = named.join(smallest_of, "root").select("cls", "cls2", "n_shingles", "component")
+    named = named.join(smallest_of, "root").select("cls", "cls2", "n_shingles", "component", "root")
     kind = docs.schema["doc_id"].dataType
     out = rows.join(named, ["cls", "cls2", "n_shingles"], "left").withColumn("component", F.coalesce("component", "id"))
-    return out.select("doc_id", "id", "mark", "n_shingles", F.when(F.col("component") < F.lit(LAST), F.col("component")).cast(kind).alias("component_id"))
+    return out.select("doc_id", "id", "mark", "n_shingles", F.when(F.col("component") < F.lit(LAST), F.col("component")).cast(kind).alias("component_id"), "root")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -434,13 +435,13 @@ def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     Documents without words are groups of their own, by text. Only documents that may have to go are shuffled.
     """
     found = materialise(join(docs, k, num, den))
-    component = F.coalesce(F.col("component_id").cast("long"), F.col("id"))
+    component = F.coalesce("root", "id")
     stays = found.groupBy(component.alias("component"), F.when(F.col("n_shingles") == 0, F.col("mark")).alias("empty")).agg(F.min(F.struct("id", "mark")).alias("s"), F.count("*").alias("n"))
     groups = found.select(component.alias("component"), F.when(F.col("n_shingles") == 0, F.col("mark")).alias("empty"), "id")
     several = stays.where("n > 1")
     touched = Bloom(groups.join(several, groups["component"].eqNullSafe(several["component"]) & groups["empty"].eqNullSafe(several["empty"]), "left_semi").select("id").distinct(), "id")
     stays = stays.select(F.col("s.id").alias("__id"), F.col("s.mark").alias("__mark")).distinct()
     rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    looked_at = touched.keep(rows, "__id").withColumn("__mark", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
+    looked_at = touched.keep(rows, "__id").withColumn("__mark", F.xxhash64("text"))
     kept = looked_at.join(stays, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
     return kept.select(*docs.columns).unionByName(touched.drop(rows, "__id").select(*docs.columns))

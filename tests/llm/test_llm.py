@@ -130,6 +130,14 @@ def test_deduplicate_keeps_one_of_each(spark):
     assert len([r for r in kept if words(r.text)]) == len(want)
 
 
+def test_deduplicate_keeps_unlinked_texts_without_or_with_a_shared_id(spark):
+    text = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, text("a"), "s"), (None, text("b"), "s"), (None, text("b") + " more", "s"), (None, text("b"), "s"), (None, "", "s"), (None, None, "s"),
+            (5, text("c"), "s"), (5, text("d"), "s"), (9, text("d") + " more", "s"), (8, text("e"), "s"), (3, text("e") + " more", "s"), (8, text("f"), "s"), (8, text("f").upper(), "s")]
+    kept = Counter((r.doc_id, (r.text or "")[:1].lower()) for r in jaccard.deduplicate(corpus(spark, rows)).collect())
+    assert kept == Counter({(None, "a"): 1, (None, "b"): 1, (None, ""): 2, (5, "c"): 1, (5, "d"): 1, (3, "e"): 1, (8, "f"): 1})
+
+
 def test_sketches_never_exceed_differences():
     rng = np.random.default_rng(0)
     for _ in range(50):
