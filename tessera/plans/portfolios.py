@@ -209,9 +209,7 @@ def rule_positions_kernel(spark, sf):
 
 
 def _sequential():
-    kinds = [("FR", "simple"), ("FR", "neutral"), ("FR", "hold"), ("MA", "cross_hold"), ("SR", "range_hold"), ("SR", "range_stop"), ("CB", "breakout_hold"), ("OBV", "single_hold")]
-    every = rules.manifest()
-    return [r for k in kinds for r in [x for x in every if (x.family, x.variant) == k][:3]]
+    return [r for r in rules.manifest() if not rules.native(r)]
 
 
 @query()

@@ -97,6 +97,18 @@ def test_logit_by_date_and_skips(spark):
     assert {r.date for r in got} == set(d[:2]) and all(0 < r.beta < 3 for r in got if r.term == "x")
 
 
+def test_rule_queries_take_all_rules(spark, monkeypatch):
+    from tessera.plans import pipelines, registry
+
+    taken = []
+    monkeypatch.setattr(pipelines, "rule_scan", lambda panel, chosen, *a: taken.extend(chosen))
+    registry.QUERIES["rule_scan"](spark, "/root/testdata/sf0.001")
+    assert taken == rules.manifest()
+    got = registry.QUERIES["rule_positions_sequential"](spark, "/root/testdata/sf0.001").groupBy("rule_id").count().collect()
+    assert {r.rule_id for r in got} == {r.rule_id for r in rules.manifest() if not rules.native(r)}
+    assert len({r["count"] for r in got}) == 1
+
+
 def test_manifest():
     m = rules.manifest()
     assert [r.rule_id for r in m] == list(range(1, 7847)) and m[0].name == "STW_0001_FR_simple_x0p005" and len({r.name for r in m}) == 7846
