@@ -24,6 +24,7 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _BLOCK = 1 << 20
 #: Bytes that pass to or from a Python worker at once.
 ARROW_BYTES = str(8 << 20)
+_LOCAL: dict[str, str | None] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a fresh one on this
+    machine if Spark runs on it alone; on a cluster that would be lost with an executor, so it raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = _LOCAL.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="tessera-")
+        _LOCAL[spark.sparkContext.applicationId] = where
     return where
 
 
@@ -51,18 +55,35 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hashed_sample(df: DataFrame, most: int, *keys: str, seed: int = 17) -> DataFrame:
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``by_key``, which has each key once and n, how many rows it may meet; n is left out.
+
+    Keys with over a ``share``-th of the sum of n, which are fewer than ``share``, are broadcast: their rows are not
+    shuffled, so that none of them gathers in one task. The others are joined as usual.
+    """
+    from pyspark.sql import functions as F
+
+    total = by_key.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(by_key.where(F.col("n") * share > total).drop("n"))
+    there = rows.join(hot, key)
+    rest = rows.join(hot.select(key), key, "left_anti").join(by_key.where(F.col("n") * share <= total).drop("n"), key, "left")
+    return there.unionByName(rest)
+
+
+def hashed_sample(df: DataFrame, most: int, *keys: str, seed: int = 17, cut: bool = True) -> DataFrame:
     """At most ``most`` rows, the same on every run: all of them, or those whose hash lies under a bound set by the count.
 
-    No rows are sorted or gathered to choose; the bound aims a little low, and what passes ``most`` by chance is cut.
+    No rows are sorted or gathered to choose; the bound aims five standard deviations low, and what still passes ``most``
+    is cut. Rows with equal keys are in or out together: without ``cut`` the caller takes each of them once.
     """
     from pyspark.sql import functions as F
 
     n = df.count()
     if n <= most:
         return df
-    bound = int(0.97 * most / n * (1 << 40))
-    return df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)) < bound).limit(most)
+    bound = int(max(0.5 * most, most - 5 * most**0.5) / n * (1 << 40))
+    some = df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)) < bound)
+    return some.limit(most) if cut else some
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -231,6 +252,20 @@ def arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(tidy, schema)
 
 
+def grouped(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """``df.groupBy(*keys).applyInArrow``; a worker gives memory back after a large group."""
+    ship(df.sparkSession)
+
+    def tidy(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes > 1 << 20:
+            del table
+            release_memory()
+        return out
+
+    return df.groupBy(*keys).applyInArrow(tidy, schema)
+
+
 def release_memory() -> None:
     """Give memory that this worker no longer uses back to the system: workers are kept for later tasks."""
     pa.default_memory_pool().release_unused()
@@ -262,6 +297,21 @@ class Bloom:
         self._spark = keys.sparkSession
         self._words = self._spark.sparkContext.broadcast(words)
 
+    def test(self):
+        """A function for use inside tasks: which of an array of hashes, ``Bloom.hash`` of keys, may be in the set."""
+        words = self._words
+
+        def may_hold(x: np.ndarray) -> np.ndarray:
+            return ((words.value[np.mod(x, Bloom.bits) >> 6] >> np.mod(x, 64)) & 1).astype(bool)
+
+        return may_hold
+
+    @staticmethod
+    def hash(name: str):
+        from pyspark.sql import functions as F
+
+        return F.xxhash64(F.col(name))
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Rows of ``df`` whose key, which must not be null, may be in the set."""
         return df.where(self._may_hold(name))
@@ -273,16 +323,14 @@ class Bloom:
     def _may_hold(self, name: str):
         from pyspark.sql import functions as F
 
-        words = self._words
+        test = self.test()
         ship(self._spark)
 
         @F.pandas_udf("boolean")
         def may_hold(h):
             import pandas as pd
 
-            x = h.to_numpy()
-            at = np.mod(x, Bloom.bits)
-            return pd.Series(((words.value[at >> 6] >> np.mod(x, 64)) & 1).astype(bool))
+            return pd.Series(test(h.to_numpy()))
 
         # else the optimizer also applies it to what the rows are joined with
-        return may_hold.asNondeterministic()(F.xxhash64(F.col(name)))
+        return may_hold.asNondeterministic()(self.hash(name))

@@ -13,6 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every node below its smallest neighbour, shortens these paths to their ends by doubling, and
     contracts the edges; a star goes in one round, and rounds are logarithmic in the longest path of ascending nodes.
+
+    Defined cases: repeated edges count once, edges from a node to itself and edges with a null end not at all, so a
+    node that has only such edges has no row; no edges give no rows.
     """
     edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None

@@ -4,8 +4,9 @@ Documents are sets of hashed word shingles. Linked sets differ in at most H toke
 bounds. In each band, hashing splits the universe into segments so that H differences cannot touch them all: either
 some segment is equal in both sets, or, in segments that also index every subset with one token deleted, differs by
 one. How many segments of either kind a band has is a choice by cost: signatures written against candidates expected
-by chance. Segments that hold no token or one say little; a set leaves them out if what remains still outnumbers H,
-which the band's spare segments make the rule. Candidates are verified exactly on the whole sets.
+by chance. A segment without a rare token says little: passages that many documents share fill it alike. A set leaves
+such segments out if those that remain still outnumber H, which the band's spare segments make the rule; then one of
+them is equal in every set that is linked with it. Candidates are verified exactly on the whole sets.
 
 Sets that are equal form classes first, and only classes are joined. A signature that many classes share is a star,
 not a clique: its members are compared with its smallest one, and what that leaves unconnected is compared with all others, in
@@ -21,20 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, arrow, batches, column, hash_words, materialise, shingle, shuffle_partitions, signed, splitmix, utf8
+from .common import Bloom, arrow, batches, column, grouped, hash_words, materialise, shingle, shuffle_partitions, signed, splitmix, utf8
 from .components import components
 from .substring import LAST, expand, keyed, squeeze
 
 _U = np.uint64
 _SALT = _U(0xC2B2AE3D27D4EB4F)
 #: Entries of a share and of a part, about.
-SHARE, PART = 400_000, 1_500_000
+SHARE, PART = 400_000, 700_000
 BAND_RATIO = 1.25
 #: Classes at one signature whose pairs are all looked at; beyond, a signature is a crowd.
 CROWD = 24
 #: Members of a crowd that are compared at a time.
 BLOCK = 2000
 WHOLE, HOT, PLAIN = 1, 2, 4
+#: Share of a set's tokens that are rare, about; a band's spare segments follow from it.
+RARE_SHARE = 0.85
+#: Buckets that tokens are counted in, as a power of two: the counts' size does not follow the input.
+TOKEN_BITS = 20
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -62,8 +67,8 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
 class Bands:
     """Bands of set sizes and their segments, for a similarity of num / den."""
 
-    def __init__(self, num: int, den: int, counts: dict[int, int] | None = None):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, counts: dict[int, int] | None = None, common: np.ndarray | None = None):
+        self.num, self.den, self.common = num, den, common
         self.edges, lo = [], 1
         while lo < 1 << 40:
             hi = max(lo, int(lo * BAND_RATIO))
@@ -94,7 +99,7 @@ class Bands:
             n0, spare = max(0, h + 1 - 2 * n1), 0
             for _ in range(4):
                 t = (lo + hi) / 2 / (n0 + spare + n1)
-                p = math.exp(-t) * (1 + t)
+                p = math.exp(-t * RARE_SHARE)
                 spare = math.ceil(n0 * p + 3 * math.sqrt(n0 * p)) if n0 else 0
             t = (lo + hi) / 2 / (n0 + spare + n1)
             chance = 1e-3 * (n0 + spare) * math.exp(-2 * t) + n1 * math.exp(-2 * t) * (1 + 2 * t)
@@ -105,8 +110,13 @@ class Bands:
 
     def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of a set and their tags: WHOLE (for a whole segment, else one with a token deleted), PLAIN (from a plain
-        segment), the band, and how many plain keys the set can do without, plus one (0: none, it needs all)."""
+        segment), the band, and how many plain keys the set can do without, plus one (0: none, it needs all).
+
+        Of the plain segments, those with a rare token are enough if they outnumber what may differ; else those with
+        two tokens are added, else all. What is enough for one of two linked sets, the other has too.
+        """
         keys, tags = [], []
+        rare = np.ones(len(s), bool) if self.common is None else ~self.common[token_bucket(s)]
         for b in self.joined(len(s)):
             h, n0, n1 = self.plan[b]
             if h == 0:
@@ -118,11 +128,13 @@ class Bands:
             total = np.bincount(seg, g & _U(0xFFFFFFFF), m).astype(_U) + (np.bincount(seg, g >> _U(32), m).astype(_U) << _U(32))
             size = np.bincount(seg, minlength=m)
             mark = splitmix(salt + np.arange(m, dtype=_U))
-            telling = size[:n0] > 1
-            spare = min(int(telling.sum()) + 2 * n1 - (h + 1), 8000)
             take = np.ones(m, bool)
-            if spare >= 0:
-                take[:n0] = telling
+            telling = np.bincount(seg, rare, m)[:n0] > 0
+            for enough in (telling, telling | (size[:n0] > 1), take[:n0]):
+                spare = min(int(enough.sum()) + 2 * n1 - (h + 1), 8000)
+                if spare >= 0:
+                    break
+            take[:n0] = enough
             tag = b << 16 | max(spare + 1, 0) << 3
             keys.append(splitmix(total[take] ^ mark[take]))
             tags.append(np.where(np.flatnonzero(take) < n0, tag | WHOLE | PLAIN, tag | WHOLE).astype(np.int32))
@@ -135,6 +147,55 @@ class Bands:
         return np.concatenate(keys), np.concatenate(tags)
 
 
+def token_bucket(s: np.ndarray) -> np.ndarray:
+    return (splitmix(s + _U(0x632BE59BD9B4E019)) >> _U(64 - TOKEN_BITS)).astype(np.int64)
+
+
+def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
+    """For each bucket of tokens, whether its count over all documents stands out, so that some token in it is common.
+
+    Equal sets count once in a task. Counts only decide what a signature is made of; results do not depend on them.
+    """
+    chunk = 1 << 14
+
+    def run(parts):
+        total, held, size, seen = np.zeros(1 << TOKEN_BITS, np.int64), [], 0, set()
+
+        def count():
+            total[:] += np.bincount(np.concatenate(held), minlength=len(total))
+            held.clear()
+
+        for whole in parts:
+            for batch in batches(whole):
+                for s in _sets(batch, k):
+                    p = _prints(s)[0] if len(s) else None
+                    if p is None or p in seen:
+                        continue
+                    seen.add(p)
+                    held.append(token_bucket(s))
+                    size += len(s)
+                if size > 1 << 20:
+                    count()
+                    size = 0
+                if len(seen) > 100_000:
+                    seen.clear()
+        if held:
+            count()
+        at = [i for i in range(0, len(total), chunk) if total[i : i + chunk].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i // chunk for i in at], pa.int32()), pa.array([squeeze(total[i : i + chunk]) for i in at], pa.binary())], ["chunk", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(expand(x)[0] for x in table["counts"].to_pylist())
+        return pa.table({"chunk": table["chunk"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    got = grouped(arrow(docs.select("text"), run, "chunk int, counts binary"), ["chunk"], add, "chunk int, counts binary").toArrow()
+    total = np.zeros(1 << TOKEN_BITS, np.int64)
+    for c, x in zip(got["chunk"].to_pylist(), got["counts"].to_pylist()):
+        total[c * chunk : (c + 1) * chunk] = np.frombuffer(x, np.int64)
+    usual = float(total.mean())
+    return total > usual + 5 * math.sqrt(usual) + CROWD
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
     """Parities of a set's tokens over a power of two of positions, at least one a token. Two sets' sketches differ in
     at most as many places as the sets differ in tokens."""
@@ -277,7 +338,7 @@ def shared_signatures(docs: DataFrame, k: int, bands: Bands, parts: int, most: i
         return pa.table({"kind": pa.array(n), "x": pa.array(x), "y": pa.array(y), "tag": pa.array(t)})
 
     entries = arrow(docs.select("text"), run, "part int, kind int, keys binary, names binary, meta binary").repartition(parts, "part")
-    return entries.groupBy("part").applyInArrow(merge, "kind int, x long, y long, tag int")
+    return grouped(entries, ["part"], merge, "kind int, x long, y long, tag int")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -330,22 +391,22 @@ def _apart(mixed: DataFrame, classes: DataFrame, num: int, den: int, nearest: bo
         a, b = np.concatenate(found, axis=1)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return all_.unionByName(outer).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return grouped(all_.unionByName(outer), ["key", "i", "j"], compare, "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b: classes) whose sets are linked; sets come from their classes' first documents."""
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = materialise(classes.join(ends, "cls").select("cls", "rep"))
-    texts = Bloom(wanted, "rep").keep(keyed(docs), "id").select("id", "text")
+    known = Bloom(wanted, "rep").test()
 
     def run(parts):
         for whole in parts:
-            for batch in batches(whole):
+            for batch in batches(whole.filter(pa.array(known(np.asarray(column(whole, "hash")))))):
                 sets = _sets(batch, k)
                 yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([_prints(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "cls", "tokens"])
 
-    sets = arrow(texts, run, "id long, cls long, tokens binary")
+    sets = arrow(keyed(docs).select("id", "text", Bloom.hash("id").alias("hash")), run, "id long, cls long, tokens binary")
     sets = sets.join(wanted.select("cls", F.col("rep").alias("id")), ["cls", "id"], "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
     sets = materialise(sets)
 
@@ -389,7 +450,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, crowd: int
         if lo <= top:
             band = band + F.when(F.col("n_shingles") >= lo, 1).otherwise(0)
     stats = classes.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("tokens")).collect()
-    bands = Bands(num, den, {r.band: r.n for r in stats})
+    bands = Bands(num, den, {r.band: r.n for r in stats}, common_tokens(docs, k))
     entries = sum(r.n * sum(bands.plan[b][1] + bands.plan[b][2] * (1 + r.tokens / r.n / max(1, sum(bands.plan[b][1:]))) for b in bands.joined(int(r.tokens / r.n))) for r in stats)
     parts = max(shuffle_partitions(spark), math.ceil(entries / PART))
     at = materialise(shared_signatures(docs, k, bands, parts, crowd))
@@ -432,16 +493,21 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, crowd: int
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest doc_id, and of repeated rows one.
 
-    Documents without words are groups of their own, by text. Only documents that may have to go are shuffled.
+    Only documents that may have to go are shuffled.
+
+    Defined cases: documents without words are groups of their own, by text (null and empty apart); rows without a
+    doc_id, or with one in common, are told apart by their text; a group without a doc_id keeps the row whose text has
+    the smallest hash; of rows with equal doc_id and text any one stays; an empty table gives an empty one; further
+    columns are kept, whatever their names.
     """
     found = materialise(join(docs, k, num, den))
-    component = F.coalesce("root", "id")
-    stays = found.groupBy(component.alias("component"), F.when(F.col("n_shingles") == 0, F.col("mark")).alias("empty")).agg(F.min(F.struct("id", "mark")).alias("s"), F.count("*").alias("n"))
-    groups = found.select(component.alias("component"), F.when(F.col("n_shingles") == 0, F.col("mark")).alias("empty"), "id")
+    group = [F.coalesce("root", "id").alias("component"), F.when(F.col("n_shingles") == 0, F.col("mark")).alias("empty")]
+    stays = found.groupBy(*group).agg(F.min(F.struct("id", "mark")).alias("s"), F.count("*").alias("n"))
+    groups = found.select(*group, "id")
     several = stays.where("n > 1")
     touched = Bloom(groups.join(several, groups["component"].eqNullSafe(several["component"]) & groups["empty"].eqNullSafe(several["empty"]), "left_semi").select("id").distinct(), "id")
-    stays = stays.select(F.col("s.id").alias("__id"), F.col("s.mark").alias("__mark")).distinct()
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    looked_at = touched.keep(rows, "__id").withColumn("__mark", F.xxhash64("text"))
-    kept = looked_at.join(stays, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
-    return kept.select(*docs.columns).unionByName(touched.drop(rows, "__id").select(*docs.columns))
+    stays = stays.select("s.id", "s.mark").distinct()
+    rows = docs.select(F.struct("*").alias("row")).withColumn("id", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST)))
+    looked_at = touched.keep(rows, "id").withColumn("mark", F.xxhash64("row.text"))
+    kept = looked_at.join(stays, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    return kept.select("row.*").unionByName(touched.drop(rows, "id").select("row.*"))

@@ -62,9 +62,9 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring import remove
+    from .substring import HISTORY, remove
 
-    return remove(table(spark, sf_dir, "documents"), k=13)
+    return remove(table(spark, sf_dir, "documents"), k=13, history=HISTORY)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
