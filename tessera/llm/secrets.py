@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order Markov models over characters are trained from labelled samples, one on random strings and one on
-ordinary identifiers. A run of identifier characters is a secret if its mean log-likelihood ratio, per character, lies
-above a threshold that no ordinary sample kept apart for that reaches. What the models find is added to what the
-patterns find.
+ordinary identifiers: words of the documents, alone and put together as identifiers are. A run of identifier characters
+is a secret if its mean log-likelihood ratio, per character, lies above a threshold that ordinary samples kept apart do
+not reach. Of a run that a pattern touches, what the pattern leaves over is looked at. What the models find is added to
+what the patterns find.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..deploy import ship
 from .common import arrow, batches, column, hashed_sample
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -24,13 +24,15 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 #: Runs of these characters are greedy, so a minimum length finds the runs that are long enough and no others.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters that the models need to tell.
+LEAST = 16
 _HINTS = ("pass", "secret", "token", "api")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 _PLACE = np.full(128, len(_ALPHABET), np.int64)
 _PLACE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
-#: Documents whose words are the ordinary samples, samples taken from them, and from one of them, at most.
-SAMPLE_DOCS, SAMPLE_WORDS, WORDS_OF_ONE = 400, 100_000, 2000
+#: Labelled samples: documents (of distinct text) whose words are ordinary ones, and distinct words taken from them, at most.
+SAMPLE_DOCS, SAMPLE_WORDS = 2000, 60_000
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -52,7 +54,11 @@ def _codes(s: str) -> np.ndarray:
 
 
 class MarkovPair:
-    """Log ratios of transition probabilities, random over ordinary, and the threshold of their mean."""
+    """Log ratios of transition probabilities, random over ordinary, and the threshold of their mean.
+
+    A quarter of the samples trains nothing: the threshold lies above all but one in 10,000 of its ordinary strings of
+    LEAST characters or more.
+    """
 
     def __init__(self, samples: list[tuple[str, int]], margin: float = 0.25):
         n = len(_ALPHABET) + 1
@@ -65,51 +71,89 @@ class MarkovPair:
         logs = np.log(counts / counts.sum(axis=2, keepdims=True))
         self.ratio = logs[1] - logs[0]
         apart = [x for i, x in enumerate(samples) if i % 4 == 0]
-        ordinary = [self.score(s) for s, label in apart if label == 0 and len(s) >= 8] or [0.0]
+        ordinary = [self.score(s) for s, label in apart if label == 0 and len(s) >= LEAST] or [0.0]
         random = [self.score(s) for s, label in apart if label == 1] or [1.0]
-        self.threshold = max(margin, (float(np.quantile(ordinary, 0.9999)) + float(np.quantile(random, 0.02))) / 2)
+        top = float(np.quantile(ordinary, 0.9999))
+        self.threshold = max(margin, top, (top + float(np.quantile(random, 0.02))) / 2)
 
     def score(self, s: str) -> float:
         c = _codes(s)
         return float(self.ratio[np.r_[len(_ALPHABET) + 1, c[:-1]], c].mean()) if len(c) else 0.0
 
     def secret(self, s: str) -> bool:
-        digits = sum(c.isdigit() for c in s)
-        return 0 < digits < len(s) and self.score(s) > self.threshold
+        return self.score(s) > self.threshold
 
 
-def random_strings(n: int = 4000, seed: int = 5) -> list[str]:
-    """Labelled samples of the first kind: uniform strings over the alphabets that keys are written in."""
+def random_strings(n: int = 6000, seed: int = 5) -> list[str]:
+    """Labelled samples of the first kind: uniform strings over the alphabets that keys are written in, letters alone among them."""
     rng = np.random.default_rng(seed)
-    kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", _ALPHABET[:62], _ALPHABET[:64], _ALPHABET[:62] + "_-"]
-    return ["".join(rng.choice(list(kinds[i % len(kinds)]), rng.integers(16, 49))) for i in range(n)]
+    kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", _ALPHABET[:62], _ALPHABET[:64], _ALPHABET[:62] + "_-", _ALPHABET[:52]]
+    return ["".join(rng.choice(list(kinds[i % len(kinds)]), rng.integers(LEAST, 49))) for i in range(n)]
 
 
 def ordinary_strings(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_words: int = SAMPLE_WORDS) -> list[str]:
-    """Labelled samples of the second kind: words of at most ``most_docs`` documents, chosen by a hash of their text,
-    without what the patterns match."""
-    rows = hashed_sample(docs.where("length(text) > 0").select("text"), most_docs, "text", seed=3)
-    out: list[str] = []
-    for r in rows.collect():
-        text = r.text
-        for _, a, b in sorted(base_spans(text), key=lambda s: -s[1]):
-            text = text[:a] + " " + text[b:]
-        out += [w for w in re.findall(r"[A-Za-z0-9+/_=.-]{4,}", text) if not any(c.isdigit() for c in w) or len(w) < 16][:WORDS_OF_ONE]
-    return out[:most_words]
+    """Labelled samples of the second kind, in a fixed order: words of at most ``most_docs`` documents, chosen by a hash
+    of their text and each text once, without what the patterns match; of the words, those under a bound by their hash.
+
+    Whole documents are cut into words in the job; only distinct words leave it.
+    """
+    some = hashed_sample(docs.where("length(text) > 0").select("text"), most_docs, "text", seed=3, cut=False).select("text", F.xxhash64("text").alias("h"))
+    some = some.dropDuplicates(["h"]).select("text")
+
+    def run(parts):
+        for whole in parts:
+            for batch in batches(whole):
+                words = set()
+                for text in column(batch, "text").to_pylist():
+                    for _, a, b in sorted(base_spans(text), key=lambda s: -s[1]):
+                        text = text[:a] + " " + text[b:]
+                    words.update(w for w in re.findall(r"[A-Za-z0-9+/_=.-]{2,}", text) if len(w) < LEAST or not any(c.isdigit() for c in w))
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
+
+    words = hashed_sample(arrow(some, run, "word string").distinct(), most_words, "word", seed=3)
+    return sorted(words.toArrow()["word"].to_pylist())
+
+
+def identifiers(words: list[str], n: int = 40_000, seed: int = 7) -> list[str]:
+    """Ordinary words put together as names, paths and numbers are: ``some_name``, ``some-name``, ``someName``, ``some/name2``, ``SOME_NAME``."""
+    if not words:
+        return []
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        some = [words[j] for j in rng.integers(0, len(words), rng.integers(2, 6))]
+        if i % 5 == 2:
+            some = [w[:1].upper() + w[1:] for w in some]
+        if i % 5 == 4:
+            some = [w.upper() for w in some]
+        out.append(("_", "-", "", "/", "_")[i % 5].join(some) + (str(rng.integers(0, 10_000)) if rng.random() < 0.2 else ""))
+    return out
 
 
 def train(docs: DataFrame) -> MarkovPair:
     a, b = random_strings(), ordinary_strings(docs)
-    return MarkovPair([(s, 1) for s in a] + [(s, 0) for s in b])
+    return MarkovPair([(s, 1) for s in a] + [(s, 0) for s in b + identifiers(b)])
+
+
+def _left_over(start: int, end: int, base: list[tuple[str, int, int]]):
+    """Parts of a run between the spans that touch it."""
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if b > start and a < end:
+            if a > start:
+                yield start, a
+            start = max(start, b)
+    if start < end:
+        yield start, end
 
 
 def find(text: str, models: MarkovPair) -> list[tuple[str, int, int]]:
-    """All spans, those of the patterns first; the models look at runs that no pattern touches."""
+    """All spans, those of the patterns first; the models look at what these leave of runs of LEAST characters."""
     base = base_spans(text)
     more = []
     for m in RUN.finditer(text):
-        if all(m.end() <= a or m.start() >= b for _, a, b in base) and models.secret(m[0]):
-            more.append(("markov", m.start(), m.end()))
+        for a, b in _left_over(m.start(), m.end(), base):
+            if b - a >= LEAST and models.secret(text[a:b]):
+                more.append(("markov", a, b))
     return base + more
 
 
@@ -141,26 +185,29 @@ def scan(docs: DataFrame, models: MarkovPair | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, models: MarkovPair | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret replaced by ``mark``; n_chars follows the text where there is such a column."""
+    """``docs`` with every secret replaced by ``mark``; n_chars follows the text where there is such a column.
+
+    Defined cases: a null text stays null and an empty one empty; of spans that overlap, the union is one secret; null
+    doc_ids and repeated rows are rows like others; an empty table gives an empty one; further columns are kept.
+    """
     models = models or train(docs)
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        def one(text):
-            if text is None:
-                return None
-            spans = sorted((a, b) for _, a, b in find(text, models))
-            out, at = [], 0
-            for a, b in spans:
-                if a >= at:
-                    out += [text[at:a], mark]
-                at = max(at, b)
-            return "".join([*out, text[at:]]) if spans else text
-
-        return texts.apply(one)
-
-    ship(docs.sparkSession)
-    out = docs.withColumn("text", clean("text"))
+    def clean(text):
+        spans = sorted((a, b) for _, a, b in find(text, models)) if text else []
+        out, at = [], 0
+        for a, b in spans:
+            if a >= at:
+                out += [text[at:a], mark]
+            at = max(at, b)
+        return "".join([*out, text[at:]]) if spans else text
+
+    def run(parts):
+        for whole in parts:
+            for batch in batches(whole, most=1 << 20):
+                i = batch.schema.get_field_index("text")
+                yield batch.set_column(i, batch.schema.field(i), pa.array(map(clean, batch.column(i).to_pylist()), batch.schema.field(i).type))
+
+    out = arrow(docs, run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
