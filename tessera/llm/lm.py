@@ -1,11 +1,11 @@
 """Language-model scoring: a log-bilinear neural model trained with noise-contrastive estimation.
 
-The model's vocabulary is the ``vocab - 1`` most frequent training tokens and one class for all others. A position's
-prediction is the sum of its two context tokens' vectors, each scaled by that position's diagonal; a token's score is
+The model's vocabulary is the most frequent training tokens and classes of all others, by their last two bytes. A
+position's prediction is the sum of its two context tokens' vectors, each scaled by that position's diagonal; a token's score is
 the prediction times the token's vector plus a bias, and probabilities are normalised over the whole vocabulary: the
 normalisers of all contexts come from batched matrix products, once, and a token's score is then three look-ups.
-A token of the class has the class's probability times its add-one unigram probability inside the class, with one
-more share for what was never seen, so the model gives a probability to every text.
+A token of a class has the class's probability times its add-one unigram probability inside the class, by counts over
+all training tokens, with one more share for what was never seen, so the model gives a probability to every text.
 
 Training: each task runs stochastic gradient steps over its share of all training documents, from common parameters;
 the parameters are averaged by tokens between rounds. Token counts are exact and cover all training documents. Counts
@@ -26,7 +26,7 @@ from .common import arrow, batches, column, hash_words, materialise, signed, spl
 _U = np.uint64
 #: Hashes of the end token and of what precedes a text; no word has them but by chance, 1 in 2^64.
 END, BEFORE = np.array([0x51ED270B, 0x2545F491], _U) * _U(0x9E3779B97F4A7C15)
-VOCAB, DIM, NOISE, BATCH = 768, 8, 6, 16384
+VOCAB, CLASSES, DIM, NOISE, BATCH = 768, 512, 16, 6, 16384
 #: Frequent tokens whose counts every task knows.
 KNOWN = 100_000
 
@@ -36,19 +36,30 @@ def held_out_ids(doc_ids: list) -> np.ndarray:
     return np.array([zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i in doc_ids], bool)
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, each text followed by END, and the places where texts start (texts + 1)."""
+_LOWER = np.arange(256, dtype=np.int64)
+_LOWER[65:91] += 32
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, each text followed by END, the places where texts start (texts + 1), and what
+    tokens' classes come from: their last two bytes, lower-case."""
     data, offs = utf8(texts)
-    _, _, h, first = hash_words(data, offs, lower=True)
+    begin, end, h, first = hash_words(data, offs, lower=True)
     n = len(first) - 1
     place = np.arange(len(h)) + np.repeat(np.arange(n), np.diff(first))
-    out = np.full(len(h) + n, END, _U)
+    out, tail = np.full(len(h) + n, END, _U), np.zeros(len(h) + n, np.int32)
     out[place] = h
-    return out, first + np.arange(n + 1)
+    if len(h):
+        tail[place] = _LOWER[data[end - 1]] + np.where(end - begin > 1, _LOWER[data[np.maximum(end - 2, 0)]], 0) * 256
+    return out, first + np.arange(n + 1), tail
+
+
+def class_of(tail: np.ndarray, classes: int) -> np.ndarray:
+    return (splitmix(tail.astype(_U) + _U(0x2F0B4C47)) % _U(classes)).astype(np.int64)
 
 
 def _chunks(parts, keep=None, most: int = 8 << 20):
-    """(batch, tokens, starts), of training documents only where ``keep`` says so."""
+    """(batch, tokens, starts, tails), of training documents only where ``keep`` says so."""
     for whole in parts:
         for batch in batches(whole, most=most):
             if keep is not None:
@@ -59,40 +70,40 @@ def _chunks(parts, keep=None, most: int = 8 << 20):
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """token (hash) and c, its count, over all training documents."""
+    """token (hash), c, its count, and tail (see ``_tokens``), over all training documents."""
 
     def run(parts):
         seen: list = []
         size = 0
 
         def flush():
-            h = np.concatenate([s[0] for s in seen])
-            c = np.concatenate([s[1] for s in seen])
-            u, inv = np.unique(h, return_inverse=True)
+            h, c, t = (np.concatenate(x) for x in zip(*seen))
+            u, at, inv = np.unique(h, return_index=True, return_inverse=True)
             total = np.bincount(inv, c).astype(np.int64)
             seen.clear()
-            return u, total
+            return u, total, t[at]
 
-        def out(u, c):
+        def out(u, c, t):
             for at in range(0, len(u), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(u[at : at + 50_000])), pa.array(c[at : at + 50_000])], ["token", "c"])
+                to = at + 50_000
+                yield pa.RecordBatch.from_arrays([pa.array(signed(u[at:to])), pa.array(c[at:to]), pa.array(t[at:to])], ["token", "c", "tail"])
 
-        for _, h, _ in _chunks(parts, lambda i: ~held_out_ids(i)):
-            u, c = np.unique(h, return_counts=True)
-            seen.append((u, c))
+        for _, h, _, tail in _chunks(parts, lambda i: ~held_out_ids(i)):
+            u, at, c = np.unique(h, return_index=True, return_counts=True)
+            seen.append((u, c, tail[at]))
             size += len(u)
             if size > 1_500_000:
-                u, c = flush()
-                if len(u) > 750_000:
-                    yield from out(u, c)
+                found = flush()
+                if len(found[0]) > 750_000:
+                    yield from out(*found)
                     size = 0
                 else:
-                    seen.append((u, c))
-                    size = len(u)
+                    seen.append(found)
+                    size = len(found[0])
         if seen:
             yield from out(*flush())
 
-    return arrow(docs.select("doc_id", "text"), run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return arrow(docs.select("doc_id", "text"), run, "token long, c long, tail int").groupBy("token").agg(F.sum("c").alias("c"), F.min("tail").alias("tail"))
 
 
 class LogBilinear:
@@ -161,12 +172,15 @@ class LogBilinear:
         return (a1 / np.log(10)).astype(np.float32), (a2 / np.log(10)).astype(np.float32), (z / np.log(10)).astype(np.float32)
 
 
-def _contexts(h: np.ndarray, starts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary places of each token and of the two before it; ``words`` are the vocabulary's sorted hashes and their places."""
+def _contexts(h: np.ndarray, starts: np.ndarray, tail: np.ndarray, words: tuple[np.ndarray, np.ndarray], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vocabulary places of each token and of the two before it; ``words`` are the vocabulary's sorted hashes and their
+    places, which classes follow."""
     keys, places = words
-    v = len(keys) + 1
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(len(h), np.int64)
-    w = np.where(keys[at] == h, places[at], v - 1) if len(keys) else np.full(len(h), v - 1)
+    v = len(keys) + classes
+    w = len(keys) + class_of(tail, classes)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        w = np.where(keys[at] == h, places[at], w)
     w1 = np.r_[v, w[:-1]][: len(w)]
     w2 = np.r_[v, v, w[:-2]][: len(w)]
     w1[starts[:-1]] = v
@@ -176,18 +190,19 @@ def _contexts(h: np.ndarray, starts: np.ndarray, words: np.ndarray) -> tuple[np.
     return w, w1, w2
 
 
-def fit(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], unigram: np.ndarray, rounds: int = 1, rate: float = 0.6) -> LogBilinear:
+def fit(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], unigram: np.ndarray, rounds: int = 1, rate: float = 0.6, dim: int = DIM) -> LogBilinear:
     """Train on all training documents; parameters are averaged by tokens over tasks after each round."""
-    model = LogBilinear(unigram)
+    model = LogBilinear(unigram, dim)
+    classes = len(unigram) - len(words[0])
     for turn in range(rounds):
         start = model.vector()
 
         def run(parts, start=start, turn=turn):
-            own = LogBilinear(unigram).load(start)
+            own = LogBilinear(unigram, dim).load(start)
             rng = np.random.default_rng(turn)
             tokens = 0
-            for _, h, starts in _chunks(parts, lambda i: ~held_out_ids(i), most=2 << 20):
-                w, w1, w2 = _contexts(h, starts, words)
+            for _, h, starts, tail in _chunks(parts, lambda i: ~held_out_ids(i), most=2 << 20):
+                w, w1, w2 = _contexts(h, starts, tail, words, classes)
                 order = rng.permutation(len(w))
                 step = min(BATCH, max(512, len(w) // 24))  # small shares also get some steps
                 for at in range(0, len(w), step):
@@ -206,9 +221,12 @@ def fit(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], unigram: np.ndarr
     return model
 
 
-def score(docs: DataFrame, vocab: int = VOCAB, rounds: int = 1, known: int = KNOWN) -> DataFrame:
+def score(docs: DataFrame, vocab: int = VOCAB, rounds: int = 1, known: int = KNOWN, classes: int = CLASSES, dim: int = DIM) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
+    The model has ``vocab`` words and ``classes`` of the others. Tasks train on their own shares of the documents, so
+    scores differ a little between ways of dealing documents to tasks.
+
     Defined cases: a null or empty text is the end token alone; a null doc_id counts as the empty text for the split;
     rows with equal doc_id and text get equal values, each its own row; without any training document every count is 0
     and the model is uniform; an empty table gives an empty one; further columns are ignored.
@@ -217,37 +235,46 @@ def score(docs: DataFrame, vocab: int = VOCAB, rounds: int = 1, known: int = KNO
     counts = materialise(token_counts(docs))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
-    # the frequent tokens: all above a count, on a scale of 32 steps to the octave, that at most ``known`` tokens pass
+    # the frequent tokens: all above a count, on a scale of 32 steps to the octave, that at most ``known`` tokens pass,
+    # and of the next step, whose tokens count as ties, those whose hash lies under a bound
     step = F.floor(F.log2(F.col("c").cast("double")) * 32)
-    passed, cut = 0, 1 << 20
+    passed, cut, share = 0, 1 << 20, 0.0
     for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect():
         if passed + r.n > known:
+            share = max(0.0, (known - passed) - 5 * (known - passed) ** 0.5) / r.n if known > 1000 else (known - passed) / r.n
             break
         passed, cut = passed + r.n, r.s
-    top = counts.where(step >= cut).toArrow()
+    tie = F.pmod(F.xxhash64("token"), F.lit(1 << 40)) < int(share * (1 << 40))
+    top = counts.where((step >= cut) | ((step == (counts.where(step < cut).agg(F.max(step)).first()[0] if share else None)) & tie)).toArrow()
     top_h = np.asarray(top["token"].combine_chunks()).view(_U) if top.num_rows else np.zeros(0, _U)
     top_c = np.asarray(top["c"].combine_chunks()) if top.num_rows else np.zeros(0, np.int64)
+    top_k = class_of(np.asarray(top["tail"].combine_chunks()), classes) if top.num_rows else np.zeros(0, np.int64)
     by_count = np.lexsort((top_h, -top_c))
-    top_h, top_c = top_h[by_count], top_c[by_count]
+    top_h, top_c, top_k = top_h[by_count], top_c[by_count], top_k[by_count]
     order = np.argsort(top_h)
     keys, key_counts = top_h[order], top_c[order]
     head = min(vocab - 1, len(top_h))
     rank = np.argsort(top_h[:head])
     words = (top_h[:head][rank], rank.astype(np.int64))
-    n_rest, v_rest = n - int(top_c[:head].sum()), v - head
+    # tokens and distinct tokens of each class, without the words
+    by_tail = counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toArrow()
+    of = class_of(np.asarray(by_tail["tail"].combine_chunks()), classes) if by_tail.num_rows else np.zeros(0, np.int64)
+    n_rest, v_rest = (np.bincount(of, np.asarray(by_tail[x].combine_chunks()) if by_tail.num_rows else None, classes) for x in ("c", "v"))
+    n_rest = n_rest - np.bincount(top_k[:head], top_c[:head], classes)
+    v_rest = v_rest - np.bincount(top_k[:head], minlength=classes)
     unigram = np.r_[top_c[:head], n_rest].astype(np.float64)
-    model = fit(docs, words, unigram, rounds)
-    shared = spark.sparkContext.broadcast((words, keys, key_counts, *model.scorer()))
-    base_log, rest_log = float(np.log10(n + v + 1)), float(np.log10(n_rest + v_rest + 1))
+    model = fit(docs, words, unigram, rounds, dim=dim)
+    shared = spark.sparkContext.broadcast((words, keys, key_counts, np.log10(n_rest + v_rest + 1.0), *model.scorer()))
+    base_log = float(np.log10(n + v + 1))
 
     def run(parts):
-        words, keys, key_counts, a1, a2, z = shared.value
-        for batch, h, starts in _chunks(parts, most=4 << 20):
+        words, keys, key_counts, rest_log, a1, a2, z = shared.value
+        for batch, h, starts, tail in _chunks(parts, most=2 << 20):
             rows = len(starts) - 1
-            w, w1, w2 = _contexts(h, starts, words)
+            w, w1, w2 = _contexts(h, starts, tail, words, classes)
             doc = np.repeat(np.arange(rows), np.diff(starts))
             lm = a1[w1, w].astype(np.float64) + a2[w2, w] - z[w1, w2]
-            rest = w == len(words[0])
+            rest = w >= len(words[0])
             at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
             found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
             c = np.where(found, key_counts[at] if len(keys) else 0, 0)
@@ -255,7 +282,7 @@ def score(docs: DataFrame, vocab: int = VOCAB, rounds: int = 1, known: int = KNO
             sums = lambda x: np.bincount(doc, x, rows)
             n_tokens = np.diff(starts)
             base = sums(here) - n_tokens * base_log
-            model_part = sums(lm) + sums(np.where(rest, here, 0.0)) - sums(rest) * rest_log
+            model_part = sums(lm) + sums(np.where(rest, here - rest_log[np.where(rest, w - len(words[0]), 0)], 0.0))
             data, offs = utf8(column(batch, "text"))
             key = splitmix(text_hash(data, offs) ^ splitmix(np.array([0 if i is None else int(i) & (2**64 - 1) for i in column(batch, "doc_id").to_pylist()], _U)))
             far = ~found
@@ -279,8 +306,8 @@ def score(docs: DataFrame, vocab: int = VOCAB, rounds: int = 1, known: int = KNO
     rows = rows.join(counts, "token", "left")
     gain = F.when(F.col("times") > 0, F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)).otherwise(0.0)
     # rows with equal doc_id and text share a key: their sums hold each of them once
-    g = rows.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"),
+    g = rows.groupBy("row", "doc_id").agg(
+        F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base_score")).alias("base"), F.sum(F.col("score")).alias("lm"), F.sum(gain).alias("gain"), F.max("held_out").alias("held_out"))
     g = g.select("doc_id", "held_out", F.expr("n_tokens div rows").alias("n_tokens"), F.expr("n_known div rows").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
