@@ -117,12 +117,14 @@ def assign(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_repea
 def mix(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_repeats: int = 2) -> DataFrame:
     """The mixture itself: rows of ``docs`` (its own columns only), one per pass that takes them, in training order.
 
-    Whole documents only. Rows with equal doc_id, source and size are taken alike, at the places of the one taken most.
+    Whole documents only.
+
+    Defined cases: a null or empty text is never taken; null doc_ids and sources as in ``assign``; rows with equal
+    doc_id, source and size are taken alike, at the places of the one taken most; an empty table gives an empty one;
+    further columns are kept, whatever their names.
     """
     plan = assign(docs, curriculum, share, max_repeats, whole=True)
-    same = ["doc_id", "source", "size"]
-    plan = plan.groupBy(*same).agg(F.max_by("copies.position", "taken").alias("__positions"))
-    rows = docs.withColumn("__size", word_count(F.col("text")))
-    on = rows["doc_id"].eqNullSafe(plan["doc_id"]) & rows["source"].eqNullSafe(plan["source"]) & (rows["__size"] == plan["size"])
-    taken = rows.join(plan, on).select(*[rows[c] for c in docs.columns], F.explode("__positions").alias("__position"))
-    return taken.orderBy("__position").select(*docs.columns)
+    plan = plan.groupBy("doc_id", "source", "size").agg(F.max_by("copies.position", "taken").alias("positions"))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("n", word_count(F.col("row.text")))
+    on = F.col("row.doc_id").eqNullSafe(plan["doc_id"]) & F.col("row.source").eqNullSafe(plan["source"]) & (F.col("n") == plan["size"])
+    return rows.join(plan, on).select("row", F.explode("positions").alias("position")).orderBy("position").select("row.*")

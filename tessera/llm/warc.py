@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, column, materialise, shared_dir
+from .common import arrow, column, join_hot, materialise, shared_dir
 
-#: Records that one archive holds, at most; reading takes an archive at a time.
-ARCHIVE_RECORDS = 4000
+#: Records that one archive holds, at most, and bytes that it holds, about.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 4000, 64 << 20
+#: Bytes that a reader unpacks at a time, and bytes of records that it hands on at once, about.
+STEP = 1 << 20
 _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DATE = "2020-01-01T00:00:00Z"
 
@@ -47,8 +49,8 @@ def captures(pages: DataFrame, least: int = 0) -> DataFrame:
     light = materialise(d.select("page_id", "url", "payload_digest", "payload_bytes", F.expr("uuid()").alias("capture")))
     order = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("page_id"), F.coalesce("url", F.lit("")).alias("u"), F.col("capture").alias("capture"))
     firsts = light.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select("payload_digest", F.col("f.page_id").alias("first_page"), F.col("f.capture").alias("first"))
-    marked = light.join(firsts, "payload_digest", "left").withColumn("again", F.col("first").isNotNull() & (F.col("first") != F.col("capture")))
+    firsts = firsts.select("payload_digest", F.col("f.page_id").alias("first_page"), F.col("f.capture").alias("first"), "n")
+    marked = join_hot(light, firsts, "payload_digest").withColumn("again", F.col("first").isNotNull() & (F.col("first") != F.col("capture")))
     return marked.select("capture", "page_id", "url", "payload_digest", "payload_bytes", F.when(F.col("again"), F.col("first_page")).alias("refers_to"), F.when(F.col("again"), F.col("first")).alias("original"))
 
 
@@ -92,22 +94,59 @@ def records(marked: DataFrame, pages: DataFrame) -> DataFrame:
             .unionByName(marked.select(F.explode(F.array(request, metadata)).alias("record"))))
 
 
-def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive."""
-    out, at, n = [], 0, len(data)
-    while at < n:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+def unpacked(data):
+    """Pieces of an archive's content. Gzip members follow one another, a record each or many, and all are read; what
+    is not gzipped is handed on as it is. An empty archive has no piece; one that breaks off raises ``ValueError``."""
+    data = memoryview(data)
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield from (bytes(data[i : i + STEP]) for i in range(0, len(data), STEP))
+        return
+    at = 0
+    while at < len(data):
+        member, rest = zlib.decompressobj(31), b""
+        while not member.eof:
+            if not rest and at >= len(data):
+                raise ValueError("an archive breaks off inside a gzip member")
+            if not rest:
+                rest, at = bytes(data[at : at + STEP]), at + STEP
+            yield member.decompress(rest, 4 * STEP)
+            rest = member.unconsumed_tail
+        at = min(at, len(data)) - len(member.unused_data)
+        while at < len(data) and data[at] == 0:  # padding between members
+            at += 1
+
+
+def parse(pieces):
+    """Headers (lower-case names) and block of each record of an archive, whose content comes in ``pieces``; no more of
+    it is held than a record and a piece."""
+    held, pieces, gone = bytearray(), iter(pieces), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while held or more():
+        if not held:
+            continue
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                break
+        if end < 0 or not held.startswith(b"WARC/"):
+            raise ValueError(f"no record at {gone}")
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         length = int(headers["content-length"])
-        block = data[end + 4 : end + 4 + length]
-        if len(block) != length or data[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
-            raise ValueError(f"a record at {at} of another length than it says")
-        out.append((headers, block))
-        at = end + 8 + length
-    return out
+        while len(held) < end + 8 + length and more():
+            pass
+        if held[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
+            raise ValueError(f"a record at {gone} of another length than it says")
+        yield headers, bytes(held[end + 4 : end + 4 + length])
+        del held[: end + 8 + length]
+        gone += end + 8 + length
 
 
 _FIELDS = ("type", "record_id", "concurrent_to", "refers_to", "uri", "page_id", "payload_digest")
@@ -115,33 +154,49 @@ _FIELDS = ("type", "record_id", "concurrent_to", "refers_to", "uri", "page_id",
 
 def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """Records of all archives below ``path``: type, record_id, concurrent_to, refers_to, uri, page_id (metadata's),
-    payload_digest (computed for responses, as stated for revisits), payload_bytes, and payload where that is wanted."""
+    payload_digest (computed for responses, as stated for revisits), payload_bytes, and payload where that is wanted.
+
+    Defined cases: archives of one gzip member, of many, and without compression are read in full; an archive that
+    breaks off, a record of another length than it says, and a payload that differs from its digest raise
+    ``ValueError``; headers that are missing are null; records of other types are rows too. An archive must fit what
+    Spark's binary files allow, 2 GB; rows leave a task in batches of a few megabytes.
+    """
+    kinds = [pa.string()] * 7 + [pa.int64(), pa.binary()]
+    names = [*_FIELDS, "payload_bytes", "payload"]
+
+    def out(rows):
+        arrays = [pa.array(c, k) for c, k in zip(rows, kinds)]
+        return pa.RecordBatch.from_arrays(arrays if payload else arrays[:-1], names if payload else names[:-1])
 
     def run(parts):
         for batch in parts:
             for data in column(batch, "content"):
                 rows: list[list] = [[] for _ in range(9)]
-                for h, block in parse(zlib.decompress(data.as_py(), 31)):
+                size_held = 0
+                for h, block in parse(unpacked(data.as_buffer())):
                     kind, page, digest, size, body = h["warc-type"], None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, None, None
                     if kind in ("response", "revisit"):
                         head, _, body = block.partition(b"\r\n\r\n")
                         http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
-                        size = int(http[b"content-length"])
+                        size = int(http.get(b"content-length", len(body)))
                         if kind == "response":
                             own = base64.b32encode(hashlib.sha1(body).digest()).decode()
-                            if own != digest or size != len(body):
+                            if (digest is not None and own != digest) or size != len(body):
                                 raise ValueError(f"payload of {h['warc-record-id']} differs from its digest")
+                            digest = own
                         else:
                             body = None
                     elif kind == "metadata":
                         page = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split("\r\n") if ": " in x).get("page-id") or None
-                    row = (kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), page, digest, size, body)
+                    row = (kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), page, digest, size, body if payload else None)
                     for c, x in zip(rows, row):
                         c.append(x)
-                kinds = [pa.string()] * 7 + [pa.int64(), pa.binary()]
-                names = [*_FIELDS, "payload_bytes", "payload"]
-                arrays = [pa.array(c, k) for c, k in zip(rows, kinds)]
-                yield pa.RecordBatch.from_arrays(arrays if payload else arrays[:-1], names if payload else names[:-1])
+                    size_held += 300 + (len(body) if payload and body else 0)
+                    if size_held > 4 * STEP:
+                        yield out(rows)
+                        rows, size_held = [[] for _ in range(9)], 0
+                if rows[0]:
+                    yield out(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return arrow(files, run, ", ".join(f"{f} string" for f in _FIELDS) + ", payload_bytes long" + ", payload binary" * payload)
@@ -150,7 +205,9 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
 def assemble(found: DataFrame) -> DataFrame:
     """One row per capture: response, request and metadata as structs, and original, the record that a revisit refers to.
 
-    A request or metadata record without its response, and a response without the others, is a row too.
+    Defined cases: a request or metadata record without its response, and a response without the others, is a row too,
+    with nulls for what is missing; so is a record that names none (no id); several requests or metadata records of one
+    response give a row for each combination; an empty table gives an empty one.
     """
     part = lambda kind: found.where(F.col("type") == kind).select(F.col("concurrent_to").alias("id"), F.struct("record_id", "uri", "page_id").alias(kind))
     main = found.where(F.col("type").isin("response", "revisit"))
@@ -159,10 +216,11 @@ def assemble(found: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Archives of all rows of ``pages``, gzipped, of ARCHIVE_RECORDS records at most."""
+    """Archives of all rows of ``pages``, gzipped, of ARCHIVE_RECORDS records at most and of about ARCHIVE_BYTES."""
     marked = materialise(captures(pages, least))
-    out = records(marked, pages)
-    out.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    n, size = marked.agg(F.count("*"), F.sum(F.when(F.col("original").isNull(), F.col("payload_bytes")).otherwise(0))).first()
+    most = max(1, min(ARCHIVE_RECORDS, ARCHIVE_BYTES * 3 * n // ((size or 0) + 3 * 600 * n))) if n else ARCHIVE_RECORDS
+    records(marked, pages).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def round_trip(pages: DataFrame, least: int = 0, payload: bool = False) -> DataFrame:
@@ -179,6 +237,7 @@ def round_trip(pages: DataFrame, least: int = 0, payload: bool = False) -> DataF
     rows = materialise(assemble(read(spark, path, payload)))
     kind = pages.schema["page_id"].dataType
     rows = rows.select("id", F.col("metadata.page_id").cast(kind).alias("page_id"), "response.*")
-    kept = rows.select(F.col("id").alias("refers_to"), F.col("page_id").alias("__original"), F.lit(True).alias("__there"))
-    out = rows.join(kept.where(F.col("refers_to").isNotNull()), "refers_to", "left")
+    cited = rows.where("refers_to is not null").groupBy("refers_to").agg(F.count("*").alias("n"))
+    kept = rows.where("type = 'response'").select(F.col("id").alias("refers_to"), F.col("page_id").alias("__original")).join(cited, "refers_to")
+    out = join_hot(rows, kept, "refers_to")
     return out.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", F.col("__original")).alias("refers_to"), *(["payload"] if payload else []))
