@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,28 @@ def rolling(agg: Callable[[Column], Column], c: Column | str, first: int, last:
     return F.when(F.count(c).over(frame) == last - first + 1, agg(c).over(frame))
 
 
+def prefixed(panel: DataFrame, columns: dict[str, Column], window: WindowSpec | None = None) -> DataFrame:
+    """``panel`` with running sums and counts of ``columns``, from which ``window_sum`` takes any window in constant time
+    a row, where a sliding frame adds up all of its rows again."""
+    w = (window or by_entity()).rowsBetween(Window.unboundedPreceding, 0)
+    d = panel
+    for name, c in columns.items():
+        d = d.withColumns({f"__s_{name}": F.coalesce(F.sum(c).over(w), F.lit(0.0)), f"__n_{name}": F.count(c).over(w)})
+    return d
+
+
+def window_sum(name: str, n: int, window: WindowSpec | None = None) -> Column:
+    """Sum of a ``prefixed`` column over the last ``n`` rows, NULL unless all of them hold a value."""
+    w = window or by_entity()
+    before = lambda c, none: F.coalesce(F.lag(f"{c}_{name}", n).over(w), F.lit(none))
+    whole = F.col(f"__n_{name}") - before("__n", 0) == n
+    return F.when(whole, F.col(f"__s_{name}") - before("__s", 0.0))
+
+
+def without_prefixes(panel: DataFrame) -> DataFrame:
+    return panel.drop(*(c for c in panel.columns if c.startswith(("__s_", "__n_"))))
+
+
 def compounded(r: Column | str, first: int, last: int, window: WindowSpec | None = None) -> Column:
     """Compounded return over rows ``first`` to ``last``."""
     return F.expm1(rolling(F.sum, log1p_safe(r), first, last, window))

@@ -17,12 +17,13 @@ DIGITS = (4, 4, 3, 4, 4, 3, 4, 4, 2)
 HIGH_LOW = 0
 
 
-def ranked(panel: DataFrame, groups: int = 10, direct: bool = False) -> DataFrame:
-    """Rows with signal and return, standardised per date unless ``direct``, in groups."""
+def ranked(panel: DataFrame, groups: int = 10, direct: bool = False, keys: tuple[str, ...] = (), thin: str = "raise") -> DataFrame:
+    """Rows with signal and return, standardised per date (and ``keys``) unless ``direct``, in groups."""
     d = panel.withColumns({"signal": finite("signal"), "ret": finite("ret")}).dropna(subset=["signal", "ret"])
+    by = (*keys, "date")
     if not direct:
-        d = standardised(d).dropna(subset=["signal"])
-    return quantile_groups(d, groups)
+        d = standardised(d, by=by).dropna(subset=["signal"])
+    return quantile_groups(d, groups, by=by, thin=thin)
 
 
 def weighted(ranked_panel: DataFrame, schemes=SCHEMES, float_cap: str = "cap", total_cap: str = "cap") -> DataFrame:
@@ -31,85 +32,120 @@ def weighted(ranked_panel: DataFrame, schemes=SCHEMES, float_cap: str = "cap", t
     return d.withColumn("w", scheme_weight(F.col("scheme"), float_cap, total_cap)).where("w is not null")
 
 
-def portfolio_returns(w: DataFrame) -> DataFrame:
-    """Per scheme, date and group: raw return, the market's average, and active return; one shuffle to (scheme, date)."""
-    g = w.groupBy("scheme", "date", "grp").agg(F.sum(F.col("w") * F.col("ret")).alias("__wr"), F.sum("w").alias("__w"), F.count("*").alias("n"))
-    all_ = Window.partitionBy("scheme", "date")
+def portfolio_returns(w: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per scheme, date and group: raw return, the market's average, and active return. Rows that ``ranked`` has dealt by
+    date are not shuffled again."""
+    by = [*keys, "scheme", "date"]
+    g = w.groupBy(*by, "grp").agg(F.sum(F.col("w") * F.col("ret")).alias("__wr"), F.sum("w").alias("__w"), F.count("*").alias("n"))
+    all_ = Window.partitionBy(*by)
     g = g.withColumn("raw", F.col("__wr") / F.col("__w")).withColumn("mkt", F.sum("__wr").over(all_) / F.sum("__w").over(all_))
-    return g.select("scheme", "date", "grp", "n", "raw", "mkt", (F.col("raw") - F.col("mkt")).alias("act"))
+    return g.select(*by, "grp", "n", "raw", "mkt", (F.col("raw") - F.col("mkt")).alias("act"))
 
 
-def high_minus_low(port: DataFrame, groups: int = 10) -> DataFrame:
+def high_minus_low(port: DataFrame, groups: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per scheme and date: raw and active return of the top group less the bottom one; NULL if either is missing."""
     leg = lambda c, g: F.max(F.when(F.col("grp") == g, F.col(c)))
-    return port.groupBy("scheme", "date").agg((leg("raw", groups) - leg("raw", 1)).alias("raw"), (leg("act", groups) - leg("act", 1)).alias("act"))
+    return port.groupBy(*keys, "scheme", "date").agg((leg("raw", groups) - leg("raw", 1)).alias("raw"), (leg("act", groups) - leg("act", 1)).alias("act"))
 
 
-def with_high_low(port: DataFrame, groups: int = 10) -> DataFrame:
-    hl = high_minus_low(port, groups).select("scheme", "date", F.lit(HIGH_LOW).alias("grp"), "raw", "act")
-    return port.select("scheme", "date", "grp", "raw", "act").unionByName(hl)
+def with_high_low(port: DataFrame, groups: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``port`` and, as group 0, its high minus low: a date's groups meet once and leave with one row more."""
+    by = [*keys, "scheme", "date"]
+    own = F.collect_list(F.struct("grp", "raw", "act"))
+    leg = lambda c, g: F.max(F.when(F.col("grp") == g, F.col(c)))
+    both = port.groupBy(*by).agg(own.alias("own"), F.struct(F.lit(HIGH_LOW).alias("grp"), (leg("raw", groups) - leg("raw", 1)).alias("raw"), (leg("act", groups) - leg("act", 1)).alias("act")).alias("hl"))
+    return both.select(*by, F.explode(F.concat("own", F.array("hl"))).alias("x")).select(*by, "x.*")
 
 
-def turnover_by_date(w: DataFrame, drop_last: bool = False) -> DataFrame:
-    """Sum of absolute changes of normalised weights, by scheme, date and group, from a date to the next one.
+def turnover_by_date(w: DataFrame, drop_last: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sum of absolute changes of normalised weights, by scheme, date and group, from a date to the next one of ``w``.
 
-    At the last date all weights count as sold, unless ``drop_last``.
+    At the last date all weights count as sold, unless ``drop_last``. A name's weights meet in one window over its own
+    rows: each row gives its change to the next date, and, where the name was not there at the date before, what is
+    bought then. Dates are a dimension with a row each, which is broadcast where ``keys`` do not multiply it.
     """
-    norm = w.withColumn("__p", F.col("w") / F.sum("w").over(Window.partitionBy("scheme", "date", "grp")))
-    dates = w.select("date").distinct()
-    nxt = dates.select("date", F.lead("date").over(Window.orderBy("date")).alias("nxt"))
-    now = norm.select("scheme", "entity", "grp", "date", F.col("__p").alias("__a"))
-    before = nxt.where("nxt is not null").select(F.col("date").alias("__from"), F.col("nxt").alias("date"))
-    then = norm.join(before, "date").select("scheme", "entity", "grp", F.col("__from").alias("date"), F.col("__p").alias("__b"))
-    both = now.join(then, ["scheme", "entity", "grp", "date"], "full")
-    if drop_last:
-        both = both.join(nxt.where("nxt is not null").select("date"), "date", "left_semi")
-    return both.groupBy("scheme", "date", "grp").agg(F.sum(F.abs(F.coalesce("__a", F.lit(0.0)) - F.coalesce("__b", F.lit(0.0)))).alias("turnover"))
+    dates = w.select(*keys, "date").distinct()
+    over = Window.partitionBy(*keys).orderBy("date")
+    dates = dates.select(*keys, "date", F.lag("date").over(over).alias("__before"), F.lead("date").over(over).alias("__after"))
+    norm = w.select(*keys, "scheme", "entity", "grp", "date", (F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "scheme", "date", "grp"))).alias("__p"))
+    norm = norm.join(dates if keys else F.broadcast(dates), [*keys, "date"])
+    own = Window.partitionBy(*keys, "scheme", "entity", "grp").orderBy("date")
+    kept = F.when(F.lead("date").over(own) == F.col("__after"), F.lead("__p").over(own)).otherwise(0.0)
+    there = F.coalesce(F.lag("date").over(own) == F.col("__before"), F.lit(False))
+    d = norm.withColumns({"__out": F.abs(F.col("__p") - kept), "__in": F.when(F.col("__before").isNotNull() & ~there, F.col("__p"))})
+    last = F.col("__after").isNull()
+    moves = F.filter(F.array(
+        F.struct(F.col("date").alias("date"), (F.when(~last, F.col("__out")) if drop_last else F.col("__out")).alias("c")),
+        F.struct(F.col("__before").alias("date"), F.col("__in").alias("c"))), lambda m: m["c"].isNotNull())
+    return d.select(*keys, "scheme", "grp", F.explode(moves).alias("m")).groupBy(*keys, "scheme", F.col("m.date").alias("date"), "grp").agg(F.sum("m.c").alias("turnover"))
+
+
+def _falls(ret: str, by: list[str]) -> tuple[dict, Column]:
+    """Columns of a cumulated return and its fall below the peak so far, to be added in turn, and the aggregate of the
+    largest fall; NULL if any return is missing."""
+    w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    steps = {f"__cum_{ret}": F.exp(F.sum(log1p_safe(ret)).over(w)), f"__fall_{ret}": F.col(f"__cum_{ret}") / F.max(f"__cum_{ret}").over(w) - 1}
+    return steps, F.when(F.count(ret) == F.count(F.lit(1)), -F.min(f"__fall_{ret}"))
 
 
 def max_drawdown(series: DataFrame, ret: str, by: list[str]) -> DataFrame:
     """Largest fall of the cumulated return below its peak so far; NULL if any return is missing."""
-    w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    d = series.withColumn("__cum", F.exp(F.sum(log1p_safe(ret)).over(w)))
-    d = d.withColumn("__fall", F.col("__cum") / F.max("__cum").over(w) - 1)
-    return d.groupBy(*by).agg(F.when(F.count(ret) == F.count(F.lit(1)), -F.min("__fall")).alias("max_dd"))
+    steps, worst = _falls(ret, by)
+    d = series
+    for name, c in steps.items():
+        d = d.withColumn(name, c)
+    return d.groupBy(*by).agg(worst.alias("max_dd"))
 
 
-def performance(port: DataFrame, turnover: DataFrame, groups: int, ppy: int, rounded: bool = True) -> DataFrame:
-    """Long table (scheme, grp, metric, value); group 0 is high minus low. Ratios come from unrounded values."""
-    s = with_high_low(port, groups)
+def performance(port: DataFrame, turnover: DataFrame, groups: int, ppy: int, rounded: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Long table (scheme, grp, metric, value); group 0 is high minus low. Ratios come from unrounded values.
+
+    All of a series' metrics are one pass: its windows and aggregates share the partitioning by scheme and group.
+    """
     p, root = float(ppy), float(ppy) ** 0.5
-    by = ["scheme", "grp"]
+    by = [*keys, "scheme", "grp"]
+    (raw, worst), (act, act_worst) = _falls("raw", by), _falls("act", by)
+    s = with_high_low(port, groups, keys)
+    for a, b in zip(raw.items(), act.items()):
+        s = s.withColumns(dict((a, b)))
     stats = s.groupBy(*by).agg(
-        (F.avg("raw") * p).alias("ann_ret"), (F.stddev_samp("raw") * root).alias("ann_risk"), (F.avg("act") * p).alias("act_ret"), (F.stddev_samp("act") * root).alias("act_risk"))
+        (F.avg("raw") * p).alias("ann_ret"), (F.stddev_samp("raw") * root).alias("ann_risk"), (F.avg("act") * p).alias("act_ret"), (F.stddev_samp("act") * root).alias("act_risk"),
+        worst.alias("max_dd"), act_worst.alias("act_max_dd"))
     stats = stats.withColumns({"sharpe": safe_div("ann_ret", "ann_risk"), "info_ratio": safe_div("act_ret", "act_risk")})
     to = turnover.groupBy(*by).agg((F.avg("turnover") * p).alias("turnover"))
-    legs = to.where(F.col("grp").isin(1, groups)).groupBy("scheme").agg(F.lit(HIGH_LOW).alias("grp"), (F.sum("turnover") / 2).alias("turnover"))
-    wide = (stats.join(max_drawdown(s, "raw", by), by).join(max_drawdown(s, "act", by).withColumnRenamed("max_dd", "act_max_dd"), by)
-            .join(to.unionByName(legs), by, "left"))
+    leg = F.when(F.col("grp").isin(1, groups), F.col("turnover"))
+    both = to.groupBy(*by[:-1]).agg(F.collect_list(F.struct("grp", "turnover")).alias("own"), F.struct(F.lit(HIGH_LOW).alias("grp"), (F.sum(leg) / 2).alias("turnover")).alias("hl"))
+    wide = stats.join(both.select(*by[:-1], F.explode(F.concat("own", F.array("hl"))).alias("x")).select(*by[:-1], "x.*"), by, "left")
     value = [F.round(F.col(m), d) if rounded else F.col(m) for m, d in zip(METRICS, DIGITS)]
-    return wide.select("scheme", "grp", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in zip(METRICS, value)))).alias("x")).select("scheme", "grp", "x.metric", "x.value")
+    return wide.select(*by, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in zip(METRICS, value)))).alias("x")).select(*by, "x.metric", "x.value")
 
 
-def backtest(panel: DataFrame, groups: int = 10, ppy: int = 52, schemes=SCHEMES, direct: bool = False) -> DataFrame:
-    """A panel (entity, date, signal, ret, cap) to its long performance table, with the t statistic of high minus low."""
-    w = weighted(ranked(panel, groups, direct), schemes)
-    port = portfolio_returns(w)
-    perf = performance(port, turnover_by_date(w), groups, ppy)
-    t = mean_t(high_minus_low(port, groups).withColumn("grp", F.lit(HIGH_LOW)), "raw", ["scheme", "grp"])
-    return perf.unionByName(t.select("scheme", "grp", F.lit("nw_t").alias("metric"), F.round("t", 2).alias("value")))
+def backtest(panel: DataFrame, groups: int = 10, ppy: int = 52, schemes=SCHEMES, direct: bool = False, keys: tuple[str, ...] = (), thin: str = "raise", float_cap: str = "cap", total_cap: str = "cap") -> DataFrame:
+    """A panel (entity, date, signal, ret, cap) to its long performance table, with the t statistic of high minus low.
+
+    ``keys`` (a model, a horizon) part one panel into several that are tested side by side, in one plan.
+    """
+    w = weighted(ranked(panel, groups, direct, keys, thin), schemes, float_cap, total_cap)
+    port = portfolio_returns(w, keys)
+    perf = performance(port, turnover_by_date(w, keys=keys), groups, ppy, keys=keys)
+    t = mean_t(high_minus_low(port, groups, keys).withColumn("grp", F.lit(HIGH_LOW)), "raw", [*keys, "scheme", "grp"])
+    return perf.unionByName(t.select(*keys, "scheme", "grp", F.lit("nw_t").alias("metric"), F.round("t", 2).alias("value")))
 
 
-def wide(perf: DataFrame, by: list[str]) -> DataFrame:
-    """One row per key with a column for each metric and group."""
-    names = [f"{m}_{'DH' if g == HIGH_LOW else f'D{g:02d}'}" for m in METRICS for g in (HIGH_LOW, 1, 10)]
+def wide(perf: DataFrame, by: list[str], groups: int = 10) -> DataFrame:
+    """One row per key with a column for each metric and group, high minus low first."""
+    names = [f"{m}_{'DH' if g == HIGH_LOW else f'D{g:02d}'}" for m in METRICS for g in range(groups + 1)]
     d = perf.withColumn("__name", F.concat_ws("_", "metric", F.when(F.col("grp") == HIGH_LOW, "DH").otherwise(F.format_string("D%02d", "grp"))))
     return d.groupBy(*by).pivot("__name", names).agg(F.first("value"))
 
 
-def holding_split(first: Column, whole: Column) -> tuple[Column, Column]:
-    """Return of the first days and of the days after them, from the first days' and the whole period's."""
-    return first, F.when(first > -1, (1 + whole) / (1 + first) - 1)
+def holding_split(first: Column, whole: Column, strict: bool = True) -> tuple[Column, Column]:
+    """Return of the first days and of the days after them, from the first days' and the whole period's.
+
+    A return of -100 % or less in the first days leaves no later one: it raises, or with ``strict`` off gives NULL.
+    """
+    gone = F.raise_error(F.lit("a return of -100 % or less in the first days")).cast("double") if strict else F.lit(None).cast("double")
+    return first, F.when(first > -1, (1 + whole) / (1 + first) - 1).when(first <= -1, gone)
 
 
 def sharpe_summary(returns: DataFrame, ret: str, by: list[str], ppy: int) -> DataFrame:
@@ -128,7 +164,7 @@ def rule_high_low(positions: DataFrame, groups: int) -> DataFrame:
     by = ("rule_id", "date")
     d = positions.withColumns({"signal": finite("pos"), "ret": finite("ret")}).dropna(subset=["signal", "ret"])
     d = standardised(d, by=by).dropna(subset=["signal"])
-    d = quantile_groups(d, groups, by=by)
+    d = quantile_groups(d, groups, by=by, thin="drop")
     w = weighted(d).where(F.col("grp").isin(1, groups))
     leg = lambda g: safe_div(F.sum(F.when(F.col("grp") == g, F.col("w") * F.col("ret"))), F.sum(F.when(F.col("grp") == g, F.col("w"))))
     return w.groupBy("rule_id", "scheme", "date").agg((leg(groups) - leg(1)).alias("hl")).where("hl is not null")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import by_entity, compounded, finite, log1p_safe, rolling, safe_div
+from ..functions.expr import by_entity, compounded, finite, log1p_safe, prefixed, rolling, safe_div, window_sum, without_prefixes
 from ..spec import ALIASES, HORIZONS
 
 #: Lengths of the moving averages (fixed values).
@@ -78,8 +78,8 @@ def label_panel(panel: DataFrame, horizons=HORIZONS) -> DataFrame:
 
 
 def momentum() -> Column:
-    """Compounded return over 252 sessions up to 21 sessions ago."""
-    return compounded("ret", -(YEAR + MONTH - 1), -MONTH)
+    """Compounded return over 252 sessions up to 21 sessions ago; needs ``log_ret`` among the prefixed columns."""
+    return F.expm1(F.lag("__year", MONTH).over(by_entity()))
 
 
 def reversal(n: int) -> Column:
@@ -90,22 +90,27 @@ def distance_to_high() -> Column:
     return safe_div("close", rolling(F.max, "high", -(YEAR - 1), 0))
 
 
-def ma_ratio(length: int) -> Column:
-    return safe_div(rolling(F.avg, "close", -(length - 1), 0), "close")
-
-
 def trend_signals(panel: DataFrame) -> DataFrame:
     """Momentum, reversals, distance to the year's high and moving-average ratios; prices enter as absolute values."""
     d = panel.withColumns({c: F.abs(c) for c in ("close", "high")})
-    return d.withColumns({"mom": momentum(), "rev_month": reversal(MONTH), "rev_week": reversal(WEEK), "dist_high": distance_to_high()} | {f"ma{n}": ma_ratio(n) for n in MA_LENGTHS})
+    d = prefixed(d, {"close": F.col("close"), "log_ret": log1p_safe("ret")}).withColumn("__year", window_sum("log_ret", YEAR))
+    d = d.withColumns({"mom": momentum(), "rev_month": reversal(MONTH), "rev_week": reversal(WEEK), "dist_high": distance_to_high()} | {f"ma{n}": safe_div(window_sum("close", n) / n, "close") for n in MA_LENGTHS})
+    return without_prefixes(d).drop("__year")
 
 
 def rolling_beta(panel: DataFrame, market: DataFrame, n: int = YEAR) -> DataFrame:
-    """Covariance with the market over its variance; ``market`` has date and mkt_ret and is as small as the calendar."""
+    """Covariance with the market over its variance; ``market`` has date and mkt_ret and is as small as the calendar.
+
+    Both come from sums of an entity's returns less its own means, so that no small difference of large sums is taken.
+    """
     d = panel.join(market, "date", "left")
-    frame = by_entity().rowsBetween(-(n - 1), 0)
-    both = (F.count("ret").over(frame) == n) & (F.count("mkt_ret").over(frame) == n)
-    return d.withColumn("beta", F.when(both, safe_div(F.covar_samp("ret", "mkt_ret").over(frame), F.var_samp("mkt_ret").over(frame))))
+    own = Window.partitionBy("entity")
+    x, y = F.col("ret") - F.avg("ret").over(own), F.col("mkt_ret") - F.avg("mkt_ret").over(own)
+    d = d.withColumns({"__x": x, "__y": y})
+    d = prefixed(d, {"x": F.col("__x"), "y": F.col("__y"), "xy": F.col("__x") * F.col("__y"), "yy": F.col("__y") * F.col("__y")})
+    sx, sy = window_sum("x", n), window_sum("y", n)
+    beta = safe_div(window_sum("xy", n) - sx * sy / n, window_sum("yy", n) - sy * sy / n)
+    return without_prefixes(d.withColumn("beta", beta)).drop("__x", "__y")
 
 
 def rolling_vol(n: int = MONTH) -> Column:

@@ -29,8 +29,10 @@ def mean_t(series: DataFrame, c: str, by: list[str], lags: int | str | None = "a
         lags = int(lags)
     lag = auto_lag(F.col("__n")) if lags == "auto" else F.least(F.lit(int(lags or 0)), F.col("__n") - 1).cast("int")
     d = d.withColumn("__lag", lag)
-    # each residual with those of the next lags, as an array: bounded by the lag, which grows as the power 2/9
-    ahead = F.collect_list("__e").over(w.rowsBetween(0, 64 if lags == "auto" else max(1, int(lags or 0))))
+    # each residual with those of the next lags, as an array: the lag grows as the power 2/9 of a series' length, and a
+    # million of observations have one of 32; 400 are enough for 10^11
+    ahead = F.collect_list("__e").over(w.rowsBetween(0, 400 if lags == "auto" else max(1, int(lags or 0))))
+    ahead = F.slice(ahead, 1, F.col("__lag") + 1)
     d = d.withColumn("__ahead", ahead)
     weight = lambda i: F.when(i == 0, F.lit(1.0)).otherwise(2 * (1 - i / (F.col("__lag") + 1)))
     term = F.aggregate(F.sequence(F.lit(0), F.least(F.col("__lag"), F.size("__ahead") - 1)), F.lit(0.0), lambda acc, i: acc + weight(i) * F.col("__e") * F.get("__ahead", i))

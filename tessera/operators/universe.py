@@ -47,10 +47,13 @@ def eligible(*excluded: Column) -> Column:
     return out
 
 
-def to_universe(panel: DataFrame, membership: DataFrame, mask: Column | None = None) -> DataFrame:
-    """Rows whose (entity, date) is a member, then the mask."""
+def to_universe(panel: DataFrame, membership: DataFrame, mask: Column | None = None, must: bool = False) -> DataFrame:
+    """Rows whose (entity, date) is a member, then the mask; ``must``: raises ``ValueError`` where none is left."""
     out = panel.join(membership.select("entity", "date").distinct(), ["entity", "date"], "left_semi")
-    return out if mask is None else out.where(mask)
+    out = out if mask is None else out.where(mask)
+    if must and out.isEmpty():
+        raise ValueError("no row of the panel lies in the universe")
+    return out
 
 
 def ever_member(panel: DataFrame, membership: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import by_date, clip, finite, safe_div
+from ..functions.expr import clip, finite, safe_div
 
 #: Pairs that a date needs to count (fixed value).
 LEAST_PAIRS = 30
@@ -24,10 +24,18 @@ def standardised(panel: DataFrame, signal: str = "signal", by: tuple[str, ...] =
     return d.withColumn(out or signal, zscore(F.col("__z"), list(by))).drop("__z")
 
 
-def quantile_groups(panel: DataFrame, groups: int = 10, signal: str = "signal", by: tuple[str, ...] = ("date",)) -> DataFrame:
-    """Groups 1 to ``groups`` by rank, ties in order of entity; dates with fewer names than groups drop out."""
+def quantile_groups(panel: DataFrame, groups: int = 10, signal: str = "signal", by: tuple[str, ...] = ("date",), thin: str = "raise") -> DataFrame:
+    """Groups 1 to ``groups`` by rank, ties in order of entity; dates with fewer names than groups raise, or with ``thin``
+    "drop" they are left out."""
     w = Window.partitionBy(*by)
-    d = panel.withColumn("__n", F.count("*").over(w)).where(F.col("__n") >= groups)
+    n = F.count("*").over(w)
+    d = panel.withColumn("__n", n)
+    if thin == "drop":
+        d = d.where(F.col("__n") >= groups)
+    elif thin == "raise":
+        d = d.withColumn("__n", F.when(F.col("__n") < groups, F.raise_error(F.concat(F.lit(f"fewer than {groups} names at "), F.concat_ws(", ", *(F.col(c).cast("string") for c in by)))).cast("long")).otherwise(F.col("__n")))
+    else:
+        raise ValueError(f"thin is raise or drop, not {thin}")
     rank = F.row_number().over(w.orderBy(signal, "entity"))
     g = F.least(F.lit(groups), F.floor((rank - 1) * groups / F.col("__n")) + 1)
     return d.withColumn("grp", g.cast("int")).drop("__n")
@@ -73,7 +81,3 @@ def market_return(panel: DataFrame) -> DataFrame:
 
 def binary_target(c: Column, above: float = 0.0) -> Column:
     return F.when(c.isNotNull(), F.when(c > above, 1).otherwise(0))
-
-
-def demeaned(c: str) -> Column:
-    return F.col(c) - F.avg(c).over(by_date())

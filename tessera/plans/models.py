@@ -9,7 +9,7 @@ from ..functions.expr import compounded
 from ..operators import asof, calendar, model, portfolio, raster, regress, signals, stats, universe, xsection
 from ..sources.panels import period_panel, su_daily, table
 from .series import rounded
-from .sqlkit import roll, sql
+from .sqlkit import backtest_sql, comp, roll, sql
 
 Q: dict = {}
 S: dict = {}
@@ -59,11 +59,9 @@ def sample_split(spark, sf):
 
 @query()
 def stand_in_scores(spark, sf):
-    su = raster.scaled_lags(su_daily(spark, sf)).withColumn("label", xsection.binary_target(compounded("ret", 1, 5)))
-    features = [f"{c}_lag{k}" for c in ("open", "high", "low", "close") for k in range(1, 6) if (c, k) != ("close", 5)]
-    rows = su.select("entity", "date", "label", *features).dropna()
-    train, test = model.time_split(rows, "1997-12-31", "1998-01-01")
-    return model.stand_in_scores(model.fit_stand_in(train, features, "label"), test)
+    from .pipelines import stand_in_predictions
+
+    return stand_in_predictions(su_daily(spark, sf), "1997-12-31", "1998-01-01")
 
 
 def month_end(spark, sf) -> DataFrame:
@@ -72,7 +70,7 @@ def month_end(spark, sf) -> DataFrame:
     d = signals.liquidity_panel(signals.trend_signals(su), xsection.market_return(su)).withColumn("ret_ahead", compounded("ret", 1, 5))
     d = d.withColumn("size", F.log(F.when(F.col("cap") > 0, F.col("cap"))))
     ends = period_panel(su, "month").select("entity", "date", "period")
-    pred = su.where("pmod(entity + day(date), 4) = 0").select("entity", "date", (1 / (1 + F.exp(-(F.col("close") - F.col("open")) / F.col("close")))).alias("p_up"))
+    pred = period_panel(su, "week").select("entity", "date", (1 / (1 + F.exp(-(F.col("close") - F.col("open")) / F.col("close")))).alias("p_up"))
     return asof.as_of_join(asof.at_dates(ends, d.drop("period")), pred, "p_up")
 
 
@@ -81,7 +79,7 @@ _CHARS = ("rev_week", "rev_month", "volatility", "illiquidity", "size")
 
 @query(sql("month mkt", f"""SELECT m.entity, m.period, round(c.vol21, 6) AS volatility, round(c.dist, 6) AS dist_high, round(p.p_up, 6) AS p_up FROM mo m
 LEFT JOIN (SELECT entity, date, {roll('stddev_samp', 'ret', -20, 0)} AS vol21, close / nullif({roll('max', 'high', -251, 0)}, 0) AS dist FROM su) c ON m.entity = c.entity AND m.date = c.date
-ASOF LEFT JOIN (SELECT entity, date, 1 / (1 + exp(-(close - open) / close)) AS p_up FROM su WHERE (entity + day(date)) % 4 = 0) p ON m.entity = p.entity AND m.date >= p.date"""))
+ASOF LEFT JOIN (SELECT entity, max(date) AS date, arg_max(1 / (1 + exp(-(close - open) / close)), date) AS p_up FROM su GROUP BY entity, date_trunc('week', date)) p ON m.entity = p.entity AND m.date >= p.date"""))
 def month_end_panel(spark, sf):
     return rounded(month_end(spark, sf), "volatility", "dist_high", "p_up").select("entity", "period", "volatility", "dist_high", "p_up")
 
@@ -126,24 +124,37 @@ def table_scaled_lags_logit(spark, sf):
     return regress.fama_macbeth(m, "y", features)
 
 
-@query()
+def _backtest(needs: str, source: str, groups: int = 5, ppy: int = 12, keys: tuple[str, ...] = ()) -> str:
+    ctes, body = backtest_sql("src", groups, ppy, keys)
+    return sql(needs, body, source + "," + ctes)
+
+
+def _ahead(panel: str, returns: str, lag: int, columns: str) -> str:
+    """Rows of a panel with the return ``lag`` of its own dates later."""
+    cal = f"(SELECT date, row_number() OVER (ORDER BY date) AS ord FROM (SELECT DISTINCT date FROM {panel}))"
+    return f"SELECT {columns}, r.ret FROM {panel} s JOIN {cal} a ON s.date = a.date JOIN {cal} b ON b.ord = a.ord + {lag} JOIN {returns} r ON r.entity = s.entity AND r.date = b.date"
+
+
+@query(_backtest("month", f"""
+md AS (SELECT entity, period AS date, cap, close, vol, ret FROM mo), base AS (SELECT * FROM md WHERE cap > 100),
+lagged AS ({_ahead('base', 'md', 1, 's.entity, s.date, s.cap, s.close, s.vol')}),
+src AS (SELECT 'close' AS factor, entity, date, close AS signal, ret, cap FROM lagged UNION ALL SELECT 'vol', entity, date, vol, ret, cap FROM lagged)""", keys=("factor",)))
 def factor_backtest(spark, sf):
-    """A generic factor panel: universe, caps at formation, next period's return, several signals, one table each."""
+    """A generic factor panel: universe, caps at formation, next period's return, several signals in one plan."""
     mo = period_panel(su_daily(spark, sf), "month").withColumn("date", F.col("period"))
-    base = universe.to_universe(mo, mo.where("cap > 100").select("entity", "date"))
+    base = universe.to_universe(mo, mo.where("cap > 100").select("entity", "date"), must=True)
     lagged = asof.lagged_return(base.select("entity", "date", "cap", "close", "vol", "ret"), mo.select("entity", "date", "ret"), 1)
-    out = None
-    for s in ("close", "vol"):
-        t = portfolio.backtest(lagged.withColumn("signal", F.col(s)), 5, 12).withColumn("factor", F.lit(s))
-        out = t if out is None else out.unionByName(t)
-    return out
+    factors = F.explode(F.array(*(F.struct(F.lit(s).alias("factor"), F.col(s).alias("signal")) for s in ("close", "vol"))))
+    return portfolio.backtest(lagged.select("entity", "date", "ret", "cap", factors.alias("x")).select("entity", "date", "ret", "cap", "x.*"), 5, 12, keys=("factor",), thin="drop")
 
 
-@query()
+@query(_backtest("month", f"""
+top AS (SELECT entity, period AS date, ret, ret AS signal, cap FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER BY cap DESC, entity) AS r FROM mo WHERE cap > 0) WHERE r <= 50),
+src AS ({_ahead('top', 'top', 1, 's.entity, s.date, s.signal, s.cap')})"""))
 def top_n_backtest(spark, sf):
     mo = period_panel(su_daily(spark, sf), "month").withColumn("date", F.col("period"))
     d = universe.top_by_cap(mo, 50).withColumn("signal", F.col("ret"))
-    return portfolio.backtest(asof.eval_horizon(d.select("entity", "date", "signal", "ret", "cap"), 2), 5, 12)
+    return portfolio.backtest(asof.eval_horizon(d.select("entity", "date", "signal", "ret", "cap"), 2), 5, 12, thin="drop")
 
 
 @query(sql("su", """SELECT period AS as_of, count(*) AS n FROM su JOIN (SELECT CAST(date_trunc('month', date) AS DATE) AS period, max(date) AS date FROM su GROUP BY 1) USING (date) GROUP BY 1"""))
@@ -170,26 +181,73 @@ def rule_scan(spark, sf):
     return scan(su_daily(spark, sf), rules.manifest(), 20, 5)
 
 
-@query()
+_BENCH = f"""
+sig AS (SELECT entity, date, cap, {comp(1, 20)} AS ret, {comp(-272, -21)} AS mom, -({comp(-20, 0)}) AS rev_month, -({comp(-4, 0)}) AS rev_week FROM su),
+ends AS (SELECT max(date) AS date FROM su GROUP BY date_trunc('month', date)), at0 AS (SELECT sig.* FROM sig SEMI JOIN ends USING (date)),
+"""
+
+
+def _bench_rows(name: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS model, CAST({h} AS INTEGER) AS eval_horizon, entity, date, signal, ret, cap FROM ({_ahead('at0', 'at0', h - 1, f's.entity, s.date, s.{name} AS signal, s.cap')})" for h in (2, 3))
+
+
+@query(_backtest("su", _BENCH + "src AS (" + " UNION ALL ".join(map(_bench_rows, ("mom", "rev_month", "rev_week"))) + ")", keys=("model", "eval_horizon")))
 def benchmark_backtests(spark, sf):
-    from .pipelines import backtests
+    """Momentum and the reversals at month ends, for the second and the third holding period, in one plan."""
+    from .pipelines import backtests, benchmark_signals
 
-    d = period_panel(su_daily(spark, sf), "month").withColumn("date", F.col("period"))
-    panels = {n: d.select("entity", "date", F.col(c).alias("signal"), "ret", "cap") for n, c in (("price", "close"), ("volume", "vol"))}
-    return backtests(panels, 20, 5, eval_horizons=(2, 3))
+    return backtests(benchmark_signals(su_daily(spark, sf), 20, ("mom", "rev_month", "rev_week")), 20, 5, eval_horizons=(2, 3), thin="drop")
 
 
 @query()
+def trend_score_backtest(spark, sf):
+    """The score of the moving averages, which a regression per date smooths, for its own holding period."""
+    from .pipelines import backtests, benchmark_signals
+
+    return backtests(benchmark_signals(su_daily(spark, sf), 20, ("trend_score",)), 20, 5, thin="drop")
+
+
+@query(_backtest("su", f"""
+r0 AS (SELECT entity, date, cap, close, {comp(1, 5)} AS r5, {comp(1, 20)} AS r20 FROM su),
+r1 AS (SELECT entity, CAST(date_trunc('month', date) AS DATE) AS period, max(date) AS date FROM su GROUP BY ALL),
+r2 AS (SELECT r0.entity, r1.period AS date, cap, close AS signal, r5, r20 FROM r1 JOIN r0 ON r0.entity = r1.entity AND r0.date = r1.date),
+src AS (SELECT 'price' AS model, 'first' AS days, entity, date, signal, r5 AS ret, cap FROM r2 UNION ALL SELECT 'price', 'later', entity, date, signal, CASE WHEN r5 > -1 THEN (1 + r20) / (1 + r5) - 1 END, cap FROM r2)""", keys=("model", "days")))
 def holding_breakdown(spark, sf):
     from .pipelines import holding_breakdown as breakdown
 
     su = su_daily(spark, sf).withColumns({"r5": compounded("ret", 1, 5), "r20": compounded("ret", 1, 20), "period": F.to_date(F.date_trunc("month", "date"))})
     last = su.groupBy("entity", "period").agg(F.max_by(F.struct("r5", "r20", "cap", F.col("close").alias("signal")), "date").alias("x")).select("entity", F.col("period").alias("date"), "x.*")
-    return breakdown({"price": last}, "r5", "r20", 5)
+    return breakdown({"price": last}, "r5", "r20", 5, thin="drop")
+
+
+@query(sql("su", f"""SELECT entity, date, round(r5, 6) AS ret_5d, round(r20, 6) AS ret_20d, round(r5, 6) AS ret_week, round(r20, 6) AS ret_month, CASE WHEN r5 IS NULL THEN 2 WHEN r5 > 0 THEN 1 ELSE 0 END AS ret_5d_label,
+CASE WHEN ret IS NULL THEN 2 WHEN ret > 0 THEN 1 ELSE 0 END AS ret_label FROM (SELECT *, {comp(1, 5)} AS r5, {comp(1, 20)} AS r20 FROM (SELECT su.* FROM su SEMI JOIN mem USING (entity, date)))""",
+           "mem AS (SELECT DISTINCT entity, date FROM su WHERE cap > 20000)"))
+def prepared_labels(spark, sf):
+    """Daily labels of a universe's members, with the named horizons."""
+    from .pipelines import prepare_labels
+
+    su = su_daily(spark, sf)
+    d = prepare_labels(su, su.where("cap > 20000").select("entity", "date"), horizons=(5, 20))
+    return rounded(d.select("entity", "date", "ret_5d", "ret_20d", *(F.col(f"ret_{n}") for n in ("week", "month")), "ret_5d_label", "ret_label"), "ret_5d", "ret_20d", "ret_week", "ret_month")
 
 
 @query()
 def labelled_images(spark, sf):
+    """Charts with labels for every window and sampling frequency."""
     from .pipelines import build_images
 
-    return build_images(su_daily(spark, sf), (5,), (5,))[5, 5].select("entity", "date", "window", "year", "ret", "label", F.length("image").alias("n_bytes"))
+    out = None
+    for (window, horizon), d in build_images(su_daily(spark, sf), cross=True).items():
+        d = d.select("entity", "date", "window", F.lit(horizon).alias("horizon"), "year", "ret", "label", F.length("image").alias("n_bytes"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query()
+def image_predictions(spark, sf):
+    """Mean scores of two networks with fixed weights on the test period's charts, pixel statistics from the training period."""
+    from .pipelines import build_images, predictions
+
+    images = build_images(su_daily(spark, sf), (5,), (20,), cross=True)[5, 20]
+    return predictions(images, [model.random_weights(5, filters=4, seed=k) for k in (0, 1)], 5, "1996-12-31", "1997-01-01")

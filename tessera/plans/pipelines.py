@@ -52,37 +52,32 @@ def predictions(images: DataFrame, seeds: list[dict], window: int, last_train: s
     return asof.ensemble([model.convolutional_scores(test, w, window, s["mean"], s["std"]) for w in seeds])
 
 
-def backtests(panels: dict[str, DataFrame], horizon: int, groups: int = 10, direct: bool = False, top_n: int | None = None, start: str | None = None, eval_horizons=(1,), periods_per_year: int | None = None, schemes=SCHEMES) -> DataFrame:
-    """Performance of several signal panels (entity, date, signal, ret, cap) by model and evaluation horizon, one job."""
-    ppy = periods_per_year or PERIODS_PER_YEAR[horizon]
-    out = []
+def backtests(panels: dict[str, DataFrame], horizon: int, groups: int = 10, direct: bool = False, top_n: int | None = None, start: str | None = None, eval_horizons=(1,), periods_per_year: int | None = None, schemes=SCHEMES, thin: str = "raise") -> DataFrame:
+    """Performance of several signal panels (entity, date, signal, ret, cap) by model and evaluation horizon: all of them
+    are rows of one panel, so ranking, weights and statistics are planned once."""
+    rows = []
     for name, panel in panels.items():
         d = calendar.between_dates(panel, start)
         d = universe.top_by_cap(d, top_n).drop("cap_rank") if top_n else d
-        for h in eval_horizons:
-            perf = portfolio.backtest(asof.eval_horizon(d, h), groups, ppy, schemes, direct)
-            out.append(perf.select(F.lit(name).alias("model"), F.lit(h).alias("eval_horizon"), "*"))
-    return reduce(DataFrame.unionByName, out)
+        rows += [asof.eval_horizon(d, h).select(F.lit(name).alias("model"), F.lit(h).alias("eval_horizon"), "entity", "date", "signal", "ret", "cap") for h in eval_horizons]
+    one = reduce(DataFrame.unionByName, rows)
+    return portfolio.backtest(one, groups, periods_per_year or PERIODS_PER_YEAR[horizon], schemes, direct, ("model", "eval_horizon"), thin)
 
 
 def benchmark_signals(panel: DataFrame, horizon: int, names=("mom", "rev_month", "rev_week", "trend_score")) -> dict[str, DataFrame]:
     """Signal panels at period ends: momentum, reversals, and the score of the moving averages."""
-    d = signals.trend_signals(panel).withColumn("ret_ahead", compounded("ret", 1, horizon))
-    at = as_of_rows(d, horizon)
+    at = as_of_rows(signals.trend_signals(panel).withColumn("ret_ahead", compounded("ret", 1, horizon)), horizon)
     if "trend_score" in names:
         at = regress.trend_scores(at, [f"ma{n}" for n in signals.MA_LENGTHS])
     return {n: at.select("entity", "date", F.col(n).alias("signal"), F.col("ret_ahead").alias("ret"), "cap") for n in names}
 
 
-def holding_breakdown(panels: dict[str, DataFrame], first: str, whole: str, groups: int = 10, ppy: int = 12, direct: bool = False) -> DataFrame:
-    """Performance of the first days of a holding period and of the days after them."""
-    out = []
-    for name, panel in panels.items():
-        a, b = portfolio.holding_split(F.col(first), F.col(whole))
-        for part, ret in (("first", a), ("later", b)):
-            perf = portfolio.backtest(panel.withColumn("ret", ret), groups, ppy, direct=direct)
-            out.append(perf.select(F.lit(name).alias("model"), F.lit(part).alias("days"), "*"))
-    return reduce(DataFrame.unionByName, out)
+def holding_breakdown(panels: dict[str, DataFrame], first: str, whole: str, groups: int = 10, ppy: int = 12, direct: bool = False, thin: str = "raise", strict: bool = True) -> DataFrame:
+    """Performance of the first days of a holding period and of the days after them, by model and days."""
+    a, b = portfolio.holding_split(F.col(first), F.col(whole), strict)
+    parts = F.explode(F.array(F.struct(F.lit("first").alias("days"), a.alias("ret")), F.struct(F.lit("later").alias("days"), b.alias("ret"))))
+    rows = [p.select(F.lit(name).alias("model"), "entity", "date", "signal", "cap", parts.alias("x")).select("model", "entity", "date", "signal", "cap", "x.*") for name, p in panels.items()]
+    return portfolio.backtest(reduce(DataFrame.unionByName, rows), groups, ppy, direct=direct, keys=("model", "days"), thin=thin)
 
 
 def rule_scan(panel: DataFrame, chosen: list[rules.Rule], horizon: int = 20, groups: int = 10) -> DataFrame:

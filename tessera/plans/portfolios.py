@@ -9,7 +9,7 @@ from ..functions.expr import compounded
 from ..operators import portfolio, regress, report, rules, signals, stats, xsection
 from ..sources.panels import ev_daily, period_panel, su_daily, table
 from .series import rounded
-from .sqlkit import comp, roll, sql
+from .sqlkit import backtest_sql, comp, roll, sql
 
 Q: dict = {}
 S: dict = {}
@@ -34,11 +34,11 @@ def panel(spark, sf) -> DataFrame:
 
 
 def weights(spark, sf) -> DataFrame:
-    return portfolio.weighted(portfolio.ranked(panel(spark, sf), GROUPS))
+    return portfolio.weighted(portfolio.ranked(panel(spark, sf), GROUPS, thin="drop"))
 
 
 def hl_series(spark, sf, groups: int = GROUPS) -> DataFrame:
-    port = portfolio.portfolio_returns(portfolio.weighted(portfolio.ranked(panel(spark, sf), groups)))
+    port = portfolio.portfolio_returns(portfolio.weighted(portfolio.ranked(panel(spark, sf), groups, thin="drop")))
     return rounded(portfolio.high_minus_low(port, groups), "raw", "act")
 
 
@@ -58,12 +58,12 @@ def xs_standardize(spark, sf):
 
 @query(sql("grp", "SELECT entity, date, grp, printf('D%02d', grp) AS label FROM grp"))
 def quantile_groups(spark, sf):
-    return portfolio.ranked(panel(spark, sf), GROUPS).select("entity", "date", "grp", xsection.group_name(F.col("grp")).alias("label"))
+    return portfolio.ranked(panel(spark, sf), GROUPS, thin="drop").select("entity", "date", "grp", xsection.group_name(F.col("grp")).alias("label"))
 
 
 @query(sql("panel", "SELECT entity, date, grp FROM (SELECT entity, date, CAST(least(5, floor((row_number() OVER (PARTITION BY date ORDER BY signal, entity) - 1) * 5 / count(*) OVER (PARTITION BY date)) + 1) AS INTEGER) AS grp, count(*) OVER (PARTITION BY date) AS n FROM panel) WHERE n >= 5"))
 def direct_signal_groups(spark, sf):
-    return portfolio.ranked(panel(spark, sf), GROUPS, direct=True).select("entity", "date", "grp")
+    return portfolio.ranked(panel(spark, sf), GROUPS, direct=True, thin="drop").select("entity", "date", "grp")
 
 
 _RANK = "rank() OVER (PARTITION BY date ORDER BY {c}) + (count(*) OVER (PARTITION BY date, {c}) - 1) / 2"
@@ -117,9 +117,9 @@ def h1_perf_long(spark, sf):
     return _perf(spark, sf)
 
 
-@query(sql("perf", "SELECT scheme, " + ", ".join(f"max(CASE WHEN metric = '{m}' AND grp = {g} THEN value END) AS {m}_{n}" for m in portfolio.METRICS for g, n in ((0, "DH"), (1, "D01"), (10, "D10"))) + " FROM perf GROUP BY scheme"))
+@query(sql("perf", "SELECT scheme, " + ", ".join(f"max(CASE WHEN metric = '{m}' AND grp = {g} THEN value END) AS {m}_{n}" for m in portfolio.METRICS for g, n in ((0, "DH"), *((g, f"D{g:02d}") for g in range(1, GROUPS + 1)))) + " FROM perf GROUP BY scheme"))
 def h1_perf_wide(spark, sf):
-    return portfolio.wide(_perf(spark, sf), ["scheme"])
+    return portfolio.wide(_perf(spark, sf), ["scheme"], GROUPS)
 
 
 _NW = """
@@ -146,7 +146,7 @@ def plain_t(spark, sf):
 @query(sql("su", f"SELECT entity, date, round(f, 6) AS first_days, round(CASE WHEN f > -1 THEN (1 + h) / (1 + f) - 1 END, 6) AS later_days FROM (SELECT entity, date, {comp(1, 5)} AS f, {comp(1, 20)} AS h FROM su)"))
 def holding_split(spark, sf):
     d = su_daily(spark, sf).select("entity", "date", compounded("ret", 1, 5).alias("f"), compounded("ret", 1, 20).alias("h"))
-    a, b = portfolio.holding_split(F.col("f"), F.col("h"))
+    a, b = portfolio.holding_split(F.col("f"), F.col("h"), strict=False)
     return rounded(d.select("entity", "date", a.alias("first_days"), b.alias("later_days")), "first_days", "later_days")
 
 
@@ -360,8 +360,11 @@ def report_cells(spark, sf):
     return t.select("scheme", "cell", number.alias("number"), marks.alias("marks"))
 
 
-@query()
+_BT, _BT_BODY = backtest_sql("panel", GROUPS, 52)
+
+
+@query(sql("panel", _BT_BODY, _BT))
 def backtest_with_t(spark, sf):
-    return portfolio.backtest(panel(spark, sf), GROUPS)
+    return portfolio.backtest(panel(spark, sf), GROUPS, thin="drop")
 
 

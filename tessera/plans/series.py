@@ -155,7 +155,7 @@ def _one(name, expr, source="su"):
 
 @query(_one("mom", comp(-272, -21)))
 def momentum_252_21(spark, sf):
-    return su_daily(spark, sf).select("entity", "date", F.round(signals.momentum(), 6).alias("mom"))
+    return rounded(signals.trend_signals(su_daily(spark, sf)).select("entity", "date", "mom"), "mom")
 
 
 @query(sql("su", f"SELECT entity, date, round(-({comp(-20, 0)}), 6) AS rev_month, round(-({comp(-4, 0)}), 6) AS rev_week, round({comp(-4, 0)}, 6) AS lag_week_ret FROM su"))
@@ -170,7 +170,8 @@ def dist_52wh(spark, sf):
 
 @query(sql("su", "SELECT entity, date, " + ", ".join(f"round({roll('avg', 'close', 1 - n, 0)} / nullif(close, 0), 6) AS ma{n}" for n in signals.MA_LENGTHS) + " FROM su"))
 def ma_ratios(spark, sf):
-    return su_daily(spark, sf).select("entity", "date", *(F.round(signals.ma_ratio(n), 6).alias(f"ma{n}") for n in signals.MA_LENGTHS))
+    ma = [f"ma{n}" for n in signals.MA_LENGTHS]
+    return rounded(signals.trend_signals(su_daily(spark, sf)).select("entity", "date", *ma), *ma)
 
 
 @query(sql("mkt", f"""SELECT entity, date, round(CASE WHEN count(ret) OVER {frame(-251, 0)} = 252 AND count(mkt_ret) OVER {frame(-251, 0)} = 252
@@ -369,11 +370,10 @@ def delist_and_history(spark, sf):
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
-@query(sql("su", f"""SELECT a.entity, a.date, round(a.p, 6) AS p_up, round(b.r, 6) AS ret_5d FROM (SELECT entity, date, 1 / (1 + exp(-(close - open) / close)) AS p FROM su WHERE entity % 2 = 0) a
-JOIN (SELECT entity, date, {comp(1, 5)} AS r FROM su) b USING (entity, date) WHERE a.date >= DATE '1995-01-01'"""))
+@query(sql("su", f"SELECT entity, date, round(1 / (1 + exp(-(close - open) / close)), 6) AS p_up, round(r, 6) AS ret_5d FROM (SELECT *, {comp(1, 5)} AS r FROM su) WHERE date >= DATE '1995-01-01'"))
 def merge_predictions(spark, sf):
     su = su_daily(spark, sf)
-    pred = su.where("entity % 2 = 0").select("entity", "date", (1 / (1 + F.exp(-(F.col("close") - F.col("open")) / F.col("close")))).alias("p_up"))
+    pred = su.select("entity", "date", (1 / (1 + F.exp(-(F.col("close") - F.col("open")) / F.col("close")))).alias("p_up"))
     labels = su.select("entity", "date", compounded("ret", 1, 5).alias("ret_5d"))
     return rounded(asof.merge_on_keys(pred, labels, "1995-01-01"), "p_up", "ret_5d")
 
@@ -402,18 +402,18 @@ def pit_reindex(spark, sf):
     return out.select("entity", "month", F.when(F.col("there"), F.col("date")).alias("date"), F.round("close", 6).alias("close"))
 
 
-@query(sql("ev", "SELECT e.entity, e.date, round(e.close, 6) AS close, round(p.p, 6) AS p_up FROM ev e ASOF LEFT JOIN (SELECT entity, date, close / 100 AS p FROM ev WHERE day(date) % 5 = 0) p ON e.entity = p.entity AND e.date >= p.date"))
+@query(sql("ev", "SELECT e.entity, e.date, round(e.close, 6) AS close, round(p.p, 6) AS p_up FROM ev e ASOF LEFT JOIN (SELECT entity, max(date) AS date, arg_max(close, date) / 100 AS p FROM ev GROUP BY entity, date_trunc('week', date)) p ON e.entity = p.entity AND e.date >= p.date"))
 def asof_join(spark, sf):
     ev = ev_daily(spark, sf)
-    pred = ev.where("day(date) % 5 = 0").select("entity", "date", (F.col("close") / 100).alias("p_up"))
+    pred = period_panel(ev, "week").select("entity", "date", (F.col("close") / 100).alias("p_up"))
     return rounded(asof.as_of_join(ev.select("entity", "date", "close"), pred, "p_up"), "close", "p_up")
 
 
-@query(sql("su", "SELECT entity, date, round((open / 7 + high / 7 + low / 7) / 3, 6) AS p_up FROM su WHERE entity % 3 <> 0 AND vol > 20"))
+@query(sql("su", "SELECT entity, date, round((open / 7 + high / 7 + low / 7) / 3, 6) AS p_up FROM su WHERE cap > 20000 AND vol > 20"))
 def ensemble_mean(spark, sf):
     su = su_daily(spark, sf)
     member = lambda c, keep: su.where(keep).select("entity", "date", (F.col(c) / 7).alias("p_up"))
-    return rounded(asof.ensemble([member("open", "entity % 3 <> 0"), member("high", "vol > 20"), member("low", "true")]), "p_up")
+    return rounded(asof.ensemble([member("open", "cap > 20000"), member("high", "vol > 20"), member("low", "true")]), "p_up")
 
 
 @query(sql("mkt", "SELECT entity, date, round(ret - mkt_ret, 6) AS excess FROM su LEFT JOIN mkt USING (date)"))

@@ -90,3 +90,45 @@ def roll(agg: str, c: str, first: int, last: int) -> str:
 
 def comp(first: int, last: int, r: str = "ret") -> str:
     return f"exp({roll('sum', f'(CASE WHEN {r} > -1 THEN ln(1 + {r}) END)', first, last)}) - 1"
+
+
+def backtest_sql(source: str, groups: int, ppy: int, keys: tuple[str, ...] = ()) -> tuple[str, str]:
+    """Expressions and body of a backtest of ``source`` (keys, entity, date, signal, ret, cap): its performance table with
+    the t statistic of high minus low. Dates with fewer names than groups are left out."""
+    k = "".join(f"{c}, " for c in keys)
+    same = lambda a, b, *more: " AND ".join(f"{a}.{c} = {b}.{c}" for c in (*keys, *more))
+    z = lambda c, by: f"({c} - avg({c}) OVER (PARTITION BY {k}{by})) / nullif(stddev_samp({c}) OVER (PARTITION BY {k}{by}), 0)"
+    root = f"sqrt({ppy}.0)"
+    metrics = {"ann_ret": "round(ann_ret, 4)", "ann_risk": "round(ann_risk, 4)", "sharpe": "round(ann_ret / nullif(ann_risk, 0), 3)", "act_ret": "round(act_ret, 4)", "act_risk": "round(act_risk, 4)",
+               "info_ratio": "round(act_ret / nullif(act_risk, 0), 3)", "max_dd": "round(max_dd, 4)", "act_max_dd": "round(act_max_dd, 4)", "turnover": "round(turnover, 2)"}
+    cum = lambda c: f"exp(sum(CASE WHEN {c} > -1 THEN ln(1 + {c}) END) OVER (PARTITION BY {k}scheme, grp ORDER BY date))"
+    ctes = f"""
+x0 AS (SELECT * FROM {source} WHERE signal IS NOT NULL AND ret IS NOT NULL),
+x1 AS (SELECT *, {z('signal', 'date')} AS z FROM x0),
+x2 AS (SELECT * EXCLUDE (z), CASE WHEN z IS NOT NULL THEN greatest(least(z, 3.0), -3.0) END AS z FROM x1),
+x3 AS (SELECT * EXCLUDE (z, signal), {z('z', 'date')} AS signal FROM x2),
+x4 AS (SELECT *, count(*) OVER (PARTITION BY {k}date) AS names, row_number() OVER (PARTITION BY {k}date ORDER BY signal, entity) AS rn FROM x3 WHERE signal IS NOT NULL),
+x5 AS (SELECT *, CAST(least({groups}, floor((rn - 1) * {groups} / names) + 1) AS INTEGER) AS grp FROM x4 WHERE names >= {groups}),
+xw AS (SELECT x5.*, v.scheme, CASE WHEN v.scheme = 'equal' THEN 1.0 WHEN cap > 0 THEN cap END AS w FROM x5 CROSS JOIN (VALUES ('equal'), ('float'), ('total')) AS v(scheme) WHERE v.scheme = 'equal' OR cap > 0),
+xp0 AS (SELECT {k}scheme, date, grp, sum(w * ret) AS wr, sum(w) AS ww FROM xw GROUP BY ALL),
+xp AS (SELECT {k}scheme, date, grp, wr / ww AS raw, wr / ww - sum(wr) OVER (PARTITION BY {k}scheme, date) / sum(ww) OVER (PARTITION BY {k}scheme, date) AS act FROM xp0),
+xhl AS (SELECT {k}scheme, date, max(CASE WHEN grp = {groups} THEN raw END) - max(CASE WHEN grp = 1 THEN raw END) AS raw, max(CASE WHEN grp = {groups} THEN act END) - max(CASE WHEN grp = 1 THEN act END) AS act FROM xp GROUP BY ALL),
+xs AS (SELECT {k}scheme, date, grp, raw, act FROM xp UNION ALL SELECT {k}scheme, date, 0, raw, act FROM xhl),
+xd0 AS (SELECT *, {cum('raw')} AS c1, {cum('act')} AS c2 FROM xs),
+xd1 AS (SELECT *, c1 / max(c1) OVER (PARTITION BY {k}scheme, grp ORDER BY date) - 1 AS f1, c2 / max(c2) OVER (PARTITION BY {k}scheme, grp ORDER BY date) - 1 AS f2 FROM xd0),
+xm AS (SELECT {k}scheme, grp, avg(raw) * {ppy}.0 AS ann_ret, stddev_samp(raw) * {root} AS ann_risk, avg(act) * {ppy}.0 AS act_ret, stddev_samp(act) * {root} AS act_risk,
+  CASE WHEN count(raw) = count(*) THEN -min(f1) END AS max_dd, CASE WHEN count(act) = count(*) THEN -min(f2) END AS act_max_dd FROM xd1 GROUP BY ALL),
+xn AS (SELECT {k}scheme, entity, grp, date, w / sum(w) OVER (PARTITION BY {k}scheme, date, grp) AS p FROM xw),
+xc AS (SELECT {k}date, lead(date) OVER ({'PARTITION BY ' + k.rstrip(', ') if keys else ''} ORDER BY date) AS nxt FROM (SELECT DISTINCT {k}date FROM xw)),
+xb AS (SELECT {''.join(f'xn.{c}, ' for c in keys)}xn.scheme, xn.entity, xn.grp, xc.date, xn.p FROM xn JOIN xc ON xn.date = xc.nxt {''.join(f' AND xn.{c} = xc.{c}' for c in keys)}),
+xt0 AS (SELECT {''.join(f'coalesce(a.{c}, b.{c}) AS {c}, ' for c in keys)}coalesce(a.scheme, b.scheme) AS scheme, coalesce(a.date, b.date) AS date, coalesce(a.grp, b.grp) AS grp, sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))) AS turnover
+  FROM xn a FULL JOIN xb b ON {same('a', 'b', 'scheme', 'entity', 'grp', 'date')} GROUP BY ALL),
+xt1 AS (SELECT {k}scheme, grp, avg(turnover) * {ppy}.0 AS turnover FROM xt0 GROUP BY ALL),
+xt AS (SELECT * FROM xt1 UNION ALL SELECT {k}scheme, 0, sum(turnover) / 2 FROM xt1 WHERE grp IN (1, {groups}) GROUP BY ALL),
+xa AS (SELECT {''.join(f'xm.{c}, ' for c in keys)}xm.scheme, xm.grp, {', '.join(f'{e} AS {m}' for m, e in metrics.items())} FROM xm LEFT JOIN xt ON {same('xm', 'xt', 'scheme', 'grp')}),
+y0 AS (SELECT {k}scheme, date, raw AS x, raw - avg(raw) OVER (PARTITION BY {k}scheme) AS e, count(*) OVER (PARTITION BY {k}scheme) AS n, row_number() OVER (PARTITION BY {k}scheme ORDER BY date) AS i FROM xhl WHERE raw IS NOT NULL),
+y1 AS (SELECT *, CAST(least(greatest(floor(4 * pow(n / 100.0, 2.0 / 9.0)), 1), n - 1) AS INTEGER) AS lag FROM y0),
+y2 AS (SELECT {''.join(f'a.{c}, ' for c in keys)}a.scheme, max(a.n) AS n, sum(CASE WHEN b.i = a.i THEN 1.0 ELSE 2 * (1 - (b.i - a.i) / (a.lag + 1.0)) END * a.e * b.e) AS s FROM y1 a JOIN y1 b ON {same('a', 'b', 'scheme')} AND b.i BETWEEN a.i AND a.i + a.lag GROUP BY ALL),
+y3 AS (SELECT {''.join(f'y2.{c}, ' for c in keys)}y2.scheme, m.mean / nullif(sqrt(greatest(s, 0) / n / n), 0) AS t FROM y2 JOIN (SELECT {k}scheme, avg(x) AS mean FROM y0 GROUP BY ALL) m ON {same('y2', 'm', 'scheme')})"""
+    body = " UNION ALL ".join(f"SELECT {k}scheme, grp, '{m}' AS metric, {m} AS value FROM xa" for m in metrics) + f" UNION ALL SELECT {k}scheme, 0, 'nw_t', round(t, 2) FROM y3"
+    return ctes, body

@@ -114,60 +114,48 @@ def test_manifest():
     assert [r.rule_id for r in m] == list(range(1, 7847)) and m[0].name == "STW_0001_FR_simple_x0p005" and len({r.name for r in m}) == 7846
 
 
-def _held(raw, c):
-    pos, lock, out = 0, 0, []
-    for x in raw:
-        if lock:
-            lock -= 1
-        elif x:
-            pos, lock = x, max(c - 1, 0)
-        out.append(pos)
-    return out
-
-
-def _filtered(price, x, y, c):
-    good = [p for p in price if p and p > 0]
-    low = high = good[0]
-    pos, lock, out = 0, 0, []
-    for p in price:
-        if not p or p <= 0:
-            out.append(pos)
-            continue
-        if lock:
-            high, low, lock = (max(high, p) if pos > 0 else high), (min(low, p) if pos < 0 else low), lock - 1
-        elif pos == 0:
-            low, high = min(low, p), max(high, p)
-            if p >= low * (1 + x):
-                pos, high, lock = 1, p, max(c - 1, 0)
-            elif p <= high * (1 - x):
-                pos, low, lock = -1, p, max(c - 1, 0)
-        else:
-            if pos > 0:
-                high = max(high, p)
-            else:
-                low = min(low, p)
-            u = x if y is None else y
-            if (pos > 0 and p <= high * (1 - u)) or (pos < 0 and p >= low * (1 + u)):
-                if y is not None:
-                    pos, low, high = 0, p, p
-                elif pos > 0:
-                    pos, low, lock = -1, p, max(c - 1, 0)
-                else:
-                    pos, high, lock = 1, p, max(c - 1, 0)
-        out.append(pos)
-    return out
-
-
-def test_automata_side_by_side_match_one_at_a_time():
-    rng = np.random.default_rng(3)
-    raw = rng.choice([-1, 0, 0, 1], (80, 4)).astype(np.int8)
-    c = np.array([0, 1, 3, 10])
-    assert rules.held(raw, c).T.tolist() == [_held(raw[:, i].tolist(), c[i]) for i in range(4)]
-    price = np.exp(np.cumsum(rng.normal(0, 0.03, 120)))
-    price[[5, 50]] = np.nan
-    x, y, c = np.array([0.02, 0.05, 0.05, 0.1]), np.array([np.nan, np.nan, 0.02, 0.05]), np.array([0, 5, 0, 0])
-    plain = [None if np.isnan(p) else p for p in price]
-    assert rules.filtered(price, x, y, c).T.tolist() == [_filtered(plain, x[i], None if np.isnan(y[i]) else y[i], c[i]) for i in range(4)]
+NAN = float("nan")
+#: Worked by hand: rule (x, unwind, lock), prices, positions.
+FILTER_PATHS = [
+    # flips: long 10 % above the low of 100, short 10 % below the high of 121, long 10 % above the low of 100
+    ((0.1, NAN, 0), [100, 105, 111, 121, 108, 100, 111], [0, 0, 1, 1, -1, -1, 1]),
+    # a fall from flat first; a missing price and one of zero change nothing
+    ((0.1, NAN, 0), [100, 89, NAN, 0, 95, 98.5], [0, -1, -1, -1, -1, 1]),
+    # unwinds at 5 % to flat, where both references start again
+    ((0.1, 0.05, 0), [100, 111, 120, 113, 120, 107.9, 113.5, 125], [0, 1, 1, 0, 0, -1, 0, 1]),
+    # locked for the two rows after an entry, while the own extreme is still followed
+    ((0.1, NAN, 3), [100, 111, 90, 80, 79, 200, 200, 200], [0, 1, 1, 1, -1, -1, -1, 1]),
+    # the extreme of locked rows counts: 130 sets the high that 116 is 10 % below
+    ((0.1, NAN, 3), [100, 111, 130, 130, 116], [0, 1, 1, 1, -1]),
+    ((0.1, NAN, 0), [NAN, NAN], [0, 0]),
+]
+
+
+def test_filter_rules_follow_paths_worked_by_hand():
+    for (x, y, c), price, want in FILTER_PATHS:
+        got = rules.filtered(np.array(price, float), np.array([x]), np.array([y]), np.array([c]))
+        assert got.ravel().tolist() == want
+
+
+def test_rules_side_by_side_do_not_mix():
+    n = max(len(p) for _, p, _ in FILTER_PATHS)
+    one = [100, 111, 120, 113, 120, 107.9, 113.5, 125]
+    params = [f for f, _, _ in FILTER_PATHS]
+    x, y, c = (np.array(v) for v in zip(*params))
+    both = rules.filtered(np.array(one), x, y, c)
+    for i in range(len(params)):
+        assert both[:, i].tolist() == rules.filtered(np.array(one), x[i : i + 1], y[i : i + 1], c[i : i + 1]).ravel().tolist()
+    assert n == 8
+
+
+def test_holding_locks():
+    raw = np.array([[1], [-1], [-1], [0], [-1], [1]], np.int8)
+    hold = lambda c: rules.held(raw, np.array([c])).ravel().tolist()
+    assert hold(0) == [1, -1, -1, -1, -1, 1]
+    assert hold(1) == [1, -1, -1, -1, -1, 1]
+    assert hold(3) == [1, 1, 1, 1, -1, -1]
+    assert hold(10) == [1] * 6
+    assert rules.held(np.repeat(raw, 2, axis=1), np.array([0, 3])).T.tolist() == [hold(0), hold(3)]
 
 
 def test_stop_leaves_and_re_enters():
@@ -201,6 +189,79 @@ def test_charts_pack_and_unpack(spark):
     assert s.mean == pytest.approx(255 * p) and s.std == pytest.approx(255 * math.sqrt(p * (1 - p)))
 
 
+def test_chart_pixels_with_an_average_that_leaves_the_panel():
+    """Prices 100 to 110 over 26 rows: a row is 0.4; the average runs from below the panel to above it, past a gap."""
+    o = np.array([100.0, 104, 104, 104, 104])
+    h, low, c = np.array([110.0, 104, 106, 104, 108]), np.array([100.0, 104, 104, 106, 102]), np.array([110.0, 104, 106, np.nan, 104])
+    vol, ma = np.array([5.0, 10, 0, np.nan, 1]), np.array([98.0, 100, np.nan, 114, 104])
+    img = raster.render(o, h, low, c, vol, ma, 5)
+    want = np.zeros((32, 15), np.uint8)
+    row = lambda v: round((110 - v) / 10 * 25)
+    for d in range(5):
+        a, b = sorted((row(h[d]), row(low[d])))
+        want[a : b + 1, 3 * d + 1] = 1  # high below low is a bar too
+        want[row(o[d]), 3 * d] = 1
+        if c[d] == c[d]:
+            want[row(c[d]), 3 * d + 2] = 1
+    for d, tall in ((0, 2), (1, 5), (4, 1)):  # of 6 rows: halves to even of 5/10 * 5, 10/10 * 5; at least one
+        want[32 - tall :, 3 * d + 1] = 1
+    # the average: day 0 lies five rows below the panel, day 1 on its last row, day 2 is missing, day 3 ten rows above
+    want[25, 3:6] = 1
+    want[row(104), 12:15] = 1
+    # from (25, 4) to (-10, 10), cut at row 0 where the column is 4 + 6 * 25 / 35 = 8.29, so 8: 25 rows over 4 columns;
+    # the middle column 7 is 3 of 4 columns on, nearest for rows 25 - k with 2.5 < k * 4 / 25 <= 3.5
+    want[[25 - k for k in range(26) if 2.5 < k * 4 / 25 <= 3.5], 7] = 1
+    want[[25 - k for k in range(26) if k * 4 / 25 <= 0.5], 4] = 1
+    # from (-10, 10) to (15, 13), cut at row 0 where the column is 10 + 3 * 10 / 25 = 11.2, so 11: 15 rows over 2 columns
+    want[[k for k in range(16) if k * 2 / 15 > 1.5], 13] = 1
+    # from (30, 1) to (25, 4), cut at row 25: the one pixel at its end
+    assert (img == want).all()
+
+
+def test_errors_that_would_hide_bad_input(spark):
+    from pyspark.sql import functions as F
+
+    df = frame(spark, [(i, DAY, float(i)) for i in range(4)], "entity long, date date, signal double")
+    with pytest.raises(Exception, match="fewer than 5 names"):
+        xsection.quantile_groups(df, 5).collect()
+    assert xsection.quantile_groups(df, 5, thin="drop").count() == 0 and xsection.quantile_groups(df, 4).count() == 4
+    first, later = portfolio.holding_split(F.col("signal") - 1, F.col("signal"))
+    with pytest.raises(Exception, match="-100 %"):
+        df.select(first, later).collect()
+    assert df.select(portfolio.holding_split(F.col("signal") - 1, F.col("signal"), strict=False)[1].alias("x")).orderBy("x").first().x is None
+    with pytest.raises(ValueError):
+        universe.to_universe(df, df.where("entity > 9"), must=True)
+
+
+def test_wide_has_every_group(spark):
+    rows = [(s, g, m, float(g)) for s in ("equal", "total") for g in range(4) for m in portfolio.METRICS]
+    got = portfolio.wide(frame(spark, rows, "scheme string, grp int, metric string, value double"), ["scheme"], 3).collect()
+    names = {f"{m}_{g}" for m in portfolio.METRICS for g in ("DH", "D01", "D02", "D03")}
+    assert set(got[0].asDict()) == names | {"scheme"} and all(r.sharpe_D02 == 2.0 and r.turnover_DH == 0.0 for r in got)
+
+
+def test_backtests_side_by_side_equal_one_at_a_time(spark):
+    rng = np.random.default_rng(7)
+    rows = [(m, e, d, float(rng.normal()), float(rng.normal(0, 0.02)), float(rng.integers(1, 50))) for m in ("a", "b") for e in range(15) for d in days(12) if rng.random() < 0.8]
+    df = frame(spark, rows, "model string, entity long, date date, signal double, ret double, cap double")
+    key = lambda d: {(r.model, r.scheme, r.grp, r.metric): r.value for r in d.collect()}
+    from pyspark.sql import functions as F
+
+    both = key(portfolio.backtest(df, 3, 12, keys=("model",)))
+    for m in ("a", "b"):
+        one = key(portfolio.backtest(df.where(F.col("model") == m).drop("model"), 3, 12).withColumn("model", F.lit(m)))
+        assert {k: v for k, v in both.items() if k[0] == m} == one and len(one) == 3 * (4 * 9 + 1)
+
+
+def test_turnover_worked_by_hand(spark):
+    d = days(3)
+    # entity 1 stays (1, 0.5, 1), entity 2 comes at the second date and goes
+    rows = [("equal", 1, 1, d[0], 2.0), ("equal", 1, 1, d[1], 3.0), ("equal", 2, 1, d[1], 3.0), ("equal", 1, 1, d[2], 1.0)]
+    w = frame(spark, rows, "scheme string, entity long, grp int, date date, w double")
+    assert {r.date: r.turnover for r in portfolio.turnover_by_date(w).collect()} == {d[0]: 1.0, d[1]: 1.0, d[2]: 1.0}
+    assert {r.date: r.turnover for r in portfolio.turnover_by_date(w, drop_last=True).collect()} == {d[0]: 1.0, d[1]: 1.0}
+
+
 def test_universe_predicates(spark):
     from pyspark.sql import functions as F
 

@@ -15,9 +15,14 @@ def test_matches_sql(spark, name):
     assert differing(spark, SF, registry.QUERIES[name], registry.ORACLE_SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"chart_images_20", "factor_backtest", "top_n_backtest", "benchmark_backtests"}))
+#: Queries without an SQL twin, and whether the smallest tables (10 entities) leave them any row.
+FEW = {"table_rank_correlation", "table_prediction_logit", "table_return_logit", "table_scaled_lags_logit", "trend_score_backtest", "fama_macbeth_logit"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).columns
+    rows = registry.QUERIES[name](spark, SF).count()
+    assert rows >= 0 if name in FEW else rows > 0
 
 
 def test_entry(spark):
