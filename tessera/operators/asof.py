@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import by_entity
 from .calendar import market_calendar
 
 
@@ -58,7 +57,3 @@ def ensemble(members: list[DataFrame], value: str = "p_up") -> DataFrame:
 def with_market(panel: DataFrame, market: DataFrame) -> DataFrame:
     """A date-level table onto the panel."""
     return panel.join(market, "date", "left")
-
-
-def previous_own(panel: DataFrame, column: str, n: int = 1):
-    return F.lag(column, n).over(by_entity())

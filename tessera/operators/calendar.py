@@ -26,17 +26,23 @@ def period_ends(calendar: DataFrame, unit: str, lo: str | None = None, hi: str |
     return within(ends).select("period", "date")
 
 
-def window_dates(calendar: DataFrame, as_of: DataFrame, n: int, forward: bool = False) -> DataFrame:
+def window_dates(calendar: DataFrame, as_of: DataFrame, n: int, forward: bool = False, strict: bool = True) -> DataFrame:
     """For each as-of date the ``n`` trading dates that end with it, or with ``forward`` the ``n`` that follow it.
 
-    As-of dates that are no trading days, or whose window is not whole, are left out.
+    An as-of date that is no trading day, or whose window is not whole, raises; with ``strict`` off it is left out.
     """
-    a = as_of.select(F.col("date").alias("as_of")).join(calendar, F.col("as_of") == F.col("date")).select("as_of", F.col("ord").alias("at"))
     steps = F.sequence(F.lit(1), F.lit(n)) if forward else F.sequence(F.lit(1 - n), F.lit(0))
-    wanted = a.select("as_of", F.explode(F.transform(steps, lambda s: F.struct(s.alias("step"), (F.col("at") + s).alias("ord")))).alias("w")).select("as_of", "w.step", "w.ord")
-    found = wanted.join(calendar, "ord").select("as_of", "step", "date")
-    whole = found.groupBy("as_of").agg(F.count("*").alias("n")).where(F.col("n") == n).select("as_of")
-    return found.join(whole, "as_of", "left_semi")
+    ends = calendar.agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+    a = as_of.select(F.col("date").alias("as_of")).join(calendar, F.col("as_of") == F.col("date"), "left").crossJoin(F.broadcast(ends))
+    first, last = (F.col("ord") + 1, F.col("ord") + n) if forward else (F.col("ord") - (n - 1), F.col("ord"))
+    whole = F.coalesce((first >= F.col("lo")) & (last <= F.col("hi")), F.lit(False))
+    if strict:
+        why = F.when(F.col("ord").isNull(), F.lit("no trading day: ")).otherwise(F.lit(f"fewer than {n} trading days about "))
+        a = a.withColumn("ord", F.when(whole, F.col("ord")).otherwise(F.raise_error(F.concat(why, F.col("as_of").cast("string"))).cast("long")))
+    else:
+        a = a.where(whole)
+    wanted = a.select("as_of", F.explode(F.transform(steps, lambda s: F.struct(s.alias("step"), (F.col("ord") + s).alias("at")))).alias("w")).select("as_of", "w.step", F.col("w.at").alias("ord"))
+    return wanted.join(calendar, "ord").select("as_of", "step", "date")
 
 
 def neighbours(dates: DataFrame) -> DataFrame:

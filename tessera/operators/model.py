@@ -24,14 +24,8 @@ def time_split(samples: DataFrame, last_train: str, first_test: str) -> tuple[Da
     return samples.where(F.col("date") <= F.lit(last_train).cast("date")), samples.where(F.col("date") >= F.lit(first_test).cast("date"))
 
 
-def random_split(samples: DataFrame, share: float = 0.7, seed: int = 42) -> DataFrame:
-    """Adds ``part`` (train or valid) by a hash of key and seed: the same on every run and any partitioning."""
-    u = F.pmod(F.xxhash64("entity", "date", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return samples.withColumn("part", F.when(u < share, "train").otherwise("valid"))
-
-
 def md5_split(samples: DataFrame, share: float = 0.7, seed: int = 42) -> DataFrame:
-    """As ``random_split``, by a digest that other engines compute alike."""
+    """Adds ``part`` (train or valid) by a digest of key and seed: the same on every run, partitioning and engine."""
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("entity").cast("string"), F.col("date").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return samples.withColumn("part", F.when(u < share, "train").otherwise("valid"))
 

@@ -23,7 +23,7 @@ def decile_curve(perf: DataFrame, metric: str = "ann_ret") -> DataFrame:
     return perf.where((F.col("metric") == metric) & (F.col("grp") != HIGH_LOW)).select("scheme", "grp", group_label(F.col("grp")).alias("label"), "value")
 
 
-def overview(perf: DataFrame, groups: int) -> DataFrame:
+def overview(perf: DataFrame, groups: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows in report order: returns, ratio, drawdown and turnover of high minus low, then the outer groups' returns."""
     rows = [("ret", "ann_ret", HIGH_LOW), ("ir", "info_ratio", HIGH_LOW), ("max_dd", "max_dd", HIGH_LOW), ("to", "turnover", HIGH_LOW), ("d_low", "ann_ret", 1), ("d_high", "ann_ret", groups)]
     place = F.lit(None).cast("int")
@@ -31,7 +31,7 @@ def overview(perf: DataFrame, groups: int) -> DataFrame:
     for i, (n, m, g) in enumerate(rows):
         hit = (F.col("metric") == m) & (F.col("grp") == g)
         place, name = F.when(hit, i).otherwise(place), F.when(hit, n).otherwise(name)
-    return perf.withColumns({"place": place, "row": name}).where("place is not null").select("scheme", "place", "row", "value").orderBy("scheme", "place")
+    return perf.withColumns({"place": place, "row": name}).where("place is not null").select(*keys, "scheme", "place", "row", "value").orderBy(*keys, "scheme", "place")
 
 
 def compare(tables: dict[str, DataFrame], metrics: tuple[str, ...] = ("ann_ret", "sharpe", "turnover")) -> DataFrame:

@@ -58,12 +58,13 @@ def percentile_rank(signal: str, by: tuple[str, ...] = ("date",)) -> Column:
     return average_rank(signal, by) / F.count(signal).over(Window.partitionBy(*by))
 
 
-def spearman(panel: DataFrame, x: str, y: str, least: int = LEAST_PAIRS) -> DataFrame:
-    """Rank correlation per date over rows that have both values."""
-    d = panel.where(finite(x).isNotNull() & finite(y).isNotNull()).select("date", x, y)
-    d = d.withColumn("__a", average_rank(x)).withColumn("__b", average_rank(y))
-    g = d.groupBy("date").agg(F.count("*").alias("n"), F.stddev_samp("__a").alias("__sa"), F.stddev_samp("__b").alias("__sb"), F.covar_samp("__a", "__b").alias("__c"))
-    return g.where(F.col("n") >= least).select("date", F.col("n").cast("long").alias("n"), safe_div("__c", F.col("__sa") * F.col("__sb")).alias("rho"))
+def spearman(panel: DataFrame, x: str, y: str, least: int = LEAST_PAIRS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rank correlation per date (and ``keys``) over rows that have both values."""
+    by = (*keys, "date")
+    d = panel.where(finite(x).isNotNull() & finite(y).isNotNull()).select(*by, x, y)
+    d = d.withColumn("__a", average_rank(x, by)).withColumn("__b", average_rank(y, by))
+    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp("__a").alias("__sa"), F.stddev_samp("__b").alias("__sb"), F.covar_samp("__a", "__b").alias("__c"))
+    return g.where(F.col("n") >= least).select(*by, F.col("n").cast("long").alias("n"), safe_div("__c", F.col("__sa") * F.col("__sb")).alias("rho"))
 
 
 def scheme_weight(scheme: Column | str, float_cap: str = "cap", total_cap: str = "cap") -> Column:

@@ -74,9 +74,6 @@ def month_end(spark, sf) -> DataFrame:
     return asof.as_of_join(asof.at_dates(ends, d.drop("period")), pred, "p_up")
 
 
-_CHARS = ("rev_week", "rev_month", "volatility", "illiquidity", "size")
-
-
 @query(sql("month mkt", f"""SELECT m.entity, m.period, round(c.vol21, 6) AS volatility, round(c.dist, 6) AS dist_high, round(p.p_up, 6) AS p_up FROM mo m
 LEFT JOIN (SELECT entity, date, {roll('stddev_samp', 'ret', -20, 0)} AS vol21, close / nullif({roll('max', 'high', -251, 0)}, 0) AS dist FROM su) c ON m.entity = c.entity AND m.date = c.date
 ASOF LEFT JOIN (SELECT entity, max(date) AS date, arg_max(1 / (1 + exp(-(close - open) / close)), date) AS p_up FROM su GROUP BY entity, date_trunc('week', date)) p ON m.entity = p.entity AND m.date >= p.date"""))
@@ -84,46 +81,6 @@ def month_end_panel(spark, sf):
     return rounded(month_end(spark, sf), "volatility", "dist_high", "p_up").select("entity", "period", "volatility", "dist_high", "p_up")
 
 
-@query()
-def table_rank_correlation(spark, sf):
-    """Mean rank correlation of predictions with characteristics, and its t."""
-    m = month_end(spark, sf).withColumn("date", F.col("period"))
-    out = None
-    for c in _CHARS:
-        t = stats.mean_t(xsection.spearman(m, "p_up", c).withColumn("characteristic", F.lit(c)), "rho", ["characteristic"])
-        out = t if out is None else out.unionByName(t)
-    return out
-
-
-@query()
-def table_prediction_logit(spark, sf):
-    """Fama-MacBeth logit of p > 0.5 on ranked characteristics."""
-    m = month_end(spark, sf).withColumn("date", F.col("period"))
-    m = m.withColumns({c: xsection.percentile_rank(c) for c in _CHARS}).withColumn("y", xsection.binary_target(F.col("p_up"), 0.5))
-    return regress.fama_macbeth(m, "y", list(_CHARS))
-
-
-@query()
-def table_return_logit(spark, sf):
-    """Fama-MacBeth logit of the return's sign on predictions, characteristics, and both, on the joint sample."""
-    m = month_end(spark, sf).withColumn("date", F.col("period"))
-    m = m.withColumns({c: xsection.percentile_rank(c) for c in _CHARS}).withColumn("y", xsection.binary_target(F.col("ret_ahead"))).dropna(subset=["y", "p_up", *_CHARS])
-    out = None
-    for name, xs in (("prediction", ["p_up"]), ("characteristics", list(_CHARS)), ("joint", ["p_up", *_CHARS])):
-        t = regress.fama_macbeth(m, "y", xs).withColumn("model", F.lit(name))
-        out = t if out is None else out.unionByName(t)
-    return out
-
-
-@query()
-def table_scaled_lags_logit(spark, sf):
-    """Fama-MacBeth logit of the return's sign on image-scaled prices; the last close, which is fixed by scaling, stays out."""
-    su = raster.scaled_lags(su_daily(spark, sf)).withColumn("y", xsection.binary_target(compounded("ret", 1, 5)))
-    features = [f"{c}_lag{k}" for c in ("open", "high", "low", "close") for k in (1, 2)]
-    m = su.withColumn("month", F.date_trunc("month", "date").cast("date")).select("entity", F.col("month").alias("date"), "y", *features)
-    return regress.fama_macbeth(m, "y", features)
-
-
 def _backtest(needs: str, source: str, groups: int = 5, ppy: int = 12, keys: tuple[str, ...] = ()) -> str:
     ctes, body = backtest_sql("src", groups, ppy, keys)
     return sql(needs, body, source + "," + ctes)

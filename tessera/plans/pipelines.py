@@ -80,14 +80,16 @@ def holding_breakdown(panels: dict[str, DataFrame], first: str, whole: str, grou
     return portfolio.backtest(reduce(DataFrame.unionByName, rows), groups, ppy, direct=direct, keys=("model", "days"), thin=thin)
 
 
-def rule_scan(panel: DataFrame, chosen: list[rules.Rule], horizon: int = 20, groups: int = 10) -> DataFrame:
+def rule_scan(panel: DataFrame, chosen: list[rules.Rule], horizon: int = 20, groups: int = 10, members: DataFrame | None = None) -> DataFrame:
     """Sharpe ratios of rules by weighting scheme: positions at period ends, high minus low by rule and date.
 
-    Rules stay in rows: however many there are, the plan is one shuffle by entity and one by (rule, date).
+    Rules stay in rows: however many there are, the plan is one shuffle by entity and one by (rule, date). Positions come
+    from whole histories; with ``members`` (entity, date), only members are ranked.
     """
     base = panel.withColumn("ret_ahead", compounded("ret", 1, horizon))
     last = Window.partitionBy("entity", F.date_trunc(UNITS[horizon], "date")).orderBy(F.desc("date"))
     at = base.withColumn("__n", F.row_number().over(last)).where("__n = 1").select("entity", "date", F.to_date(F.date_trunc(UNITS[horizon], "date")).alias("period"), F.col("ret_ahead").alias("ret"), "cap")
+    at = at if members is None else universe.to_universe(at, members)
     pos = rules.positions(panel, chosen, at).join(at, ["entity", "date"]).withColumn("date", F.col("period"))
     hl = portfolio.rule_high_low(pos.withColumn("pos", F.col("pos").cast("double")), groups)
     return portfolio.sharpe_summary(hl, "hl", ["rule_id", "scheme"], PERIODS_PER_YEAR[horizon])

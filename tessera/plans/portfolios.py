@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import compounded
-from ..operators import portfolio, regress, report, rules, signals, stats, xsection
+from ..operators import asof, portfolio, regress, report, rules, signals, stats, xsection
 from ..sources.panels import ev_daily, period_panel, su_daily, table
 from .series import rounded
 from .sqlkit import backtest_sql, comp, roll, sql
@@ -255,7 +255,18 @@ def sharpe_histogram(spark, sf):
     return portfolio.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 80)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::BIGINT)" for k, v in rules.FAMILY_COUNTS.items()) + ") AS v(family, n)")
+#: Counted from the published grids, apart from the code: numbers of values, pairs of averages, and filters whose unwind is smaller.
+_MANIFEST = """
+WITH x(v) AS (VALUES (0.005), (0.01), (0.015), (0.02), (0.025), (0.03), (0.035), (0.04), (0.045), (0.05), (0.06), (0.07), (0.08), (0.09), (0.10), (0.12), (0.14), (0.16), (0.18), (0.20), (0.25), (0.30), (0.40), (0.50)),
+y(v) AS (VALUES (0.005), (0.01), (0.015), (0.02), (0.025), (0.03), (0.04), (0.05), (0.075), (0.10), (0.15), (0.20)),
+fr AS (SELECT (SELECT count(*) FROM x) * (1 + 4 + 8) + (SELECT count(*) FROM x, y WHERE y.v < x.v) AS n),
+pairs AS (SELECT count(*) AS n FROM range(15) a(i), range(15) b(j) WHERE i < j),
+averages AS (SELECT n * (1 + 8 + 4 + 5) + 15 * (1 + 4 + 5) AS n FROM pairs)
+SELECT 'FR' AS family, n::BIGINT AS n FROM fr UNION ALL SELECT 'MA', (n + 9)::BIGINT FROM averages UNION ALL SELECT 'OBV', n::BIGINT FROM averages
+UNION ALL SELECT 'SR', ((10 + 8) * (1 + 8 + 4 + 4 + 8 * 4 + 4 * 4) + 10 * 5)::BIGINT UNION ALL SELECT 'CB', (10 * 17 * (1 + 8 + 3))::BIGINT"""
+
+
+@query(_MANIFEST)
 def manifest_counts(spark, sf):
     return rules.manifest_frame(spark).groupBy("family").agg(F.count("*").alias("n"))
 
@@ -334,22 +345,98 @@ def decile_curve(spark, sf):
     return report.decile_curve(_perf(spark, sf))
 
 
-@query(sql("perf", """SELECT p.scheme, CAST(o.place AS INTEGER) AS place, o.name AS row, p.value FROM perf p JOIN (VALUES (0, 'ret', 'ann_ret', 0), (1, 'ir', 'info_ratio', 0), (2, 'max_dd', 'max_dd', 0), (3, 'to', 'turnover', 0), (4, 'd_low', 'ann_ret', 1), (5, 'd_high', 'ann_ret', 5)) AS o(place, name, metric, grp)
+def _models(spark, sf) -> DataFrame:
+    """Two models on one panel: the day's return, and its range over its close."""
+    ev = ev_daily(spark, sf)
+    by = Window.partitionBy("entity").orderBy("date")
+    d = ev.select("entity", "date", "cap", F.lead("ret").over(by).alias("ahead"), F.array(F.struct(F.lit("return").alias("model"), F.col("ret").alias("signal")), F.struct(F.lit("range").alias("model"), ((F.col("high") - F.col("low")) / F.col("close")).alias("signal"))).alias("m"))
+    return d.select("entity", "date", "cap", F.col("ahead").alias("ret"), F.explode("m").alias("m")).select("entity", "date", "cap", "ret", "m.*").dropna(subset=["signal", "ret"])
+
+
+_MODELS = """
+m0 AS (SELECT *, lead(ret) OVER (PARTITION BY entity ORDER BY date) AS ahead FROM ev),
+src AS (SELECT * FROM (SELECT 'return' AS model, entity, date, ret AS signal, ahead AS ret, cap FROM m0 UNION ALL SELECT 'range', entity, date, (high - low) / nullif(close, 0), ahead, cap FROM m0) WHERE signal IS NOT NULL AND ret IS NOT NULL),"""
+
+
+def _model_perf(spark, sf, groups: int = GROUPS, ppy: int = 52) -> DataFrame:
+    return portfolio.backtest(_models(spark, sf), groups, ppy, keys=("model",), thin="drop")
+
+
+def _on_models(body: str) -> str:
+    ctes, perf = backtest_sql("src", GROUPS, 52, ("model",))
+    return sql("ev", body, _MODELS + ctes + f",\nbt AS ({perf})")
+
+
+@query(_on_models("""SELECT p.model, p.scheme, CAST(o.place AS INTEGER) AS place, o.name AS row, p.value FROM bt p JOIN (VALUES (0, 'ret', 'ann_ret', 0), (1, 'ir', 'info_ratio', 0), (2, 'max_dd', 'max_dd', 0), (3, 'to', 'turnover', 0), (4, 'd_low', 'ann_ret', 1), (5, 'd_high', 'ann_ret', 5)) AS o(place, name, metric, grp)
 ON p.metric = o.metric AND p.grp = o.grp"""))
 def overview(spark, sf):
-    return report.overview(_perf(spark, sf), GROUPS)
+    return report.overview(_model_perf(spark, sf), GROUPS, ("model",))
 
 
-@query(sql("perf", "SELECT s.source, scheme, metric, value FROM perf CROSS JOIN (VALUES ('direct'), ('retrained')) AS s(source) WHERE grp = 0 AND metric IN ('ann_ret', 'sharpe', 'turnover')"))
+@query(_on_models("SELECT CASE model WHEN 'return' THEN 'direct' ELSE 'retrained' END AS source, scheme, metric, value FROM bt WHERE grp = 0 AND metric IN ('ann_ret', 'sharpe', 'turnover')"))
 def transfer_compare(spark, sf):
-    p = _perf(spark, sf)
-    return report.compare({"direct": p, "retrained": p})
+    """A signal that was made elsewhere, and one of the market's own, side by side."""
+    p = _model_perf(spark, sf)
+    of = lambda name: p.where(F.col("model") == name)
+    return report.compare({"direct": of("return"), "retrained": of("range")})
+
+
+_TWO = ("src AS (SELECT 1 AS horizon, entity, date, signal, ret, cap FROM panel UNION ALL SELECT 2, s.entity, s.date, s.signal, r.ret, s.cap FROM panel s JOIN c a ON s.date = a.date JOIN c b ON b.ord = a.ord + 1 JOIN panel r ON r.entity = s.entity AND r.date = b.date),")
 
 
-@query(sql("perf", "SELECT h.horizon, scheme, CASE WHEN grp = 0 THEN 'DH' ELSE printf('D%02d', grp) END AS label, metric, value FROM perf CROSS JOIN (VALUES (1), (2)) AS h(horizon) WHERE metric IN ('ann_ret', 'sharpe') AND (h.horizon = 1 OR grp = 0)"))
+def _two_horizons() -> str:
+    ctes, perf = backtest_sql("src", GROUPS, 52, ("horizon",))
+    return sql("panel", "SELECT horizon, scheme, CASE WHEN grp = 0 THEN 'DH' ELSE printf('D%02d', grp) END AS label, metric, value FROM bt WHERE metric IN ('ann_ret', 'sharpe') AND (horizon = 1 OR grp = 0)",
+               "c AS (SELECT date, row_number() OVER (ORDER BY date) AS ord FROM (SELECT DISTINCT date FROM panel)),\n" + _TWO + ctes + f",\nbt AS ({perf})")
+
+
+@query(_two_horizons())
 def portfolio_table(spark, sf):
-    p = _perf(spark, sf)
-    return report.portfolio_table({1: p, 2: p})
+    """All groups of the first holding period, and high minus low of the second."""
+    d = panel(spark, sf).select("entity", "date", "signal", "ret", "cap")
+    both = d.withColumn("horizon", F.lit(1)).unionByName(asof.eval_horizon(d, 2).withColumn("horizon", F.lit(2)).select("entity", "date", "signal", "ret", "cap", "horizon"))
+    p = portfolio.backtest(both, GROUPS, 52, keys=("horizon",), thin="drop")
+    return report.portfolio_table({h: p.where(F.col("horizon") == h) for h in (1, 2)})
+
+
+def _two_caps() -> str:
+    ctes, perf = backtest_sql("src", GROUPS, 12)
+    ctes = ctes.replace("CASE WHEN v.scheme = 'equal' THEN 1.0 WHEN cap > 0 THEN cap END AS w", "CASE WHEN v.scheme = 'equal' THEN 1.0 WHEN v.scheme = 'float' AND fcap > 0 THEN fcap WHEN v.scheme = 'total' AND cap > 0 THEN cap END AS w")
+    ctes = ctes.replace("WHERE v.scheme = 'equal' OR cap > 0)", "WHERE v.scheme = 'equal' OR (v.scheme = 'float' AND fcap > 0) OR (v.scheme = 'total' AND cap > 0))")
+    return sql("", perf, """
+caps AS (SELECT l_suppkey AS entity, CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS cap,
+  CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS fcap, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS vol FROM lineitem GROUP BY 1, 2),
+src AS (SELECT entity, date, cap, fcap, vol AS signal, lead(cap / vol) OVER w / (cap / vol) - 1 AS ret FROM caps WINDOW w AS (PARTITION BY entity ORDER BY date)),""" + ctes)
+
+
+@query(_two_caps())
+def two_caps_backtest(spark, sf):
+    """Float and total caps that differ: what was not returned, and everything, by supplier and month."""
+    cents = lambda c: F.sum(c.cast("decimal(18,2)")).cast("double")
+    price = F.col("l_extendedprice")
+    d = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("entity"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("date")).agg(
+        cents(price).alias("cap"), cents(F.when(F.col("l_returnflag") == "N", price).otherwise(0)).alias("fcap"), cents(F.col("l_quantity")).alias("signal"))
+    level = F.col("cap") / F.col("signal")
+    d = d.withColumn("ret", F.lead(level).over(Window.partitionBy("entity").orderBy("date")) / level - 1)
+    return portfolio.backtest(d, GROUPS, 12, thin="drop", float_cap="fcap", total_cap="cap")
+
+
+_ETF = """
+e0 AS (SELECT date, mkt_ret, exp(sum(CASE WHEN mkt_ret > -1 THEN ln(1 + mkt_ret) END) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) - 1 AS hold, count(mkt_ret) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS n FROM mkt),
+e1 AS (SELECT date, hold FROM e0 WHERE n = 5), e2 AS (SELECT stddev_samp(hold) AS vol FROM e1),
+e3 AS (SELECT scheme, date, raw, raw * (SELECT vol FROM e2) / nullif(stddev_samp(raw) OVER (PARTITION BY scheme), 0) AS scaled FROM hl UNION ALL SELECT 'series', date, hold, hold FROM e1)"""
+
+
+@query(sql("mkt hl", "SELECT scheme, date, round(sum(CASE WHEN raw > -1 THEN ln(1 + raw) END) OVER w, 6) AS cum, round(sum(CASE WHEN scaled > -1 THEN ln(1 + scaled) END) OVER w, 6) AS cum_scaled FROM e3 WINDOW w AS (PARTITION BY scheme ORDER BY date)", _ETF))
+def cumulative_with_series(spark, sf):
+    """Cumulated high minus low beside a price series held over the same horizon, scaled to that series' volatility."""
+    held = signals.holding_returns(xsection.market_return(su_daily(spark, sf)).select(F.lit("series").alias("entity"), "date", F.col("mkt_ret").alias("ret")), 5)
+    vol = F.broadcast(held.agg(F.stddev_samp("hold_ret").alias("__vol")))
+    hl = portfolio.high_minus_low(portfolio.portfolio_returns(weights(spark, sf)), GROUPS).crossJoin(vol)
+    d = signals.vol_scaled(hl, "raw", ["scheme"], F.col("__vol")).select("scheme", "date", "raw", "raw_scaled")
+    d = d.unionByName(held.select(F.col("entity").alias("scheme"), "date", F.col("hold_ret").alias("raw"), F.col("hold_ret").alias("raw_scaled")))
+    d = d.withColumns({"cum": signals.cumulative_log_return(d, "raw", ["scheme"]), "cum_scaled": signals.cumulative_log_return(d, "raw_scaled", ["scheme"])})
+    return rounded(d.select("scheme", "date", "cum", "cum_scaled"), "cum", "cum_scaled")
 
 
 @query(sql("hl", f"SELECT scheme, cell, CAST(regexp_extract(cell, '^([-+]?\\d*\\.?\\d+)(\\**)$', 1) AS DOUBLE) AS number, regexp_extract(cell, '^([-+]?\\d*\\.?\\d+)(\\**)$', 2) AS marks FROM (SELECT scheme, printf('%.2f', t) || {_STARS} AS cell FROM q3)", _NW))

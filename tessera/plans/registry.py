@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import models, portfolios, series
+from . import models, portfolios, series, tables
 
-QUERIES: dict = {**series.Q, **portfolios.Q, **models.Q}
-ORACLE_SQL: dict = {**series.S, **portfolios.S, **models.S}
+QUERIES: dict = {**series.Q, **portfolios.Q, **models.Q, **tables.Q}
+ORACLE_SQL: dict = {**series.S, **portfolios.S, **models.S, **tables.S}
 hl_series = portfolios.hl_series

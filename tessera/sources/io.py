@@ -15,6 +15,8 @@ OHLC_SCHEMA = T.StructType([
     T.StructField("DlyCalDt", T.StringType()), T.StructField("DlyCap", T.DoubleType()), T.StructField("DlyRet", T.DoubleType()), T.StructField("DlyRetx", T.DoubleType()),
     T.StructField("DlyVol", T.DoubleType()), T.StructField("DlyClose", T.DoubleType()), T.StructField("DlyLow", T.DoubleType()), T.StructField("DlyHigh", T.DoubleType()), T.StructField("DlyOpen", T.DoubleType()),
 ])
+#: Columns of a second daily source and the names they get; caps are float and total shares times price (fixed values).
+DSF_COLUMNS = {"oprc": "DlyOpen", "high": "DlyHigh", "low": "DlyLow", "prc": "DlyClose", "svol": "DlyVol", "ret": "DlyRet", "float": "DlyFloatCap", "totcap": "DlyTotalCap"}
 OHLC_COLUMNS = ("PERMNO", "DlyCalDt", "DlyCap", "DlyRet", "DlyVol", "DlyClose", "DlyLow", "DlyHigh", "DlyOpen")
 
 
@@ -23,11 +25,34 @@ def read_ohlc_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OHLC_SCHEMA).csv(path, header=True).select(*OHLC_COLUMNS).withColumn("DlyCalDt", F.to_date("DlyCalDt"))
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """By extension: csv, parquet (also gzipped), json, orc, or an Arrow file (feather, ft)."""
+def map_dsf(df: DataFrame) -> DataFrame:
+    """Rows of the second source as daily prices with both caps; DlyCap is the float one. A code is digits, as a number.
+
+    Without a cap column it raises ``KeyError``.
+    """
+    missing = [c for c in ("float", "totcap") if c not in df.columns]
+    if missing:
+        raise KeyError(f"no cap columns {missing}")
+    out = df.select(F.col("SecuCode").cast("long").alias("PERMNO"), F.to_date("date").alias("DlyCalDt"), *(F.col(c).cast("double").alias(n) for c, n in DSF_COLUMNS.items()))
+    return out.withColumn("DlyCap", F.col("DlyFloatCap"))
+
+
+def read_prices(spark: SparkSession, path: str) -> DataFrame:
+    """A supplied daily price table of one series: date, open, high, low, close, volume, in any case and order."""
+    d = read_table(spark, path)
+    names = {c.lower(): c for c in d.columns}
+    missing = [c for c in ("date", "close") if c not in names]
+    if missing:
+        raise KeyError(f"no columns {missing}")
+    return d.select(F.to_date(names["date"]).alias("date"), *(F.col(names[c]).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume") if c in names))
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """By extension: csv (whose types are inferred by a scan where no ``schema`` is given), parquet (also gzipped), json,
+    orc, or Arrow files (feather, ft), which tasks read a record batch at a time."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        return spark.read.csv(path, header=True, inferSchema=True)
+        return spark.read.csv(path, header=True, inferSchema=schema is None, schema=schema)
     if kind in ("parquet", "gzip", "gz", "pq"):
         return spark.read.parquet(path)
     if kind in ("json", "jsonl"):
@@ -35,17 +60,38 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     if kind == "orc":
         return spark.read.orc(path)
     if kind in ("feather", "ft", "arrow"):
-        from pyarrow import feather
-
-        return spark.createDataFrame(feather.read_table(path))
+        return _read_arrow(spark, path)
     raise ValueError(f"unknown format: {path}")
 
 
-def require_columns(df: DataFrame, *names: str) -> DataFrame:
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
-    return df
+def _read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    """Arrow files below ``path``: each is a row of Spark's binary files, and a task hands its record batches on. The first
+    file's schema is that of all."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def head(parts):
+        for batch in parts:
+            for data in batch.column(0):
+                with pa.ipc.open_file(pa.BufferReader(data.as_buffer())) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([f.schema.serialize().to_pybytes()], pa.binary())], ["schema"])
+                return
+
+    first = files.mapInArrow(head, "schema binary").first()
+    if first is None:
+        raise ValueError(f"no file: {path}")
+    schema = pa.ipc.read_schema(pa.BufferReader(first["schema"]))
+
+    def run(parts):
+        for batch in parts:
+            for data in batch.column(0):
+                with pa.ipc.open_file(pa.BufferReader(data.as_buffer())) as f:
+                    for i in range(f.num_record_batches):
+                        yield f.get_batch(i).select(schema.names)
+
+    return files.mapInArrow(run, from_arrow_schema(schema))
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -118,3 +164,38 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 def write_run_meta(path: str, **meta) -> None:
     Path(path).write_text(json.dumps(meta, indent=1, default=str, sort_keys=True))
+
+
+def resumed(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at ``path``; where its completion marker is missing, ``make()`` is written there first.
+
+    Spark's committer sets the marker last, so a run that was cut off leaves none and is done again.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_performance(perf: DataFrame, path: str) -> None:
+    """A long performance table, a folder for each weighting scheme."""
+    write_by_scheme(perf, path)
+
+
+def read_performance(spark: SparkSession, path: str, scheme: str | None = None) -> DataFrame:
+    """A stored performance table, or one scheme of it; an error if the scheme has no rows."""
+    d = spark.read.parquet(path)
+    if scheme is None:
+        return d
+    d = d.where(F.col("scheme") == scheme)
+    if d.isEmpty():
+        raise KeyError(scheme)
+    return d
+
+
+def performance_cell(perf: DataFrame, scheme: str, grp: int, metric: str) -> float | None:
+    """One value of a performance table; an error if there is no such row."""
+    row = perf.where((F.col("scheme") == scheme) & (F.col("grp") == grp) & (F.col("metric") == metric)).select("value").first()
+    if row is None:
+        raise KeyError((scheme, grp, metric))
+    return row["value"]

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.operators import asof, portfolio, raster, regress, rules, signals, stats, universe, xsection
+from tessera.operators import asof, calendar, portfolio, raster, regress, rules, signals, stats, universe, xsection
 from tessera.sources import io
 
 DAY = dt.date(2020, 1, 1)
@@ -294,6 +294,109 @@ def test_sources_round_trip(spark, tmp_path):
     assert (r.PERMNO, r.DlyCalDt, r.DlyOpen) == (7, dt.date(2020, 1, 2), 9.5)
 
 
+def test_second_source_and_stored_results(spark, tmp_path):
+    dsf = spark.createDataFrame([("000012", "2020-01-02", 1.0, 2.0, 0.5, 1.5, 9.0, 0.1, 30.0, 50.0)], "SecuCode string, date string, oprc double, high double, low double, prc double, svol double, ret double, float double, totcap double")
+    r = io.map_dsf(dsf).first()
+    assert (r.PERMNO, r.DlyCalDt, r.DlyOpen, r.DlyHigh, r.DlyLow, r.DlyClose, r.DlyVol, r.DlyRet, r.DlyCap, r.DlyFloatCap, r.DlyTotalCap) == (12, dt.date(2020, 1, 2), 1.0, 2.0, 0.5, 1.5, 9.0, 0.1, 30.0, 30.0, 50.0)
+    with pytest.raises(KeyError):
+        io.map_dsf(dsf.drop("totcap"))
+    (tmp_path / "etf.csv").write_text("Date,Close,Volume\n2020-01-02,10.5,7\n")
+    assert io.read_prices(spark, f"{tmp_path}/etf.csv").collect()[0].asDict() == {"date": dt.date(2020, 1, 2), "close": 10.5, "volume": 7.0}
+    perf = frame(spark, [("equal", 0, "sharpe", 1.5), ("total", 0, "sharpe", None)], "scheme string, grp int, metric string, value double")
+    io.write_performance(perf, f"{tmp_path}/perf")
+    assert io.performance_cell(io.read_performance(spark, f"{tmp_path}/perf", "equal"), "equal", 0, "sharpe") == 1.5
+    assert io.performance_cell(io.read_performance(spark, f"{tmp_path}/perf"), "total", 0, "sharpe") is None
+    for bad in (lambda: io.read_performance(spark, f"{tmp_path}/perf", "float"), lambda: io.performance_cell(perf, "equal", 1, "sharpe")):
+        with pytest.raises(KeyError):
+            bad()
+
+
+def test_resumed_runs_make_a_table_once(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    path = f"{tmp_path}/step"
+    assert io.resumed(spark, path, make).count() == 3 and io.resumed(spark, path, make).count() == 3 and made == [1]
+    (tmp_path / "step" / "_SUCCESS").unlink()
+    assert io.resumed(spark, path, make).count() == 3 and made == [1, 1]
+
+
+def test_arrow_files_of_several_batches(spark, tmp_path):
+    import pyarrow as pa
+    from pyarrow import feather
+
+    for i in range(2):
+        feather.write_feather(pa.table({"x": list(range(1000 * i, 1000 * i + 1000)), "s": [f"é{j}" for j in range(1000)]}), f"{tmp_path}/{i}.feather", chunksize=300)
+    got = io.read_table(spark, f"{tmp_path}/*.feather")
+    assert got.dtypes == [("x", "bigint"), ("s", "string")] and got.agg({"x": "sum"}).first()[0] == sum(range(2000))
+
+
+def test_calendar_windows_raise_or_leave_out(spark):
+    cal = calendar.market_calendar(frame(spark, [(d,) for d in days(10)], "date date"))
+    at = lambda *d: frame(spark, [(x,) for x in d], "date date")
+    d = days(10)
+    assert [r.date for r in calendar.window_dates(cal, at(d[4]), 3).orderBy("step").collect()] == d[2:5]
+    assert [r.date for r in calendar.window_dates(cal, at(d[4]), 3, forward=True).orderBy("step").collect()] == d[5:8]
+    for bad, forward in ((d[1], False), (d[8], True), (d[9] + dt.timedelta(days=30), False)):
+        with pytest.raises(Exception, match="trading day"):
+            calendar.window_dates(cal, at(bad), 3, forward).collect()
+        assert calendar.window_dates(cal, at(bad), 3, forward, strict=False).count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    from tessera import __main__ as cli
+    from tessera.sources.panels import su_daily
+
+    su_daily(spark, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/p.parquet")
+    run = lambda verb, *more: cli.main([verb, "--panel", f"{tmp_path}/p.parquet", "--out", f"{tmp_path}/{verb}", *more], spark)
+    perf = run("backtest", "--groups", "2", "--thin", "drop", "--eval-horizons", "1", "2", "--start", "1993-01-01", "--top-n", "8", "--signal", "close")
+    assert {r.eval_horizon for r in perf.select("eval_horizon").distinct().collect()} == {1, 2}
+    assert run("labels", "--entity-limit", "3").select("entity").distinct().count() == 3
+    assert run("scan", "--rules", "40", "--groups", "2").count() > 0
+    assert run("holding", "--groups", "2", "--thin", "drop").count() > 0
+
+
+def test_tables_against_regressions_by_hand(spark):
+    """A pooled logit against Newton's steps, and table rows against one regression at a time."""
+    from tessera.plans import tables
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for m in range(8):
+        for e in range(45):
+            x = rng.normal(size=4)
+            rows.append((e, dt.date(1995 + m // 4, 1 + m % 4, 1), *map(float, x), float(rng.normal() + 0.3 * x[0]), float(1 / (1 + math.exp(-rng.normal() - x[0])))))
+    names = "entity long, date date, a double, b double, ret_5d double, ret_20d double, r60 double, p5 double"
+    d = frame(spark, [(*r[:4], r[6], r[5], r[4], r[7]) for r in rows], names).withColumnRenamed("r60", "ret_60d").withColumns({"p20": F_col("p5") * 0.9, "p60": 1 - F_col("p5")})
+    got = {(r.model, r.characteristic): r for r in tables.rank_correlations(d, ("a", "b")).collect()}
+    assert len(got) == 6 and got["I5/R5", "a"].n == 8 and got["I5/R5", "a"].mean == pytest.approx(-got["I60/R5", "a"].mean) and got["I5/R5", "a"].t > 2
+    logit = {(r.model, r.term): r.mean for r in tables.prediction_logit(d, ("a", "b")).collect()}
+    assert set(logit) == {(m, t) for m in ("I5/R5", "I20/R5", "I60/R5") for t in ("const", "a", "b", "mcfadden_r2")} and logit["I5/R5", "a"] > 0
+    before, after = d.where("date < date'1996-01-01'"), d.where("date >= date'1996-01-01'")
+    ret = {(r.model, r.term): r.mean for r in tables.return_logit(after, before, ("a", "b")).collect()}
+    assert len(ret) == 3 * (3 + 4 + 5) and all(v is not None for v in ret.values())
+    spec = {(r.model, r.term) for r in tables.scaled_price_logit(after, before, ("a", "b")).collect()}
+    assert {m for m, _ in spec} == {f"({i})" for i in range(1, 13)} and ("(12)", "p5") in spec and ("(10)", "a") not in spec and ("(11)", "oos_mcfadden_r2") in spec
+    x = np.array([[1, r[2], r[3]] for r in rows])
+    y = np.array([float(r[7] > 0.5) for r in rows])
+    beta = np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta = beta + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (y - p))
+    from pyspark.sql import functions as F
+
+    assert regress.pooled_logit(d.withColumn("y", F.when(F.col("p5") > 0.5, 1).otherwise(0)), "y", ["a", "b"]) == pytest.approx(beta.tolist(), abs=1e-6)
+
+
+def F_col(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)
+
+
 def test_streamed_bars_equal_the_batch(spark, tmp_path):
     from pyspark.sql import functions as F
 
