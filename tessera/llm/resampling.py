@@ -109,7 +109,11 @@ def _keys(batch: pa.RecordBatch, known, ratios: np.ndarray, seed: int) -> tuple[
 
 
 class Resampler:
-    """The two models' log ratios, the labels that set the cut, and the cut once it is known."""
+    """The two models' log ratios, and the labels that set the cut.
+
+    Defined cases: without a label that says good all documents have weight 0; rows without a doc_id, and labels without
+    one or without a quality, are no samples; of several labels of one doc_id the worst counts.
+    """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, most_labels: int = LABELS, seed: int = 29):
         known = labelled(labels, most_labels)
@@ -187,6 +191,10 @@ def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_good
 
 
 def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_good: float = 0.998, most_labels: int = LABELS) -> DataFrame:
-    """``docs`` without the documents that ``classify`` rejects."""
+    """``docs`` without the documents that ``classify`` rejects; k is how many stay, by Gumbel top-k, or follows from the labels.
+
+    Defined cases: as in ``classify``; of equal keys at the cut all stay, so rows with equal doc_id and text stay or go
+    together; further columns are kept.
+    """
     model = Resampler(docs, labels, most_labels)
     return model.filter(docs, model.cut(materialise(model.weigh(docs)), k, keep_good))

@@ -42,4 +42,46 @@ SELECT doc_id, size, source_size, target, (first_pass + second_pass)::BIGINT AS
 FROM placed
 """
 
-ORACLE_SQL = {"op1_mixing": OP1}
+OP2 = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+sets AS (
+  SELECT rid, doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] FOR i IN range(1, len(w) - 1)])
+                           WHEN len(w) > 0 THEN [array_to_string(w, chr(1))] ELSE [] END AS s
+  FROM texts),
+tokens AS (SELECT rid, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (
+  SELECT x, y FROM (SELECT a.rid AS x, b.rid AS y, a.n AS n, b.n AS m, count(*) AS c FROM tokens a JOIN tokens b ON a.t = b.t AND a.rid < b.rid GROUP BY ALL)
+  WHERE 100 * c >= 90 * (n + m - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT rid, rid FROM sets UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+SELECT a.doc_id, len(a.s)::BIGINT AS n_shingles, min(b.doc_id) AS component_id
+FROM reach r JOIN sets a ON a.rid = r.x JOIN sets b ON b.rid = r.y GROUP BY a.rid, a.doc_id, a.s
+"""
+
+OP7 = r"""
+WITH texts AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM texts WHERE len(w) >= 13)),
+least_of AS (SELECT win, min(doc_id) AS first_doc FROM windows GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM windows JOIN least_of USING (win) WHERE first_doc < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM texts),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(removed.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
+
+OP8 = r"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+digests AS (
+  SELECT page_id, body, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, 10 * (j // 8) + 1, 10) AS BIGINT) >> (35 - 5 * (j % 8))) & 31)::INTEGER, 1) FOR j IN range(0, 32)], '') AS payload_digest
+  FROM payloads),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first_page FROM digests)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+FROM firsts
+"""
+
+ORACLE_SQL = {"op1_mixing": OP1, "op2_jaccard": OP2, "op7_substring": OP7, "op8_warc": OP8}

@@ -172,6 +172,46 @@ def test_kth_largest(spark):
     assert [resampling.kth_largest(df, "x", k, 40) for k in (1, 700, 2999, 3000, 3001)] == [down[0], down[699], down[2998], down[2999], None]
 
 
+def test_resampling_against_brute_force(spark):
+    """Weights from counts of every word and pair, noise from id and text, and the k largest keys."""
+    from tessera.llm.common import hash_words, shingle, splitmix, text_hash, utf8
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("the of and to erth onst ti ing bles %% ##".split()) for _ in range(rng.randrange(1, 30))), "s") for i in range(120)] + odd_rows()[-8:]
+    labels = [(i, i % 3 > 0, 0) for i in range(0, 120, 2)]
+    one = lambda w: hash_words(*utf8(pa.array([w])))[2]
+
+    def grams(text):
+        h = np.concatenate([one(w) for w in words(text)] or [np.zeros(0, np.uint64)])
+        return [int(x) >> 48 for x in h] + [(int(shingle(h[j : j + 2], 2)[0]) >> 48) + 65536 for j in range(len(h) - 1)]
+
+    good = {i for i, y, _ in labels if y and not resampling._holds_back(np.array([i]))[0]}
+    raw, target = Counter(), Counter()
+    for i, t, _ in rows:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    total = lambda c, two: sum(n for b, n in c.items() if (b >= 65536) == two)
+    share = [total(target, two) / total(raw, two) for two in (False, True)]
+    ratio = {b: math.log((target[b] + 1) / (raw[b] * share[b >= 65536] + 1)) for b in raw}
+    want = []
+    for i, t, _ in rows:
+        g = grams(t)
+        u = splitmix(splitmix(np.array([-1 if i is None else i], np.int64).view(np.uint64) + np.uint64(29)) ^ text_hash(*utf8(pa.array([t or ""]))))[0]
+        noise = -math.log(-math.log(((int(u) >> 12) + 0.5) / 2.0**52))
+        w = sum(ratio[b] for b in g)
+        want.append((i, w, (w + noise) / max(len(g), 1)))
+    lab = spark.createDataFrame([(i, int(y), t) for i, y, t in labels], "doc_id long, quality int, toxic int")
+    d = corpus(spark, rows)
+    cut = sorted((k for *_, k in want), reverse=True)[39]
+    near = lambda x: (x[0] is None, x[0] or 0, round(x[1], 6), round(x[2], 6))
+    got = resampling.classify(d, lab, k=40).collect()
+    assert sorted(near((r.doc_id, r.log_weight, r.key)) for r in got) == sorted(map(near, want))
+    assert all(r.kept == (r.key >= cut - 1e-9) for r in got) and 40 <= sum(r.kept for r in got) <= 44
+
+
 def test_resampling_separates(spark):
     rng = random.Random(3)
     good = "the of and to erth onst ti ing bles that from with".split()
