@@ -422,12 +422,12 @@ def two_caps_backtest(spark, sf):
 
 
 _ETF = """
-e0 AS (SELECT date, mkt_ret, exp(sum(CASE WHEN mkt_ret > -1 THEN ln(1 + mkt_ret) END) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) - 1 AS hold, count(mkt_ret) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS n FROM mkt),
-e1 AS (SELECT date, hold FROM e0 WHERE n = 5), e2 AS (SELECT stddev_samp(hold) AS vol FROM e1),
-e3 AS (SELECT scheme, date, raw, raw * (SELECT vol FROM e2) / nullif(stddev_samp(raw) OVER (PARTITION BY scheme), 0) AS scaled FROM hl UNION ALL SELECT 'series', date, hold, hold FROM e1)"""
+pr0 AS (SELECT date, mkt_ret, exp(sum(CASE WHEN mkt_ret > -1 THEN ln(1 + mkt_ret) END) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) - 1 AS hold, count(mkt_ret) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS n FROM mkt),
+pr1 AS (SELECT date, hold FROM pr0 WHERE n = 5), pr2 AS (SELECT stddev_samp(hold) AS vol FROM pr1),
+pr3 AS (SELECT scheme, date, raw, raw * (SELECT vol FROM pr2) / nullif(stddev_samp(raw) OVER (PARTITION BY scheme), 0) AS scaled FROM hl UNION ALL SELECT 'series', date, hold, hold FROM pr1)"""
 
 
-@query(sql("mkt hl", "SELECT scheme, date, round(sum(CASE WHEN raw > -1 THEN ln(1 + raw) END) OVER w, 6) AS cum, round(sum(CASE WHEN scaled > -1 THEN ln(1 + scaled) END) OVER w, 6) AS cum_scaled FROM e3 WINDOW w AS (PARTITION BY scheme ORDER BY date)", _ETF))
+@query(sql("mkt hl", "SELECT scheme, date, round(sum(CASE WHEN raw > -1 THEN ln(1 + raw) END) OVER w, 6) AS cum, round(sum(CASE WHEN scaled > -1 THEN ln(1 + scaled) END) OVER w, 6) AS cum_scaled FROM pr3 WINDOW w AS (PARTITION BY scheme ORDER BY date)", _ETF))
 def cumulative_with_series(spark, sf):
     """Cumulated high minus low beside a price series held over the same horizon, scaled to that series' volatility."""
     held = signals.holding_returns(xsection.market_return(su_daily(spark, sf)).select(F.lit("series").alias("entity"), "date", F.col("mkt_ret").alias("ret")), 5)
