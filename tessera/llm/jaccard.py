@@ -9,8 +9,8 @@ such segments out if those that remain still outnumber H, which the band's spare
 them is equal in every set that is linked with it. Candidates are verified exactly on the whole sets.
 
 Sets that are equal form classes first, and only classes are joined. A signature that many classes share is a star,
-not a clique: its members are compared with its smallest one, and what that leaves unconnected is compared with all others, in
-blocks and by sketches first, so components are exact. Tasks reduce what they send to one entry per signature.
+not a clique: its members are compared with its most central one, and what that leaves unconnected is compared with the
+component of the others, in blocks and by sketches first, so components are exact. Tasks reduce what they send to one entry per signature.
 """
 
 from __future__ import annotations
@@ -197,9 +197,9 @@ def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of a set's tokens over a power of two of positions, at least one a token. Two sets' sketches differ in
-    at most as many places as the sets differ in tokens."""
-    bits = max(64, 1 << (len(s) - 1).bit_length())
+    """Parities of a set's tokens over a power of two of positions, at least four a token. Two sets' sketches differ in
+    at most as many places as the sets differ in tokens, and in hardly fewer."""
+    bits = max(256, 4 << (len(s) - 1).bit_length())
     odd = np.bincount((splitmix(s ^ _U(0x5851F42D4C957F2D)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -358,40 +358,62 @@ def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Data
     return arrow(both.select("a", "b", "sa", "sb", "na", "nb"), run, "a long, b long").distinct()
 
 
-def _apart(mixed: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool, block: int = BLOCK) -> DataFrame:
-    """Plausible pairs (a, b) of a crowd's members outside its main component with all members of other components.
+def _near(sides: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool, block: int = BLOCK) -> DataFrame:
+    """Plausible pairs (a, b) of each group's outer rows (``out``) with its other rows, where their roots differ.
 
-    ``mixed`` has key, cls, root, whole and main. Both sides are dealt into blocks, so no crowd meets in one task, and a
-    pair of blocks is compared on sketches: no row is made for a pair that they exclude. ``nearest``: of each other
-    component only the member whose sketch is nearest.
+    ``sides`` has grp, cls, root, out; rows whose out is null are on both sides. Both sides are dealt into blocks, so no group meets in one task, and a pair of
+    blocks is compared on sketches: no row is made for a pair that they exclude. ``nearest``: of each root only the row
+    whose sketch is nearest.
     """
-    sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("rows"), F.ceil(F.count(F.when(F.col("root") != F.col("main"), 1)) / block).cast("int").alias("outer"))
-    d = mixed.join(sizes, "key").join(classes.select("cls", "sketch", "n_shingles"), "cls")
+    share = lambda c: F.greatest(F.lit(1), F.ceil(F.count(F.when(c, 1)) / block)).cast("int")
+    sizes = sides.groupBy("grp").agg(share(~F.coalesce("out", F.lit(False))).alias("rows"), share(F.coalesce("out", F.lit(True))).alias("outer"))
+    d = sides.join(sizes, "grp").join(classes.select("cls", "sketch", "n_shingles"), "cls")
+    one = (F.col("rows") == 1) & (F.col("outer") == 1)
+    d = d.withColumn("out", F.explode(F.when(F.col("out").isNull() & ~one, F.array(F.lit(False), F.lit(True))).otherwise(F.array("out"))))
     mine = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    columns = ["cls", "root", "whole", "sketch", "n_shingles"]
-    all_ = d.select("key", mine("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("j"), F.lit(False).alias("out"), *columns)
-    outer = d.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), mine("outer").alias("j"), F.lit(True).alias("out"), *columns)
+    along = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    d = d.withColumns({"is": F.when(F.coalesce("out", F.lit(False)), along("rows")).otherwise(F.array(mine("rows"))), "js": F.when(F.coalesce("out", F.lit(False)), F.array(mine("outer"))).otherwise(along("outer"))})
+    columns = ["cls", "root", "sketch", "n_shingles"]
+    dealt = d.select("grp", F.explode("is").alias("i"), "js", "out", *columns).select("grp", "i", F.explode("js").alias("j"), "out", *columns)
 
     def compare(table: pa.Table) -> pa.Table:
-        out = np.asarray(table["out"].combine_chunks())
+        out = table["out"].combine_chunks()
+        inner, out = ~np.asarray(out.fill_null(False)), np.asarray(out.fill_null(True))
         cls, root, n = (np.asarray(table[c].combine_chunks()) for c in ("cls", "root", "n_shingles"))
-        whole = np.asarray(table["whole"].combine_chunks())
         sketches = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["sketch"].combine_chunks()]
         width = min(map(len, sketches))
         flat = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in sketches]).view(np.uint64)
-        members = np.flatnonzero(~out)
+        members = np.flatnonzero(inner)
         found = [np.zeros((2, 0), np.int64)]
         for u in np.flatnonzero(out):
             far = np.bitwise_count(flat[members] ^ flat[u]).sum(axis=1, dtype=np.int64)
-            m = members[(far * (den + num) <= (den - num) * (n[members] + n[u])) & (root[members] != root[u]) & (whole[members] | whole[u]) & (num * np.maximum(n[members], n[u]) <= den * np.minimum(n[members], n[u]))]
+            ok = (far * (den + num) <= (den - num) * (n[members] + n[u])) & (root[members] != root[u]) & (num * np.maximum(n[members], n[u]) <= den * np.minimum(n[members], n[u]))
+            m = members[ok]
             if nearest and len(m):
-                order = np.argsort(np.bitwise_count(flat[m] ^ flat[u]).sum(axis=1, dtype=np.int64), kind="stable")
+                order = np.argsort(far[ok], kind="stable")
                 m = m[order[np.unique(root[m][order], return_index=True)[1]]]
             found.append(np.stack([np.minimum(cls[m], cls[u]), np.maximum(cls[m], cls[u])]))
         a, b = np.concatenate(found, axis=1)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return grouped(all_.unionByName(outer), ["key", "i", "j"], compare, "a long, b long").distinct()
+    return grouped(dealt, ["grp", "i", "j"], compare, "a long, b long")
+
+
+def _apart(mixed: DataFrame, labels: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Plausible pairs (a, b) of crowds' members outside the main component with all members of other components.
+
+    ``mixed`` has key, cls, root and main. A member outside meets the whole main component once, however many crowds they
+    share: the component has each of its members once. Members outside meet each other crowd by crowd.
+    """
+    outer = mixed.where("root <> main")
+    mains = outer.select(F.col("main").alias("root")).distinct()
+    inside = labels.select(F.col("node").alias("cls"), "root").unionByName(mains.select(F.col("root").alias("cls"), "root")).distinct().join(mains, "root", "left_semi")
+    sides = inside.select(F.col("root").alias("grp"), "cls", "root", F.lit(False).alias("out")).unionByName(outer.select(F.col("main").alias("grp"), "cls", "root", F.lit(True).alias("out")).distinct())
+    there = outer.select(F.col("key").alias("grp"), "cls", "root")
+    several = there.groupBy("grp").agg(F.count_distinct("root").alias("n")).where("n > 1").select("grp")
+    there = materialise(there.join(several, "grp", "left_semi"))
+    both = there.withColumn("out", F.lit(None).cast("boolean"))
+    return _near(sides, classes, num, den, nearest).unionByName(_near(both, classes, num, den, nearest)).distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -460,9 +482,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, crowd: int
                              F.shiftright("tag", 16).alias("band"), F.shiftright(F.col("tag").bitwiseAND(F.lit(0xFFFF)), 3).alias("spare"))
     crowded = materialise(crowded)
     free = crowded.where("plain").groupBy("cls", "band").agg(F.count("*").alias("n"), F.max("spare").alias("spare")).where("n < spare").select("cls", "band", F.lit(True).alias("free"))
-    crowded = materialise(crowded.join(free, ["cls", "band"], "left").where("free is null or not plain").select("key", "cls", "whole"))
-    # of a crowd, its first member is compared with all; of the others, all pairs
-    centres = crowded.groupBy("key").agg(F.min(F.when(F.col("whole"), F.col("cls"))).alias("c"))
+    crowded = materialise(crowded.join(free, ["cls", "band"], "left").where("free is null or not plain").select("key", "cls", "whole", "band"))
+    # of a crowd, one member is compared with all: that with the most crowded signatures, which has changed least of what
+    # the crowd has in common
+    crowds = crowded.groupBy("cls", "band").agg(F.count("*").alias("n"))
+    centres = crowded.where("whole").join(crowds, ["cls", "band"]).groupBy("key").agg(F.max(F.struct("n", "cls")).alias("m")).select("key", F.col("m.cls").alias("c"))
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     stars = crowded.join(centres, "key").where(F.col("cls") != F.col("c")).select(*ordered(F.col("cls"), F.col("c")))
     first = materialise(at.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(stars).distinct())
@@ -471,13 +495,13 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, crowd: int
     # what the stars left apart: members outside the largest component of their crowd, with the nearest member of each
     # other one, which joins most of them; then what is still apart with all members of others
     for nearest in (True, False):
-        placed = crowded.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        placed = crowded.select("key", "cls").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         of_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
         main = of_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("m.root").alias("main"))
         mixed = materialise(placed.join(main, "key"))
         if mixed.isEmpty():
             break
-        more = materialise(_apart(mixed, classes, num, den, nearest).join(first, ["a", "b"], "left_anti"))
+        more = materialise(_apart(mixed, labels, classes, num, den, nearest).join(first, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             first = first.unionByName(more)
             edges = materialise(edges.unionByName(_verified(docs, more, classes, k, num, den)))
