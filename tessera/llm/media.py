@@ -311,6 +311,13 @@ def features(images: list[bytes]) -> list[tuple[int, int, np.ndarray, str]]:
     return out
 
 
+def _stored_long(x: np.ndarray) -> tuple[bytes, tuple[int, int, np.ndarray, str]]:
+    """``encode`` and ``features`` of samples of several images, an image at a time, so that memory follows one image."""
+    forms = [encode([x[at : at + ROWS * WIDTH]])[0] for at in range(0, len(x), ROWS * WIDTH)]
+    image = np.vstack([features([f])[0][2] for f in forms])
+    return b"".join(forms), (image.shape[1] * 8, image.shape[0] * 8, image, thumbnail_hash(image))
+
+
 def store(docs: DataFrame, media: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, width, height,
     feature, and the stored image itself as media unless that is not wanted.
@@ -333,9 +340,14 @@ def store(docs: DataFrame, media: bool = True) -> DataFrame:
                     x = np.zeros(max(1, -(-int(b - a) // WIDTH)) * WIDTH, np.uint8)
                     x[: b - a] = data[a:b]
                     padded.append(x)
-                stored = encode(padded)
+                if len(padded) == 1 and len(padded[0]) > ROWS * WIDTH:
+                    form, described = _stored_long(padded[0])
+                    stored, found = [form], [described]
+                else:
+                    stored = encode(padded)
+                    found = features(stored)
                 cols: list[list] = [[] for _ in names]
-                for n, form, (w, h, image, mark) in zip(np.diff(offs), stored, features(stored)):
+                for n, form, (w, h, image, mark) in zip(np.diff(offs), stored, found):
                     payload = image.tobytes()
                     row = (int(n), len(payload), zlib.crc32(payload[-64:]), len(form), w, h, hashlib.sha256(payload).hexdigest(), hashlib.sha256(form).hexdigest(), f"{w}x{h}:{mark}", form)
                     for c, x in zip(cols, row):

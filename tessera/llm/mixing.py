@@ -7,18 +7,22 @@ documents queue up in an order drawn from doc_id; a document's words fill an int
 demand, and inverting that demand gives its training position, by which the result is range-sorted.
 
 Only DataFrame functions are used. Running sums over a source that holds a third of all rows do not meet in one task:
-rows are summed by (source, one of 4096 buckets of the order), only bucket sums are accumulated by source, and rows
-are accumulated inside their bucket.
+rows are summed by source and bucket of the order, only bucket sums are accumulated by source, and rows are accumulated
+inside their bucket. There are 4,096 buckets, and more where a bucket would hold over ROWS rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 SPACES = " \t\n\x0b\f\r"
+#: Rows of a bucket, about, at most.
+ROWS = 10_000
 Knots = list[tuple[float, float]]
 #: Integrals 3, 1 and 2: the first fades out, the second fades in, the third stays.
 CURRICULUM: tuple[Knots, ...] = ([(0.0, 4.0), (1.0, 2.0)], [(0.0, 0.5), (1.0, 1.5)], [(0.0, 2.0), (1.0, 2.0)])
@@ -86,12 +90,13 @@ def assign(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_repea
     ``whole``, it takes the document if the target lies beyond its middle. Then ``taken`` is a multiple of size.
 
     Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, sorted
-    last; a null doc_id queues as the empty string; rows with equal doc_id are rows of their own and ties between equal
+    last; a null doc_id queues by its text; rows with equal doc_id are rows of their own and ties between equal
     (doc_id, size) do not matter to the result; an empty table gives an empty table; further columns are ignored.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
     sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("queue")))
-    sized = sized.withColumn("bucket", F.substring("queue", 1, 3)).withColumn("source_key", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
+    digits = max(3, math.ceil(math.log(max(sized.count(), 1) / ROWS, 16)))
+    sized = sized.withColumn("bucket", F.substring("queue", 1, digits)).withColumn("source_key", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
     sources = source_targets(sized, curriculum, share, max_repeats)
     sources = sources.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("source_key"), "source_size", "segments", "target")
     bucket_sums = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))

@@ -437,7 +437,12 @@ def test_jpeg_round_trip_and_queries(spark):
     for a, (w, h, image, mark) in zip(arrays, media.features(stored)):
         assert image.tobytes() == a.tobytes() and w == 512 and h == len(a) // 8 and len(mark) == 16
     assert [len(media.parse(s)) for s in stored] == [1, 1, 1, 1, 1, 2]
-    rows = odd_rows()
+    long = rng.integers(0, 256, 64 * 20_000, dtype=np.uint8)
+    form, described = media._stored_long(long)
+    whole = media.encode([long])[0]
+    (again,) = media.features([whole])
+    assert form == whole and described[3] == again[3] and described[:2] == again[:2] and described[2].tobytes() == long.tobytes()
+    rows = [*odd_rows(), (80, "y" * 1_100_000, "s")]
     got = media.store(corpus(spark, rows)).collect()
     want = Counter()
     for i, t, _ in rows:
@@ -556,9 +561,64 @@ def test_sequences_follow_the_order_of_files(spark, tmp_path):
         assert of == sorted(of)
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on all that the one before kept, its result recomputed row by row."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "packing"]
+    given = docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = docs.collect()
+        assert name == "packing" or docs.columns == given.columns
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in resampling.classify(given, labels).collect() if r.kept}
+    assert {r.doc_id for r in kept["quality"]} == good and len(kept["quality"]) == len(good) < given.count()
+    rows = [(r.doc_id, r.text, r.source) for r in kept["quality"]]
+    component = {i: c for i, n, c in _components(rows, 5, 80, 100) if n}
+    want = {min(i for i in component if component[i] == c) for c in set(component.values())}
+    assert {r.doc_id for r in kept["near_duplicates"] if words(r.text)} == want and len(want) < len(rows)
+    models = secrets.train(spark.read.parquet(f"{tmp_path}/near_duplicates"))
+    masked = {r.doc_id: r.text for r in kept["secrets"]}
+    assert set(masked) == {r.doc_id for r in kept["near_duplicates"]}
+    for r in kept["near_duplicates"]:
+        text = list(r.text or "")
+        spans = {(a, b) for _, a, b in _base_spans(r.text)} | {(a, b) for k, a, b in secrets.find(r.text or "", models) if k == "markov"}
+        hidden = {j for a, b in spans for j in range(a, b)}
+        left = "".join("\0" if j in hidden else c for j, c in enumerate(text))
+        assert re.sub("\0+", "[SECRET]", left) == masked[r.doc_id]
+    taken, total, size = Counter(r.doc_id for r in kept["mixing"]), Counter(), {}
+    for r in kept["secrets"]:
+        size[r.doc_id] = len(words(r.text))
+        total[r.source] += size[r.doc_id]
+    filled = Counter()
+    for r in kept["mixing"]:
+        assert r.text == masked[r.doc_id]
+        filled[r.source] += size[r.doc_id]
+    assert max(taken.values()) <= 2
+    targets = {r.source: r.target for r in mixing.assign(spark.read.parquet(f"{tmp_path}/secrets")).collect()}
+    most = max(size.values())
+    assert all(abs(filled[s] - t) <= most and t <= 2 * total[s] + 1e-6 for s, t in targets.items())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces, want_pieces = Counter(), Counter()
+    for r in kept["packing"]:
+        pieces[r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens] += 1
+    for i, n in taken.items():
+        ids = np.array([*tokenizer.encode(masked[i], add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for m in packing.lengths(len(ids), 2048):
+            want_pieces[i, at, m, zlib.crc32(ids[at : at + m].tobytes()), len(ids)] += n
+            at += m
+    assert pieces == want_pieces
+    assert sorted(r.sequence_id for r in kept["packing"]) == list(range(len(kept["packing"])))
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and {"doc_id", "sequence_id", "ids_crc32"} <= set(got.columns)
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "packing"]
