@@ -204,6 +204,11 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
+def folded(wide: np.ndarray) -> np.ndarray:
+    """The sketch on a quarter of the positions, at least 64 bits, for where pairs carry it."""
+    return np.bitwise_xor.reduce(wide.reshape(4, -1), axis=0)
+
+
 def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) < len(b):
         a, b = b, a
@@ -220,12 +225,14 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
             for batch in batches(whole):
                 sets = _sets(batch, k)
                 prints = [_prints(s) for s in sets]
+                sketches = [sketch(x) if len(x) else np.zeros(0, np.uint8) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id"), column(batch, "id"), column(batch, "mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([sketch(x).tobytes() if len(x) else b"" for x in sets], pa.binary())],
-                    ["doc_id", "id", "mark", "n_shingles", "cls", "cls2", "sketch"])
+                    [column(batch, "doc_id"), column(batch, "id"), column(batch, "mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([x.tobytes() for x in sketches], pa.binary()),
+                     pa.array([folded(x).tobytes() if len(x) else b"" for x in sketches], pa.binary())],
+                    ["doc_id", "id", "mark", "n_shingles", "cls", "cls2", "sketch", "small"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow(keyed(docs).withColumn("mark", F.xxhash64("text")), run, f"doc_id {kind}, id long, mark long, n_shingles long, cls long, cls2 long, sketch binary")
+    return arrow(keyed(docs).withColumn("mark", F.xxhash64("text")), run, f"doc_id {kind}, id long, mark long, n_shingles long, cls long, cls2 long, sketch binary, small binary")
 
 
 def _sorted(key, cls, tag):
@@ -352,7 +359,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Data
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], ["a", "b"])
 
-    side = lambda c, s, n: classes.select(F.col("cls").alias(c), F.col("sketch").alias(s), F.col("n_shingles").alias(n))
+    side = lambda c, s, n: classes.select(F.col("cls").alias(c), F.col("small").alias(s), F.col("n_shingles").alias(n))
     both = pairs.join(side("b", "sb", "nb"), "b").join(side("a", "sa", "na"), "a")
     both = both.where(num * F.greatest("na", "nb") <= den * F.least("na", "nb"))
     return arrow(both.select("a", "b", "sa", "sb", "na", "nb"), run, "a long, b long").distinct()
@@ -464,7 +471,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, crowd: int
     """
     spark = docs.sparkSession
     rows = materialise(describe(docs, k))
-    classes = materialise(rows.where("n_shingles > 0").groupBy("cls", "cls2", "n_shingles").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")))
+    classes = materialise(rows.where("n_shingles > 0").groupBy("cls", "cls2", "n_shingles").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("small").alias("small")))
     plain = Bands(num, den)
     band = F.lit(0)
     top = classes.agg(F.max("n_shingles")).first()[0] or 0
