@@ -134,12 +134,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b, o - o[0]
 
 
-def _cut(data: np.ndarray, offs: np.ndarray, pos: int, end: int) -> int:
+def _cut(data: np.ndarray, offs: np.ndarray, pos: int, end: int, space: np.ndarray) -> int:
     """The last place in (pos, end] where no word is cut, or the first one after it."""
     n = len(data)
     if end >= n:
         return n
-    spaces = np.flatnonzero(_SPACE[data[pos:end]])
+    spaces = np.flatnonzero(space[data[pos:end]])
     best = pos + int(spaces[-1]) + 1 if len(spaces) else pos
     k = int(np.searchsorted(offs, end, "right")) - 1
     best = max(best, int(offs[k]))
@@ -147,26 +147,26 @@ def _cut(data: np.ndarray, offs: np.ndarray, pos: int, end: int) -> int:
         return best
     stop = int(offs[k + 1]) if k + 1 < len(offs) else n
     while end < stop:
-        spaces = np.flatnonzero(_SPACE[data[end : min(end + _BLOCK, stop)]])
+        spaces = np.flatnonzero(space[data[end : min(end + _BLOCK, stop)]])
         if len(spaces):
             return end + int(spaces[0]) + 1
         end += _BLOCK
     return stop
 
 
-def hash_words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, offs: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) and 64-bit hashes of all words, and each document's first word's place (documents + 1).
 
-    ``lower`` folds A-Z only. Works through blocks of about 1 MB, so memory does not follow the longest document.
+    ``lower`` folds A-Z only; ``space`` says which of the 256 bytes part words. Works through blocks of about 1 MB, so memory does not follow the longest document.
     """
     feed = _BYTES_LOWER if lower else _BYTES
     starts, ends, hashes = [], [], []
     pos, n = 0, len(data)
     while pos < n:
-        end = _cut(data, offs, pos, min(pos + _BLOCK, n))
+        end = _cut(data, offs, pos, min(pos + _BLOCK, n), space)
         part = data[pos:end]
         m = len(part)
-        inside = ~_SPACE[part]
+        inside = ~space[part]
         edge = np.zeros(m + 1, bool)
         own = offs[np.searchsorted(offs, pos) : np.searchsorted(offs, end, "right")] - pos
         edge[own] = True
@@ -283,12 +283,13 @@ class Bloom:
 
     bits = 1 << 26
 
-    def __init__(self, keys: DataFrame, name: str):
+    def __init__(self, keys: DataFrame, name: str, hashed: bool = False):
+        """``hashed``: the keys are hashes themselves, not negative, and ``test`` takes them as they are."""
         from pyspark.sql import functions as F
 
-        at = F.pmod(F.xxhash64(F.col(name)), F.lit(self.bits))
+        h = keys.select((F.col(name) if hashed else F.xxhash64(F.col(name))).alias("h"))
         packed = (
-            keys.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(`%s`), 64) as int))" % name).alias("b"))
+            h.select(F.shiftright(F.pmod("h", F.lit(self.bits)), 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(h, 64) as int))").alias("b"))
             .groupBy("w").agg(F.bit_or("b").alias("b"))
         )
         words = np.zeros(self.bits // 64, np.int64)

@@ -73,4 +73,22 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard, op3_resampling, op4_rules, op5_secrets, op6_packing, op7_substring, op8_warc, op9_media, op10_lm)}
+def op11_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocation import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard, op3_resampling, op4_rules, op5_secrets, op6_packing, op7_substring, op8_warc, op9_media, op10_lm, op11_collocation, op12_clustering, op13_toxicity)}

@@ -84,4 +84,52 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes, payload_digest, CASE WHEN
 FROM firsts
 """
 
-ORACLE_SQL = {"op1_mixing": OP1, "op2_jaccard": OP2, "op7_substring": OP7, "op8_warc": OP8}
+OP11 = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+counted AS (
+  SELECT lang, len(g) AS m, array_to_string(g, ' ') AS phrase, count(*)::BIGINT AS f
+  FROM (SELECT lang, w[i : i + m - 1] AS g FROM places, range(1, 6) AS s(m) WHERE i + m - 1 <= len(w))
+  GROUP BY ALL HAVING count(*) >= 100),
+split AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS w FROM counted WHERE m >= 2),
+cuts AS (
+  SELECT s.lang, s.phrase, s.f AS a, k, l.f AS l, r.f AS r, t.n, ((1000::HUGEINT * s.f * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM split s, range(1, 5) AS c(k)
+  JOIN counted l ON l.lang = s.lang AND l.phrase = array_to_string(s.w[1 : k], ' ')
+  JOIN counted r ON r.lang = s.lang AND r.phrase = array_to_string(s.w[k + 1 : ], ' ')
+  JOIN totals t ON t.lang = s.lang
+  WHERE k < s.m),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(w[j : j + n - 1], ' ') AS phrase, max(f) AS longer FROM split, range(2, 5) AS a(n), range(1, 5) AS b(j) WHERE n < m AND j + n - 1 <= m GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY rank <= 2000
+"""
+
+_ROUNDS = "".join(
+    f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, v, arg_min(j, (d, j)) AS j, min(d) AS d
+  FROM (SELECT vec_id, v, j, list_sum([(v[x] - c[x]) * (v[x] - c[x]) FOR x IN range(1, 65)])::BIGINT AS d FROM vectors, c{i}) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (
+  SELECT j, CASE WHEN count(s) = 0 THEN any_value(c) ELSE list((s - ((s % n) + n) % n) // n ORDER BY x) END AS c
+  FROM c{i} LEFT JOIN (SELECT j, x, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT j, unnest(v) AS e, unnest(range(1, 65)) AS x FROM a{i}) GROUP BY ALL) USING (j) GROUP BY j),
+"""
+    for i in range(10)
+)
+
+OP12 = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT vec_id, [CAST(floor(1024 * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS j, v AS c FROM vectors QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id)) <= 8),
+{_ROUNDS}last AS (
+  SELECT vec_id, arg_min(j, (d, j)) AS j, min(d) AS d
+  FROM (SELECT vec_id, v, j, list_sum([(v[x] - c[x]) * (v[x] - c[x]) FOR x IN range(1, 65)])::BIGINT AS d FROM vectors, c10) GROUP BY vec_id, v)
+SELECT vec_id, j::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM last JOIN c10 USING (j)
+"""
+
+ORACLE_SQL = {"op1_mixing": OP1, "op2_jaccard": OP2, "op7_substring": OP7, "op8_warc": OP8, "op11_collocation": OP11, "op12_clustering": OP12}
