@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from ..functions.expr import finite, log1p_safe, safe_div
 from ..spec import SCHEMES
+from .rules import BLOCK, unpack_cells
 from .stats import mean_t
 from .xsection import quantile_groups, scheme_weight, standardised
 
@@ -170,6 +174,87 @@ def rule_high_low(positions: DataFrame, groups: int) -> DataFrame:
     return w.groupBy("rule_id", "scheme", "date").agg((leg(groups) - leg(1)).alias("hl")).where("hl is not null")
 
 
+#: Cells of the matrix that are ranked at once.
+CELLS = 1 << 21
+
+
+def cells_high_low(cells: np.ndarray, ret: np.ndarray, weights: np.ndarray, groups: int) -> np.ndarray:
+    """High minus low by scheme and rule, NaN where there is none, of one date: ``cells`` names x rules (position plus
+    one, 3 for none), finite returns, and weights schemes x names (0: none), names in order of entity.
+
+    As there are three positions only, a rule's standardised cross-section has three values at most: they follow from
+    counts, and a name's rank from the counts below its value and from the names before it that share it.
+    """
+    count = np.stack([(cells == k).sum(axis=0) for k in range(3)]).astype(np.float64)
+    n = count.sum(axis=0)
+    usable = (n >= groups) & ((count > 0).sum(axis=0) > 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        value = np.arange(-1.0, 2.0)[:, None]
+        mean = (count * value).sum(axis=0) / n
+        z = np.clip((value - mean) / np.sqrt((count * (value - mean) ** 2).sum(axis=0) / (n - 1)), -3, 3)
+        # clipped values may coincide: then their names are ties
+        kind = np.vstack([np.zeros(len(n), np.int8), np.cumsum(z[1:] > z[:-1], axis=0)]).astype(np.int8)
+    there = cells < 3
+    own = np.take_along_axis(np.vstack([kind, np.full((1, len(n)), 9, np.int8)]), cells.astype(np.int64), axis=0)
+    rank, below = np.zeros(cells.shape, np.int64), np.zeros(len(n), np.int64)
+    for k in range(3):
+        same = own == k
+        rank = np.where(same, below + np.cumsum(same, axis=0) - 1, rank)
+        below = below + same.sum(axis=0)
+    low = (there & (rank * groups < n)).astype(np.float64)
+    high = (there & (rank * groups >= n * (groups - 1))).astype(np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        leg = lambda side: ((weights * ret) @ side) / (weights @ side)
+        out = leg(high) - leg(low)
+    return np.where(usable, out, np.nan)
+
+
+def packed_high_low(packed: DataFrame, rule_ids: list[int], groups: int, schemes=SCHEMES, float_cap: str = "cap", total_cap: str = "cap", block: int = BLOCK) -> DataFrame:
+    """rule_id, scheme, date, hl from a matrix of positions (entity, date, ret, caps, block, bits): one shuffle by date and
+    block, all rules of a block ranked side by side. Dates with fewer rankable names than groups, and dates where a leg is
+    empty, have no row."""
+    ids = np.array(rule_ids, np.int32)
+    d = packed.withColumn("ret", finite("ret")).where("ret is not null")
+    d = d.select("entity", "date", "block", "bits", "ret", *(F.coalesce(scheme_weight(s, float_cap, total_cap), F.lit(0.0)).alias(f"w{i}") for i, s in enumerate(schemes)))
+    ship(packed.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.sort_by("entity")
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        ret, w = np.asarray(t["ret"]), np.stack([np.asarray(t[f"w{i}"]) for i in range(len(schemes))])
+        first = t["block"][0].as_py() * block
+        own = ids[first : first + block]
+        width = max(1, CELLS // (4 * t.num_rows))
+        parts = [cells_high_low(unpack_cells(bits[:, b : b + width]), ret, w, groups) for b in range(0, bits.shape[1], width)] if t.num_rows >= groups else [np.full((len(schemes), len(own)), np.nan)]
+        hl = np.concatenate(parts, axis=1)[:, : len(own)]
+        scheme, rule = np.nonzero(np.isfinite(hl))
+        return pa.table({"rule_id": pa.array(own[rule]), "scheme": pa.array([schemes[i] for i in scheme], pa.string()), "date": t["date"].take(pa.array(np.zeros(len(rule), np.int64))), "hl": pa.array(hl[scheme, rule])})
+
+    return d.groupBy("date", "block").applyInArrow(run, f"rule_id int, scheme string, date {packed.schema['date'].dataType.simpleString()}, hl double")
+
+
+def every_rule(summary: DataFrame, rule_ids: list[int], schemes=SCHEMES) -> DataFrame:
+    """A Sharpe summary with a row for every rule and scheme: those without a date have 0 periods and no figures."""
+    spark = summary.sparkSession
+    all_ = spark.createDataFrame([(i,) for i in rule_ids], "rule_id int").select("rule_id", F.explode(F.array(*map(F.lit, schemes))).alias("scheme"))
+    return all_.join(summary, ["rule_id", "scheme"], "left").withColumn("n_periods", F.coalesce("n_periods", F.lit(0).cast("long")))
+
+
+def sharpe_distribution(summary: DataFrame, bins: int = 80, reference: float | None = None, pad: float = 0.05) -> DataFrame:
+    """Histogram of Sharpe ratios by scheme: bin, n, its edges, and the axis' limits, which take in the reference and a
+    share ``pad`` of the span to both sides, or 0.5 where there is no span. Equal ratios lie in a bin around them."""
+    v = summary.where(finite("sharpe").isNotNull()).select("scheme", finite("sharpe").alias("v"))
+    ends = v.groupBy("scheme").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    flat = F.col("a") == F.col("b")
+    ref = F.lit(reference).cast("double")
+    left, right = F.least("a", ref), F.greatest("b", ref)
+    margin = F.when(right > left, pad * (right - left)).otherwise(0.5)
+    ends = ends.select("scheme", F.when(flat, F.col("a") - 0.5).otherwise(F.col("a")).alias("lo"), F.when(flat, F.col("b") + 0.5).otherwise(F.col("b")).alias("hi"), (left - margin).alias("x_lo"), (right + margin).alias("x_hi"))
+    bin_ = F.least(F.lit(bins), F.floor((F.col("v") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))) + 1).cast("int")
+    return v.join(F.broadcast(ends), "scheme").groupBy("scheme", bin_.alias("bin"), "lo", "hi", "x_lo", "x_hi").agg(F.count("*").alias("n")).select(
+        "scheme", "bin", "n", (F.col("lo") + (F.col("bin") - 1) * (F.col("hi") - F.col("lo")) / bins).alias("left"), (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("right"), "x_lo", "x_hi")
+
+
 def histogram(values: DataFrame, c: str, bins: int = 80) -> DataFrame:
     """Counts in equal bins between the smallest and the largest value."""
     v = values.where(finite(c).isNotNull()).select(finite(c).alias("v"))

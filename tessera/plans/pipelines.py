@@ -80,19 +80,41 @@ def holding_breakdown(panels: dict[str, DataFrame], first: str, whole: str, grou
     return portfolio.backtest(reduce(DataFrame.unionByName, rows), groups, ppy, direct=direct, keys=("model", "days"), thin=thin)
 
 
-def rule_scan(panel: DataFrame, chosen: list[rules.Rule], horizon: int = 20, groups: int = 10, members: DataFrame | None = None) -> DataFrame:
-    """Sharpe ratios of rules by weighting scheme: positions at period ends, high minus low by rule and date.
+def rule_universe(panel: DataFrame, horizon: int, start: str | None = None, entity_limit: int | None = None, window: int = 20) -> DataFrame:
+    """Rows (entity, date, ret, cap) on which rules are ranked: an entity's last session of each period that has
+    ``window`` sessions of history and a return ahead, from ``start`` on, of the first entities. Raises where none is left."""
+    base = universe.with_history(panel.withColumn("ret", compounded("ret", 1, horizon)), window).where("ret is not null")
+    last = base.groupBy("entity", F.date_trunc(UNITS[horizon], "date").alias("period")).agg(F.max_by(F.struct("date", "ret", "cap"), "date").alias("x")).select("entity", "x.*")
+    out = calendar.between_dates(last, start)
+    out = universe.first_entities(out, entity_limit) if entity_limit else out
+    if out.isEmpty():
+        raise ValueError("no row of the panel lies in the rules' universe")
+    return out
+
+
+def rule_returns(panel: DataFrame, chosen: list[rules.Rule], horizon: int = 20, groups: int = 10, members: DataFrame | None = None, schemes=SCHEMES, float_cap: str = "cap", total_cap: str = "cap") -> DataFrame:
+    """High minus low by rule, scheme and period: rule_id, scheme, date, hl.
 
-    Rules stay in rows: however many there are, the plan is one shuffle by entity and one by (rule, date). Positions come
-    from whole histories; with ``members`` (entity, date), only members are ranked.
+    Positions come from whole histories at each entity's last session of a period, as a matrix of two bits a rule; with
+    ``members`` (entity, date), only members are ranked. However many rules there are, the plan is one shuffle by entity
+    and one by period and block of rules.
     """
-    base = panel.withColumn("ret_ahead", compounded("ret", 1, horizon))
-    last = Window.partitionBy("entity", F.date_trunc(UNITS[horizon], "date")).orderBy(F.desc("date"))
-    at = base.withColumn("__n", F.row_number().over(last)).where("__n = 1").select("entity", "date", F.to_date(F.date_trunc(UNITS[horizon], "date")).alias("period"), F.col("ret_ahead").alias("ret"), "cap")
-    at = at if members is None else universe.to_universe(at, members)
-    pos = rules.positions(panel, chosen, at).join(at, ["entity", "date"]).withColumn("date", F.col("period"))
-    hl = portfolio.rule_high_low(pos.withColumn("pos", F.col("pos").cast("double")), groups)
-    return portfolio.sharpe_summary(hl, "hl", ["rule_id", "scheme"], PERIODS_PER_YEAR[horizon])
+    period = F.to_date(F.date_trunc(UNITS[horizon], "date"))
+    base = panel.withColumns({"__ret": compounded("ret", 1, horizon), "period": period})
+    base = base.withColumn("wanted", F.coalesce(F.lead("period").over(Window.partitionBy("entity").orderBy("date")) != F.col("period"), F.lit(True)))
+    if members is not None:
+        base = base.join(members.select("entity", "date", F.lit(True).alias("__member")).distinct(), ["entity", "date"], "left").withColumn("wanted", F.col("wanted") & F.col("__member").isNotNull())
+    caps = tuple(dict.fromkeys((float_cap, total_cap)))
+    packed = rules.packed_positions(base, chosen, ("period", "__ret", *caps))
+    return portfolio.packed_high_low(packed.withColumnsRenamed({"period": "date", "__ret": "ret"}), [r.rule_id for r in chosen], groups, schemes, float_cap, total_cap)
+
+
+def rule_scan(panel: DataFrame, chosen: list[rules.Rule], horizon: int = 20, groups: int = 10, members: DataFrame | None = None, schemes=SCHEMES, float_cap: str = "cap", total_cap: str = "cap") -> DataFrame:
+    """Sharpe ratio of every rule by weighting scheme; see ``rule_returns``. Rules that never tell names apart have 0
+    periods."""
+    hl = rule_returns(panel, chosen, horizon, groups, members, schemes, float_cap, total_cap)
+    summary = portfolio.sharpe_summary(hl, "hl", ["rule_id", "scheme"], PERIODS_PER_YEAR[horizon])
+    return portfolio.every_rule(summary, [r.rule_id for r in chosen], schemes)
 
 
 def stand_in_predictions(panel: DataFrame, last_train: str, first_test: str, horizon: int = 5) -> DataFrame:

@@ -216,7 +216,7 @@ def _sequential():
 def rule_positions_sequential(spark, sf):
     su = su_daily(spark, sf)
     as_of = period_panel(su, "month").select("entity", "date")
-    return rules.sampled(rules.positions(su, _sequential(), as_of), as_of)
+    return rules.sampled(su, _sequential(), as_of)
 
 
 def _rule_returns(spark, sf):
@@ -250,9 +250,36 @@ def rule_sharpe_summary(spark, sf):
     return rounded(portfolio.sharpe_summary(hl, "hl", ["rule_id", "scheme"], 12), "ann_ret", "ann_risk", "sharpe")
 
 
-@query(sql("", "SELECT CAST(least(80, floor((v - lo) * 80 / (hi - lo)) + 1) AS INTEGER) AS bin, count(*) AS n, min(lo) AS lo, max(hi) AS hi FROM (SELECT l_extendedprice AS v FROM lineitem), (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) GROUP BY 1"))
+#: The scan of the rules that SQL knows, ranked in five groups on the rows of a universe.
+_SCAN = _rule_sql() + f""",
+a0 AS (SELECT entity, date, cap, CAST(date_trunc('month', date) AS DATE) AS period, {comp(1, 20)} AS ret20, row_number() OVER (PARTITION BY entity ORDER BY date) AS own FROM su),
+a1 AS (SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY date DESC) AS back FROM a0 WHERE own >= 20 AND ret20 IS NOT NULL),
+a2 AS (SELECT * EXCLUDE (back) FROM a1 WHERE back = 1 AND date >= DATE '1994-01-01' AND date = (SELECT max(x.date) FROM su x WHERE x.entity = a1.entity AND date_trunc('month', x.date) = a1.period)),
+u AS (SELECT pos.entity, a2.period AS date, a2.ret20 AS ret, a2.cap, pos.rule_id, CAST(pos.pos AS DOUBLE) AS signal FROM pos JOIN a2 ON pos.entity = a2.entity AND pos.date = a2.date),
+""" + _RULE_HL[_RULE_HL.index("u0 AS") :] + """,
+scan AS (SELECT rule_id, v.scheme, r.n_periods, r.ann_ret, r.ann_risk, r.sharpe FROM (VALUES """ + ", ".join(f"({r.rule_id})" for r in _chosen()) + """) AS i(rule_id) CROSS JOIN (VALUES ('equal'), ('float'), ('total')) AS v(scheme)
+  LEFT JOIN (SELECT rule_id, scheme, count(hl) AS n_periods, CASE WHEN count(hl) > 1 THEN avg(hl) * 12.0 END AS ann_ret, stddev_samp(hl) * sqrt(12.0) AS ann_risk, avg(hl) * 12.0 / nullif(stddev_samp(hl) * sqrt(12.0), 0) AS sharpe FROM rhl WHERE hl IS NOT NULL GROUP BY 1, 2) r USING (rule_id, scheme))"""
+
+
+def _scan(spark, sf):
+    from .pipelines import rule_scan, rule_universe
+
+    su = su_daily(spark, sf)
+    return rule_scan(su, _chosen(), 20, 5, rule_universe(su, 20, "1994-01-01"))
+
+
+@query(sql("su", "SELECT CAST(rule_id AS INTEGER) AS rule_id, scheme, coalesce(n_periods, 0) AS n_periods, round(ann_ret, 6) AS ann_ret, round(ann_risk, 6) AS ann_risk, round(sharpe, 6) AS sharpe FROM scan", _SCAN))
+def rule_scan_native(spark, sf):
+    """A few rules that SQL knows too, through the same matrix as all of them, ranked on a universe."""
+    return rounded(_scan(spark, sf), "ann_ret", "ann_risk", "sharpe")
+
+
+@query(sql("su", """SELECT scheme, bin, count(*) AS n, round(lo + (bin - 1) * (hi - lo) / 10, 6) AS left, round(lo + bin * (hi - lo) / 10, 6) AS right, round(least(lo, 1.0) - pad, 6) AS x_lo, round(greatest(hi, 1.0) + pad, 6) AS x_hi
+FROM (SELECT *, CAST(least(10, floor((sharpe - lo) * 10 / (hi - lo)) + 1) AS INTEGER) AS bin, 0.05 * (greatest(hi, 1.0) - least(lo, 1.0)) AS pad
+  FROM scan JOIN (SELECT scheme, min(sharpe) AS lo, max(sharpe) AS hi FROM scan GROUP BY scheme) USING (scheme) WHERE sharpe IS NOT NULL) GROUP BY scheme, bin, lo, hi, pad""", _SCAN))
 def sharpe_histogram(spark, sf):
-    return portfolio.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 80)
+    """Sharpe ratios of those rules in ten bins by scheme, on axes that take in a reference of 1."""
+    return rounded(portfolio.sharpe_distribution(_scan(spark, sf), 10, 1.0), "left", "right", "x_lo", "x_hi")
 
 
 #: Counted from the published grids, apart from the code: numbers of values, pairs of averages, and filters whose unwind is smaller.
