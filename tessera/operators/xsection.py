@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..deploy import ship
 from ..functions.expr import clip, finite, safe_div
 
 #: Pairs that a date needs to count (fixed value).
@@ -58,6 +62,25 @@ def percentile_rank(signal: str, by: tuple[str, ...] = ("date",)) -> Column:
     return average_rank(signal, by) / F.count(signal).over(Window.partitionBy(*by))
 
 
+def percentile_ranks(panel: DataFrame, columns: list[str], by: tuple[str, ...] = ("date",)) -> DataFrame:
+    """``percentile_rank`` of many columns at once: a cross-section meets once, where a window would sort it for each
+    column. Missing values stay missing."""
+    ship(panel.sparkSession)
+    schema = StructType([StructField(f.name, DoubleType()) if f.name in columns else f for f in panel.schema.fields])
+
+    def run(table: pa.Table) -> pa.Table:
+        for c in columns:
+            x = np.asarray(table[c].cast(pa.float64()).to_numpy(zero_copy_only=False), float)
+            there = np.isfinite(x)
+            _, of, n = np.unique(x[there], return_inverse=True, return_counts=True)
+            rank = np.full(len(x), np.nan)
+            rank[there] = (np.cumsum(n) - (n - 1) / 2)[of] / max(there.sum(), 1)
+            table = table.set_column(table.schema.get_field_index(c), c, pa.array(rank, from_pandas=True))
+        return table
+
+    return panel.groupBy(*by).applyInArrow(run, schema)
+
+
 def spearman(panel: DataFrame, x: str, y: str, least: int = LEAST_PAIRS, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rank correlation per date (and ``keys``) over rows that have both values."""
     by = (*keys, "date")
