@@ -93,17 +93,28 @@ def assign(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_repea
     last; a null doc_id queues by its text; rows with equal doc_id are rows of their own and ties between equal
     (doc_id, size) do not matter to the result; an empty table gives an empty table; further columns are ignored.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
-    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("queue")))
+    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _queue().alias("queue")))
+    d = _taken(sized, sized, ("queue", "doc_id", "size"), curriculum, share, max_repeats, whole)
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda acc, c: acc + c["words"])
+    return d.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies")
+
+
+def _queue() -> Column:
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+
+
+def _taken(rows: DataFrame, sized: DataFrame, order: tuple[str, ...], curriculum, share: float, max_repeats: int, whole: bool) -> DataFrame:
+    """``rows`` (source, size, queue and others) with source_size, target and copies; ``sized`` are the same rows, from
+    which the sums of sources and buckets are taken. Rows of a bucket meet once and take their places by ``order``."""
     digits = max(3, math.ceil(math.log(max(sized.count(), 1) / ROWS, 16)))
-    sized = sized.withColumn("bucket", F.substring("queue", 1, digits)).withColumn("source_key", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
-    sources = source_targets(sized, curriculum, share, max_repeats)
+    keyed = lambda d: d.withColumn("bucket", F.substring("queue", 1, digits)).withColumn("source_key", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
+    bucket_sums = materialise(keyed(sized).groupBy("source_key", "bucket").agg(F.sum("size").alias("words")))
+    sources = source_targets(bucket_sums.select(F.when(~F.col("source_key.n"), F.col("source_key.s")).alias("source"), F.col("words").alias("size")), curriculum, share, max_repeats)
     sources = sources.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("source_key"), "source_size", "segments", "target")
-    bucket_sums = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead_of = bucket_sums.select("source_key", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before")).join(sources, "source_key")
-    inside = Window.partitionBy("source_key", "bucket").orderBy("queue", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    d = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ahead_of, ["source_key", "bucket"])
+    inside = Window.partitionBy("source_key", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = keyed(rows).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ahead_of, ["source_key", "bucket"])
     d = d.withColumn("start", F.col("before") + F.col("within"))
     copies = []
     for i in range(max_repeats):
@@ -114,22 +125,20 @@ def assign(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_repea
             words = F.least(F.col("size"), F.greatest(F.floor("target") - at, F.lit(0)))
         words = words.cast("long")
         copies.append(F.struct(words.alias("words"), _position(at + F.col("size") / 2, F.col("target"), F.col("segments")).alias("position")))
-    d = d.withColumn("copies", F.filter(F.array(*copies), lambda c: c["words"] > 0))
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda acc, c: acc + c["words"])
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies")
+    return d.withColumn("copies", F.filter(F.array(*copies), lambda c: c["words"] > 0))
 
 
 def mix(docs: DataFrame, curriculum=CURRICULUM, share: float = 1.5, max_repeats: int = 2) -> DataFrame:
     """The mixture itself: rows of ``docs`` (its own columns only), one per pass that takes them, in training order.
 
-    Whole documents only.
+    Whole documents only. Every row has a place of its own: a source's words come within a document of its target.
 
     Defined cases: a null or empty text is never taken; null doc_ids and sources as in ``assign``; rows with equal
-    doc_id, source and size are taken alike, at the places of the one taken most; an empty table gives an empty one;
-    further columns are kept, whatever their names.
+    doc_id queue by size, then by text; equal rows have places of their own, which are theirs in any order; an empty
+    table gives an empty one; further columns are kept, whatever their names.
     """
-    plan = assign(docs, curriculum, share, max_repeats, whole=True)
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.max_by("copies.position", "taken").alias("positions"))
-    rows = docs.select(F.struct("*").alias("row")).withColumn("n", word_count(F.col("row.text")))
-    on = F.col("row.doc_id").eqNullSafe(plan["doc_id"]) & F.col("row.source").eqNullSafe(plan["source"]) & (F.col("n") == plan["size"])
-    return rows.join(plan, on).select("row", F.explode("positions").alias("position")).orderBy("position").select("row.*")
+    size, queue = word_count(F.col("text")).alias("size"), _queue().alias("queue")
+    sized = materialise(docs.select("source", size, queue))
+    rows = docs.select(F.struct("*").alias("row"), "source", size, queue, F.xxhash64("text").alias("tie")).where("size > 0")
+    d = _taken(rows, sized, ("queue", "size", "tie"), curriculum, share, max_repeats, whole=True)
+    return d.select("row", "queue", F.explode("copies.position").alias("position")).orderBy("position", "queue").select("row.*")

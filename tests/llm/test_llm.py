@@ -76,13 +76,26 @@ def test_mixing_fills_targets(spark):
 
 def test_mix_rows(spark):
     d = corpus(spark, odd_rows())
-    plan = {(r.doc_id, r.source, r["size"]): len(r.copies) for r in mixing.assign(d, whole=True).orderBy("taken").collect()}
+    plan = Counter()
+    for r in mixing.assign(d, whole=True).collect():
+        plan[r.doc_id, r.source, r["size"]] += len(r.copies)
     got = Counter((r.doc_id, r.source, len(words(r.text))) for r in mixing.mix(d).collect())
-    twins = Counter((i, s, len(words(t))) for i, t, s in odd_rows())
-    assert got == Counter({k: n * twins[k] for k, n in plan.items() if n})
+    assert got == +plan
     assert mixing.mix(d).columns == d.columns
 
 
+def test_mix_meets_targets_without_ids(spark):
+    """Rows without ids, of one length and of one text, take their source's target and no more."""
+    rows = [(None, f"w{i} " * 10, s) for s, n in (("a", 100), ("b", 1000), ("c", 100)) for i in range(n)]
+    rows += [(None, "the same ten words again and again and again and", "a")] * 40 + [(5, "one id " * 5 + str(i), "b") for i in range(30)]
+    d = corpus(spark, rows)
+    target = {r.source: r.target for r in mixing.assign(d).select("source", "target").distinct().collect()}
+    taken = Counter()
+    for r in mixing.mix(d).collect():
+        taken[r.source] += len(words(r.text))
+    assert set(taken) == set(target) and all(abs(taken[s] - t) <= 11 for s, t in target.items())
+
+
 def _components(rows, k, num, den):
     sets = []
     for _, t, _ in rows:
