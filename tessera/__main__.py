@@ -1,6 +1,7 @@
 """``python -m tessera VERB --panel PATH --out PATH [options]``: a run per verb, from tables to tables.
 
-A panel has entity, date, open, high, low, close, vol, cap, ret. Results that exist are read and not made again.
+A panel has entity, date, open, high, low, close, vol, cap, ret. Results that exist are
+read and not made again, if they were made with the same options.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
     o = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"tessera-{o.verb}").getOrCreate()
-    return io.resumed(spark, o.out, lambda: VERBS[o.verb](spark, io.read_table(spark, o.panel), o))
+    return io.resumed(spark, o.out, lambda: VERBS[o.verb](spark, io.read_table(spark, o.panel), o), **{k: v for k, v in vars(o).items() if k != "out"})
 
 
 if __name__ == "__main__":

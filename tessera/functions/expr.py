@@ -69,6 +69,36 @@ def window_sum(name: str, n: int, window: WindowSpec | None = None) -> Column:
     return F.when(whole, F.col(f"__s_{name}") - before("__s", 0.0))
 
 
+def with_extremes(panel: DataFrame, wanted: dict[str, tuple[str, str, int, int]], entity: str = "entity", date: str = "date") -> DataFrame:
+    """``panel`` with moving extremes ``{name: (max or min, column, n, back)}``: over ``n`` own rows that end ``back`` rows
+    before the present one, NULL unless all of them hold a value.
+
+    An entity's rows are cut into blocks of n. A window reaches over two of them, so its extreme is that of the end of the
+    one from its first row on and of the beginning of the other up to its last: two running extremes and one comparison
+    a row, whatever n is. Nothing is shuffled beyond the entity's own windows.
+    """
+    own = by_entity(entity, date)
+    running = own.rowsBetween(Window.unboundedPreceding, 0)
+    kinds = {"max": (F.max, F.greatest), "min": (F.min, F.least)}
+    d = panel.withColumns({"__i": F.row_number().over(own) - 1} | {f"__have_{c}": F.count(c).over(running) for _, c, _, _ in wanted.values()})
+    for n in sorted({n for _, _, n, _ in wanted.values()}):
+        d = d.withColumn("__block", F.floor(F.col("__i") / n))
+        block = Window.partitionBy(entity, "__block")
+        pairs = sorted({(kind, c) for kind, c, m, _ in wanted.values() if m == n})
+        for side, order in (("from", F.col(date)), ("upto", F.col(date).desc())):
+            w = block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+            d = d.withColumns({f"__{side}_{kind}_{c}_{n}": kinds[kind][0](c).over(w) for kind, c in pairs})
+    out = {}
+    for name, (kind, c, n, back) in wanted.items():
+        there = lambda k: F.lag(f"__have_{c}", k).over(own) if k else F.col(f"__have_{c}")  # noqa: E731, B023
+        whole = there(back) - F.coalesce(there(n + back), F.lit(0)) == n
+        last = F.lag(f"__from_{kind}_{c}_{n}", back).over(own) if back else F.col(f"__from_{kind}_{c}_{n}")
+        reach = n - 1 + back
+        first = F.lag(f"__upto_{kind}_{c}_{n}", reach).over(own) if reach else F.col(f"__upto_{kind}_{c}_{n}")
+        out[name] = F.when(whole, kinds[kind][1](first, last))
+    return d.withColumns(out).select(*panel.columns, *wanted)
+
+
 def without_prefixes(panel: DataFrame) -> DataFrame:
     return panel.drop(*(c for c in panel.columns if c.startswith(("__s_", "__n_"))))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import by_entity, compounded, finite, log1p_safe, prefixed, rolling, safe_div, window_sum, without_prefixes
+from ..functions.expr import by_entity, compounded, finite, log1p_safe, prefixed, rolling, safe_div, window_sum, with_extremes, without_prefixes
 from ..spec import ALIASES, HORIZONS
 
 #: Lengths of the moving averages (fixed values).
@@ -86,15 +86,22 @@ def reversal(n: int) -> Column:
     return -compounded("ret", -(n - 1), 0)
 
 
-def distance_to_high() -> Column:
-    return safe_div("close", rolling(F.max, "high", -(YEAR - 1), 0))
+def with_distance_to_high(panel: DataFrame, out: str = "dist_high") -> DataFrame:
+    """Adds the close over the highest high of the year's sessions."""
+    d = with_extremes(panel, {"__top": ("max", "high", YEAR, 0)})
+    return d.withColumn(out, safe_div("close", "__top")).drop("__top")
+
+
+def with_previous_extremes(panel: DataFrame, wanted: dict[str, tuple[str, int]], c: str = "close") -> DataFrame:
+    """Adds extremes of ``c`` over the n own sessions before the present one: ``{name: (max or min, n)}``."""
+    return with_extremes(panel, {name: (kind, c, n, 1) for name, (kind, n) in wanted.items()})
 
 
 def trend_signals(panel: DataFrame) -> DataFrame:
     """Momentum, reversals, distance to the year's high and moving-average ratios; prices enter as absolute values."""
-    d = panel.withColumns({c: F.abs(c) for c in ("close", "high")})
+    d = with_distance_to_high(panel.withColumns({c: F.abs(c) for c in ("close", "high")}))
     d = prefixed(d, {"close": F.col("close"), "log_ret": log1p_safe("ret")}).withColumn("__year", window_sum("log_ret", YEAR))
-    d = d.withColumns({"mom": momentum(), "rev_month": reversal(MONTH), "rev_week": reversal(WEEK), "dist_high": distance_to_high()} | {f"ma{n}": safe_div(window_sum("close", n) / n, "close") for n in MA_LENGTHS})
+    d = d.withColumns({"mom": momentum(), "rev_month": reversal(MONTH), "rev_week": reversal(WEEK)} | {f"ma{n}": safe_div(window_sum("close", n) / n, "close") for n in MA_LENGTHS})
     return without_prefixes(d).drop("__year")
 
 
@@ -140,14 +147,6 @@ def liquidity_panel(panel: DataFrame, market: DataFrame) -> DataFrame:
         "volatility": rolling_vol(), "dollar_vol": dollar_volume(), "zero_trade": zero_trade(), "illiquidity": illiquidity(), "lag_week_ret": lag_week_return()})
 
 
-def previous_max(c: str, n: int) -> Column:
-    return rolling(F.max, c, -n, -1)
-
-
-def previous_min(c: str, n: int) -> Column:
-    return rolling(F.min, c, -n, -1)
-
-
 def on_balance_volume(panel: DataFrame) -> DataFrame:
     """Running sum of volume, signed by the change of the close (a zero change adds); a missing change adds nothing."""
     last = F.lag("close").over(by_entity())

@@ -62,6 +62,29 @@ def percentile_rank(signal: str, by: tuple[str, ...] = ("date",)) -> Column:
     return average_rank(signal, by) / F.count(signal).over(Window.partitionBy(*by))
 
 
+def ranked_in_ranges(panel: DataFrame, signal: str, by: tuple[str, ...] = ("date",), ranges: int = 64, out: str = "rank") -> DataFrame:
+    """``average_rank`` and the number of values (``<out>`` and ``<out>_of``) where one cross-section may hold more names
+    than a task should sort; NULL for NULL.
+
+    Values are counted first, so a value that most names share is one row. Approximate quantiles cut a cross-section's
+    values into ranges (any cuts give the same ranks: a value lies in one range whole); ranges are counted, a value's
+    place inside its range is a running sum there, and what lies in the ranges before it is added.
+    """
+    value = finite(signal)
+    d = panel.withColumn("__v", value)
+    counts = d.where("__v is not null").groupBy(*by, "__v").agg(F.count("*").alias("__n"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("__v", [i / ranges for i in range(1, ranges)], 1000).alias("__cuts"))
+    # how many cuts lie at or below a value
+    counts = counts.join(cuts, list(by)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))).drop("__cuts")
+    whole = counts.groupBy(*by, "__range").agg(F.sum("__n").alias("__size"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*by, "__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"), F.sum("__size").over(Window.partitionBy(*by)).alias("__of"))
+    inside = Window.partitionBy(*by, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("__upto", F.sum("__n").over(inside)).join(whole, [*by, "__range"])
+    placed = placed.select(*by, "__v", (F.col("__offset") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(out), F.col("__of").alias(f"{out}_of"))
+    return d.join(placed, [*by, "__v"], "left").select(*panel.columns, out, f"{out}_of")
+
+
 def percentile_ranks(panel: DataFrame, columns: list[str], by: tuple[str, ...] = ("date",)) -> DataFrame:
     """``percentile_rank`` of many columns at once: a cross-section meets once, where a window would sort it for each
     column. Missing values stay missing."""

@@ -165,7 +165,7 @@ def reversal_21_5(spark, sf):
 
 @query(_one("dist_high", f"close / nullif({roll('max', 'high', -251, 0)}, 0)"))
 def dist_52wh(spark, sf):
-    return su_daily(spark, sf).select("entity", "date", F.round(signals.distance_to_high(), 6).alias("dist_high"))
+    return signals.with_distance_to_high(su_daily(spark, sf)).select("entity", "date", F.round("dist_high", 6).alias("dist_high"))
 
 
 @query(sql("su", "SELECT entity, date, " + ", ".join(f"round({roll('avg', 'close', 1 - n, 0)} / nullif(close, 0), 6) AS ma{n}" for n in signals.MA_LENGTHS) + " FROM su"))
@@ -200,7 +200,7 @@ def amihud(spark, sf):
 
 @query(sql("su", f"SELECT entity, date, {roll('max', 'close', -20, -1)} AS hi, {roll('min', 'close', -20, -1)} AS lo, round({roll('avg', 'close', -19, 0)}, 6) AS ma FROM su"))
 def rolling_extrema(spark, sf):
-    return su_daily(spark, sf).select("entity", "date", signals.previous_max("close", 20).alias("hi"), signals.previous_min("close", 20).alias("lo"), F.round(rolling(F.avg, "close", -19, 0), 6).alias("ma"))
+    return signals.with_previous_extremes(su_daily(spark, sf), {"hi": ("max", 20), "lo": ("min", 20)}).select("entity", "date", "hi", "lo", F.round(rolling(F.avg, "close", -19, 0), 6).alias("ma"))
 
 
 _OBV = "ob AS (SELECT *, sum(CASE WHEN close >= pc THEN vol WHEN close < pc THEN -vol ELSE 0 END) OVER (PARTITION BY entity ORDER BY date) AS obv FROM (SELECT *, lag(close) OVER (PARTITION BY entity ORDER BY date) AS pc FROM su))"
@@ -221,7 +221,7 @@ _HI, _LO = roll("max", "close", -20, -1), roll("min", "close", -20, -1)
 
 @query(_carried(f"coalesce(CASE WHEN close < ({_LO}) * 0.99 THEN -1 WHEN close > ({_HI}) * 1.01 THEN 1 END, 0)"))
 def breakout_signal(spark, sf):
-    d = su_daily(spark, sf).withColumns({"hi": signals.previous_max("close", 20), "lo": signals.previous_min("close", 20)})
+    d = signals.with_previous_extremes(su_daily(spark, sf), {"hi": ("max", 20), "lo": ("min", 20)})
     d = d.withColumn("raw", F.coalesce(F.when(F.col("close") < F.col("lo") * 0.99, -1).when(F.col("close") > F.col("hi") * 1.01, 1), F.lit(0)))
     return d.select("entity", "date", "raw", signals.carried("raw").alias("pos"))
 
@@ -239,7 +239,7 @@ def ma_cross_delay(spark, sf):
 
 @query(_carried(f"coalesce(CASE WHEN ({_HI}) <= ({_LO}) * 1.5 AND close < ({_LO}) THEN -1 WHEN ({_HI}) <= ({_LO}) * 1.5 AND close > ({_HI}) THEN 1 END, 0)"))
 def channel_breakout(spark, sf):
-    d = su_daily(spark, sf).withColumns({"hi": signals.previous_max("close", 20), "lo": signals.previous_min("close", 20)})
+    d = signals.with_previous_extremes(su_daily(spark, sf), {"hi": ("max", 20), "lo": ("min", 20)})
     channel = F.col("hi") <= F.col("lo") * 1.5
     d = d.withColumn("raw", F.coalesce(F.when(channel & (F.col("close") < F.col("lo")), -1).when(channel & (F.col("close") > F.col("hi")), 1), F.lit(0)))
     return d.select("entity", "date", "raw", signals.carried("raw").alias("pos"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import exists, options_digest
+
 #: Daily price file: names and types of its columns (fixed values).
 OHLC_SCHEMA = T.StructType([
     T.StructField("PERMNO", T.LongType()), T.StructField("HdrCUSIP", T.StringType()), T.StructField("Ticker", T.StringType()), T.StructField("PERMCO", T.LongType()),
@@ -166,17 +170,31 @@ def write_run_meta(path: str, **meta) -> None:
     Path(path).write_text(json.dumps(meta, indent=1, default=str, sort_keys=True))
 
 
-def resumed(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at ``path``; where its completion marker is missing, ``make()`` is written there first.
+def resumed(spark: SparkSession, path: str, make, **options) -> DataFrame:
+    """The table at ``path``, if it is complete and was made with these options; else ``make()`` is written there first.
 
-    Spark's committer sets the marker last, so a run that was cut off leaves none and is done again.
+    Spark's committer sets its marker last, and the options' digest follows as a file that readers pass over, so a run
+    that was cut off, or one with other options, is done again.
     """
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+    mark = f"{path}/_options"
+    digest = options_digest(options)
+    done = exists(spark, f"{path}/_SUCCESS") and exists(spark, f"{mark}/_SUCCESS") and spark.read.text(mark).first()[0] == digest
+    if not done:
         make().write.mode("overwrite").parquet(path)
+        spark.createDataFrame([(digest,)], "value string").coalesce(1).write.mode("overwrite").text(mark)
     return spark.read.parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, or on this machine where Spark runs on it alone."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="tessera-")
+    return f"{where}/tessera-scratch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def write_performance(perf: DataFrame, path: str) -> None:
     """A long performance table, a folder for each weighting scheme."""
     write_by_scheme(perf, path)
