@@ -35,28 +35,42 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _often(at: np.ndarray, times: int) -> np.ndarray:
+    """The bucket that says a bucket comes ``times`` times."""
+    return (splitmix(at.astype(_U) + _U(times << 32)) >> _U(64 - BITS)).astype(np.int64)
+
+
+def buckets(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Document and bucket of each distinct feature of each text, in order: words, their beginnings, and either of them
-    that comes several times. Words are runs of letters and of bytes that are not ASCII, in lower case (A-Z only)."""
+    that comes several times. Words are runs of letters and of bytes that are not ASCII, in lower case (A-Z only).
+    ``wanted`` leaves out other words and beginnings, by their buckets, before they are counted."""
     data, offs = utf8(texts)
     s, e, h, first = hash_words(data, offs, lower=True, space=_APART)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    hashes, owners = [h], [doc]
-    part = np.zeros(len(s), _U)
-    for j in range(max(STARTS)):
-        there = e - s > j
-        s, e, doc, part = s[there], e[there], doc[there], part[there]
-        part = splitmix(part * _U(0xA24BAED4963EE407) + _LOWER[data[s + j]].astype(_U) + _U(1))
-        if j + 1 in STARTS:
-            hashes.append(part)
-            owners.append(doc)
-    keys, n = np.unique((np.concatenate(owners).astype(_U) << _U(BITS)) | (np.concatenate(hashes) >> _U(64 - BITS)), return_counts=True)
-    more = [keys]
-    for times in TIMES:
-        often = keys[n >= times]
-        more.append((often >> _U(BITS) << _U(BITS)) | (splitmix(often % _U(1 << BITS) + _U(times << 32)) >> _U(64 - BITS)))
-    keys = np.unique(np.concatenate(more))
-    return (keys >> _U(BITS)).astype(np.int64), (keys & _U((1 << BITS) - 1)).astype(np.int64)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first)).astype(_U) << _U(BITS)
+    bytes_ = np.lib.stride_tricks.sliding_window_view(np.r_[_LOWER[data], np.zeros(8, np.uint8)], 8)[s].view("<u8").ravel()
+    keys = []
+
+    def add(hashes, docs):
+        at = hashes >> _U(64 - BITS)
+        if wanted is not None:
+            there = wanted[at]
+            at, docs = at[there], docs[there]
+        keys.append(docs | at)
+
+    add(h, doc)
+    for n in STARTS:
+        long = e - s >= n
+        add(splitmix((bytes_[long] & _U((1 << 8 * n) - 1)) * _U(0xA24BAED4963EE407) + _U(n)), doc[long])
+    keys, n = np.unique(np.concatenate(keys), return_counts=True)
+    doc, at = (keys >> _U(BITS)).astype(np.int64), (keys & _U((1 << BITS) - 1)).astype(np.int64)
+    often = [n >= times for times in TIMES]
+    docs = np.concatenate([doc, *(doc[o] for o in often)])
+    ats = np.concatenate([at, *(_often(at[o], times) for o, times in zip(often, TIMES))])
+    order = np.argsort(docs << BITS | ats)
+    docs, ats = docs[order], ats[order]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (ats[1:] != ats[:-1])
+    return docs[new], ats[new]
 
 
 def held_out(doc_id="doc_id"):
@@ -115,16 +129,21 @@ def _ratio(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights of the chosen buckets and an intercept."""
+    """The chosen buckets, sorted."""
 
-    def __init__(self, features: np.ndarray, weights: np.ndarray):
-        self.features, self.weights = features, weights
+    def __init__(self, features: np.ndarray):
+        self.features = features
+        every = np.arange(1 << BITS)
+        #: Buckets that are features, or say something of one that comes several times.
+        self.wanted = np.isin(every, features)
+        for times in TIMES:
+            self.wanted |= np.isin(_often(every, times), features)
 
     def places(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Document and feature number of each feature that a document has."""
-        doc, at = buckets(column(batch, "text"))
         if not len(self.features):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        doc, at = buckets(column(batch, "text"), self.wanted)
         where = np.minimum(np.searchsorted(self.features, at), len(self.features) - 1)
         there = self.features[where] == at
         return doc[there], where[there]
@@ -145,7 +164,7 @@ def _gradients(table: DataFrame, weights: np.ndarray) -> np.ndarray:
             lists = column(batch, "features")
             flat, lengths = np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
             doc = np.repeat(np.arange(len(lengths)), lengths)
-            z = np.bincount(doc, weights[flat], minlength=len(lengths)) + weights[-1]
+            z = _logits(lists, weights)
             p, loss = _sigmoid(z), np.logaddexp(0, z)
             toxic = np.asarray(column(batch, "toxic").to_numpy(zero_copy_only=False), bool)
             for row, g, of in ((0, p, np.ones(len(z))), (1, p, toxic), (2, p - 1, toxic)):
@@ -171,14 +190,8 @@ def step(sums: np.ndarray, prior: float) -> np.ndarray:
     return prior * as_toxic[:size] + of_clean if clean >= 0 else -of_clean
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = FEATURES, steps: int = STEPS, most_labels: int = POSITIVES) -> Model:
-    """The model from all documents that are not held out; without a confirmed toxic one it says 0 to everything."""
-    known, prior = training_labels(labels, most_labels)
-    docs = docs.where(~held_out())
-    features = chosen_features(docs, known, prior, most) if len(known) else np.zeros(0, np.int64)
-    if not len(features):
-        return Model(features, np.array([np.log(prior / (1 - prior)) if 0 < prior < 1 else -35.0]))
-    model = Model(features, np.zeros(len(features) + 1))
+def with_features(docs: DataFrame, model: Model, known: np.ndarray) -> DataFrame:
+    """Per document: doc_id, features (their numbers), toxic (confirmed)."""
     shared = docs.sparkSession.sparkContext.broadcast((model, known))
 
     def run(parts):
@@ -188,43 +201,57 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FEATURES, steps: int =
                 doc, where = model.places(batch)
                 offs = np.r_[0, np.cumsum(np.bincount(doc, minlength=batch.num_rows))].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(where.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([lists, pa.array(_positive(column(batch, "doc_id"), known))], ["features", "toxic"])
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), lists, pa.array(_positive(column(batch, "doc_id"), known))], ["doc_id", "features", "toxic"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, features array<int>, toxic boolean")
+
+
+def _logits(lists: pa.Array, weights: np.ndarray) -> np.ndarray:
+    flat, lengths = np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
+    return np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights[flat], minlength=len(lengths)) + weights[-1]
+
 
-    table = materialise(arrow(docs.select("doc_id", "text"), run, "features array<int>, toxic boolean"))
-    w = model.weights
-    w[-1] = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
+def train(table: DataFrame, size: int, prior: float, positives: int, steps: int = STEPS) -> np.ndarray:
+    """Weights of ``size`` features and an intercept from the documents of ``with_features`` that are not held out."""
+    table = table.where(~held_out()).select("features", "toxic")
+    w = np.zeros(size + 1)
+    w[-1] = _odds(prior)
     # a standard normal prior of the weights, over as many documents as the toxic ones stand for
-    penalty = prior / len(known)
+    penalty = prior / max(positives, 1)
     mean, square = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, steps + 1):
         g = step(_gradients(table, w), prior)
         g[:-1] += penalty * w[:-1]
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         w = w - RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
-    return Model(features, w)
+    return w
+
+
+def _odds(prior: float) -> float:
+    return float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -35.0 if prior <= 0 else 35.0
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = FEATURES, steps: int = STEPS, most_labels: int = POSITIVES) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1, the model's probability of toxic), predicted (1 from 0.5 on).
 
     Labels are read of documents that are not held out: toxic ones (at most ``most_labels``, chosen by a hash of the id)
-    and how many of the labelled are toxic. Everything else covers all documents that are not held out.
+    and how many of the labelled are toxic. Everything else covers all documents that are not held out. Texts are read
+    twice: to count buckets, and to write which features each document has, from which steps and scores are taken.
 
     Defined cases: a null or empty text has the score of a text without features; a null doc_id has no label and is not
     held out; rows with equal doc_id share its label, and of several labels of one doc_id the toxic one counts; without
     a toxic label all documents have the same score, near 0; an empty table gives an empty one; further columns are ignored.
     """
-    model = train(docs, labels, most, steps, most_labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known, prior = training_labels(labels, most_labels)
+    features = chosen_features(docs.where(~held_out()), known, prior, most) if len(known) else np.zeros(0, np.int64)
+    table = materialise(with_features(docs, Model(features), known))
+    weights = train(table, len(features), prior, len(known), steps) if len(features) else np.array([_odds(prior)])
 
     def run(parts):
-        model = shared.value
-        for whole in parts:
-            for batch in batches(whole, most=1 << 20):
-                doc, where = model.places(batch)
-                z = np.bincount(doc, model.weights[where], minlength=batch.num_rows) + model.weights[-1]
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(_sigmoid(z))], ["doc_id", "score"])
+        for batch in parts:
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(_sigmoid(_logits(column(batch, "features"), weights)))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
+    scored = arrow(table.select("doc_id", "features"), run, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
