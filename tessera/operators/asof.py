@@ -57,3 +57,18 @@ def ensemble(members: list[DataFrame], value: str = "p_up") -> DataFrame:
 def with_market(panel: DataFrame, market: DataFrame) -> DataFrame:
     """A date-level table onto the panel."""
     return panel.join(market, "date", "left")
+
+
+def range_join(points: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = (), at: str = "date", since: str = "since", until: str = "until", days: int = 32) -> DataFrame:
+    """Rows of ``points`` with the intervals (both ends included, a missing end is open) that hold their date and share
+    their keys: the columns of both. A point that lies in several intervals has a row for each.
+
+    Time is cut into bins of ``days``; an interval stands in each bin that it meets and a point in its own, so bins and
+    keys are what is joined on, and the ends are tested inside. Open ends reach to the first and the last point.
+    """
+    bin_ = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
+    edges = points.agg(F.min(at).alias("__first"), F.max(at).alias("__last"))
+    spans = intervals.crossJoin(F.broadcast(edges)).withColumns({"__since": F.greatest(F.coalesce(since, "__first"), F.col("__first")), "__until": F.least(F.coalesce(until, "__last"), F.col("__last"))})
+    spans = spans.where("__since <= __until").withColumn("__bin", F.explode(F.sequence(bin_(F.col("__since")), bin_(F.col("__until"))))).drop("__first", "__last")
+    joined = points.withColumn("__bin", bin_(F.col(at))).join(spans, [*keys, "__bin"])
+    return joined.where(F.col(at).between(F.col("__since"), F.col("__until"))).drop("__bin", "__since", "__until")

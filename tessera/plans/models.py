@@ -158,10 +158,11 @@ def benchmark_backtests(spark, sf):
 
 @query()
 def trend_score_backtest(spark, sf):
-    """The score of the moving averages, which a regression per date smooths, for its own holding period."""
+    """The score of the moving averages, which a regression per date smooths, for its own holding period; at each name's
+    last session of a month, since few names trade on the market's last one."""
     from .pipelines import backtests, benchmark_signals
 
-    return backtests(benchmark_signals(su_daily(spark, sf), 20, ("trend_score",)), 20, 5, thin="drop")
+    return backtests(benchmark_signals(su_daily(spark, sf), 20, ("trend_score",), own=True), 20, 5, thin="drop")
 
 
 @query(_backtest("su", f"""

@@ -64,9 +64,18 @@ def backtests(panels: dict[str, DataFrame], horizon: int, groups: int = 10, dire
     return portfolio.backtest(one, groups, periods_per_year or PERIODS_PER_YEAR[horizon], schemes, direct, ("model", "eval_horizon"), thin)
 
 
-def benchmark_signals(panel: DataFrame, horizon: int, names=("mom", "rev_month", "rev_week", "trend_score")) -> dict[str, DataFrame]:
-    """Signal panels at period ends: momentum, reversals, and the score of the moving averages."""
-    at = as_of_rows(signals.trend_signals(panel).withColumn("ret_ahead", compounded("ret", 1, horizon)), horizon)
+def own_last_rows(panel: DataFrame, horizon: int) -> DataFrame:
+    """An entity's own last row of each period, dated by the period's first day: names that trade on different days meet."""
+    period = F.to_date(F.date_trunc(UNITS[horizon], "date"))
+    after = F.lead(period).over(Window.partitionBy("entity").orderBy("date"))
+    return panel.withColumn("__last", F.coalesce(after != period, F.lit(True))).where("__last").drop("__last").withColumn("date", period)
+
+
+def benchmark_signals(panel: DataFrame, horizon: int, names=("mom", "rev_month", "rev_week", "trend_score"), own: bool = False) -> dict[str, DataFrame]:
+    """Signal panels at period ends, the market's or with ``own`` each entity's: momentum, reversals, and the score of the
+    moving averages."""
+    daily = signals.trend_signals(panel).withColumn("ret_ahead", compounded("ret", 1, horizon))
+    at = own_last_rows(daily, horizon) if own else as_of_rows(daily, horizon)
     if "trend_score" in names:
         at = regress.trend_scores(at, [f"ma{n}" for n in signals.MA_LENGTHS])
     return {n: at.select("entity", "date", F.col(n).alias("signal"), F.col("ret_ahead").alias("ret"), "cap") for n in names}
