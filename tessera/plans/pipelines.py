@@ -52,16 +52,17 @@ def predictions(images: DataFrame, seeds: list[dict], window: int, last_train: s
     return asof.ensemble([model.convolutional_scores(test, w, window, s["mean"], s["std"]) for w in seeds])
 
 
-def backtests(panels: dict[str, DataFrame], horizon: int, groups: int = 10, direct: bool = False, top_n: int | None = None, start: str | None = None, eval_horizons=(1,), periods_per_year: int | None = None, schemes=SCHEMES, thin: str = "raise") -> DataFrame:
-    """Performance of several signal panels (entity, date, signal, ret, cap) by model and evaluation horizon: all of them
+def backtests(panels: dict[str, DataFrame], horizon: int, groups: int = 10, direct: bool = False, top_n: int | None = None, start: str | None = None, eval_horizons=(1,), periods_per_year: int | None = None, schemes=SCHEMES, thin: str = "raise", float_cap: str = "cap", total_cap: str = "cap") -> DataFrame:
+    """Performance of several signal panels (entity, date, signal, ret, caps) by model and evaluation horizon: all of them
     are rows of one panel, so ranking, weights and statistics are planned once."""
     rows = []
     for name, panel in panels.items():
         d = calendar.between_dates(panel, start)
-        d = universe.top_by_cap(d, top_n).drop("cap_rank") if top_n else d
-        rows += [asof.eval_horizon(d, h).select(F.lit(name).alias("model"), F.lit(h).alias("eval_horizon"), "entity", "date", "signal", "ret", "cap") for h in eval_horizons]
+        d = universe.top_by_cap(d, top_n, total_cap).drop("cap_rank") if top_n else d
+        caps = dict.fromkeys((float_cap, total_cap))
+        rows += [asof.eval_horizon(d, h).select(F.lit(name).alias("model"), F.lit(h).alias("eval_horizon"), "entity", "date", "signal", "ret", *caps) for h in eval_horizons]
     one = reduce(DataFrame.unionByName, rows)
-    return portfolio.backtest(one, groups, periods_per_year or PERIODS_PER_YEAR[horizon], schemes, direct, ("model", "eval_horizon"), thin)
+    return portfolio.backtest(one, groups, periods_per_year or PERIODS_PER_YEAR[horizon], schemes, direct, ("model", "eval_horizon"), thin, float_cap, total_cap)
 
 
 def own_last_rows(panel: DataFrame, horizon: int) -> DataFrame:

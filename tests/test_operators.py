@@ -357,6 +357,18 @@ def test_command_line(spark, tmp_path):
     assert run("labels", "--entity-limit", "3").select("entity").distinct().count() == 3
     assert run("scan", "--rules", "40", "--groups", "2").count() > 0
     assert run("holding", "--groups", "2", "--thin", "drop").count() > 0
+    wide = su_daily(spark, "/root/testdata/sf0.001").selectExpr("*", "cap * (1 + entity) AS all_cap")
+    wide.write.parquet(f"{tmp_path}/w.parquet")
+    both = lambda *more: cli.main(["backtest", "--panel", f"{tmp_path}/w.parquet", "--out", f"{tmp_path}/both", "--groups", "2", "--thin", "drop", "--signal", "close", "vol", *more], spark)
+    plain = {(r.model, r.scheme, r.grp, r.metric): r.value for r in both().collect()}
+    caps = {(r.model, r.scheme, r.grp, r.metric): r.value for r in both("--total-cap", "all_cap", "--periods-per-year", "6").collect()}
+    assert {k[0] for k in plain} == {"close", "vol"} and plain.keys() == caps.keys()
+    assert caps["close", "total", 2, "ann_ret"] != caps["close", "float", 2, "ann_ret"] and plain["close", "total", 2, "ann_ret"] == plain["close", "float", 2, "ann_ret"]
+    assert caps["close", "equal", 2, "ann_ret"] == pytest.approx(plain["close", "equal", 2, "ann_ret"] / 2, abs=1e-4)
+    assert {r.source for r in run("compare", "--panel", f"{tmp_path}/backtest", "--others", f"{tmp_path}/both").collect()} == {f"{tmp_path}/backtest", f"{tmp_path}/both"}
+    assert cli.main(["manifest", "--out", f"{tmp_path}/m"], spark).count() == 7846
+    (tmp_path / "raw.csv").write_text("PERMNO,HdrCUSIP,Ticker,PERMCO,DlyCalDt,DlyCap,DlyRet,DlyRetx,DlyVol,DlyClose,DlyLow,DlyHigh,DlyOpen\n7,a,b,1,2020-01-02,1,0.1,0.1,5,10,9,11,9.5\n")
+    assert run("ingest", "--panel", f"{tmp_path}/raw.csv").first().asDict() == {"entity": 7, "date": dt.date(2020, 1, 2), "open": 9.5, "high": 11.0, "low": 9.0, "close": 10.0, "vol": 5.0, "ret": 0.1, "cap": 1.0, "total_cap": 1.0}
 
 
 def test_tables_against_regressions_by_hand(spark):
