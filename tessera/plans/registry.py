@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import models, portfolios, scale, series, tables
+from . import fits, models, portfolios, scale, series, tables
 
-QUERIES: dict = {**series.Q, **portfolios.Q, **models.Q, **tables.Q, **scale.Q}
-ORACLE_SQL: dict = {**series.S, **portfolios.S, **models.S, **tables.S, **scale.S}
+QUERIES: dict = {**series.Q, **portfolios.Q, **models.Q, **tables.Q, **scale.Q, **fits.Q}
+ORACLE_SQL: dict = {**series.S, **portfolios.S, **models.S, **tables.S, **scale.S, **fits.S}
 hl_series = portfolios.hl_series
