@@ -215,7 +215,7 @@ def test_resampling_against_brute_force(spark):
         u = splitmix(splitmix(np.array([-1 if i is None else i], np.int64).view(np.uint64) + np.uint64(29)) ^ text_hash(*utf8(pa.array([t or ""]))))[0]
         noise = -math.log(-math.log(((int(u) >> 12) + 0.5) / 2.0**52))
         w = sum(ratio[b] for b in g)
-        want.append((i, w, (w + noise) / max(len(g), 1)))
+        want.append((i, w, resampling.SHARP * w / max(len(g), 1) + noise))
     lab = spark.createDataFrame([(i, int(y), t) for i, y, t in labels], "doc_id long, quality int, toxic int")
     d = corpus(spark, rows)
     cut = sorted((k for *_, k in want), reverse=True)[39]
