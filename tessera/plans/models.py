@@ -35,6 +35,24 @@ def chart_images(spark, sf):
     return _charts(spark, sf)
 
 
+_BARS = """
+w AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS i FROM su),
+c0 AS (SELECT w.entity, w.date, w.i AS last FROM w JOIN (SELECT entity, max(date) AS date FROM su GROUP BY entity, date_trunc('month', date)) USING (entity, date) WHERE w.i >= 5),
+c1 AS (SELECT c0.entity, c0.date, b.i - c0.last + 4 AS k, b.open / f.close AS o, b.high / f.close AS h, b.low / f.close AS l, b.close / f.close AS c, b.vol FROM c0 JOIN w b ON b.entity = c0.entity AND b.i BETWEEN c0.last - 4 AND c0.last JOIN w f ON f.entity = c0.entity AND f.i = c0.last - 4),
+c2 AS (SELECT *, min(least(o, h, l, c)) OVER chart AS lo, max(greatest(o, h, l, c)) OVER chart AS hi, max(vol) OVER chart AS most FROM c1 WINDOW chart AS (PARTITION BY entity, date)),
+c3 AS (SELECT entity, date, k, greatest(1, round_even(vol / most * 5, 0)) AS tall, {rows} FROM c2),
+bits AS (SELECT entity, date, y * 15 + 3 * k + x AS spot, CASE WHEN y >= 26 THEN x = 1 AND y >= 32 - tall WHEN x = 1 THEN y BETWEEN yh AND yl WHEN x = 0 THEN y = yo ELSE y = yc END AS bit FROM c3, range(0, 32) AS a(y), range(0, 3) AS b(x)),
+digits AS (SELECT entity, date, spot // 4 AS d, sum(CASE WHEN bit THEN 8 >> CAST(spot % 4 AS INTEGER) ELSE 0 END) AS v FROM bits GROUP BY ALL)""".format(
+    rows=", ".join(f"round_even(round_even((1 - ({c} - lo) / CASE WHEN hi = lo THEN 1e-6 ELSE hi - lo END) * 25, 9), 0) AS y{c}" for c in "ohlc"))
+
+
+@query(sql("su", "SELECT entity, date, string_agg(substr('0123456789ABCDEF', CAST(v AS INTEGER) + 1, 1), '' ORDER BY d) AS image FROM digits GROUP BY entity, date", _BARS))
+def chart_bars(spark, sf):
+    """Charts of five sessions without the average's line, whose packed pixels SQL can draw too."""
+    su = su_daily(spark, sf)
+    return raster.charts(su, period_panel(su, "month").select("entity", "date"), 5, average=False).select("entity", "date", F.hex("image").alias("image"))
+
+
 @query()
 def chart_images_20(spark, sf):
     return _charts(spark, sf, 20).select("entity", "date", F.length("image").alias("n_bytes"), raster.set_pixels("image").alias("n_set"))
