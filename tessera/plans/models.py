@@ -208,14 +208,26 @@ def prepared_labels(spark, sf):
     return rounded(d.select("entity", "date", "ret_5d", "ret_20d", *(F.col(f"ret_{n}") for n in ("week", "month")), "ret_5d_label", "ret_label"), "ret_5d", "ret_20d", "ret_week", "ret_month")
 
 
-@query()
+def _labelled(w: int, h: int, unit: str, n_bytes: int) -> str:
+    """Rows that have a chart of a window at a horizon's period ends, with their labels."""
+    return f"""SELECT t.entity, t.date, {w} AS "window", {h} AS horizon, CAST(year(t.date) AS INTEGER) AS year, round(f.r{h}, 6) AS ret, CASE WHEN f.r{h} IS NULL THEN 2 WHEN f.r{h} > 0 THEN 1 ELSE 0 END AS label, {n_bytes} AS n_bytes
+FROM t{w} t JOIN (SELECT max(date) AS date FROM t{w} GROUP BY date_trunc('{unit}', date)) USING (date) JOIN ahead f ON f.entity = t.entity AND f.date = t.date"""
+
+
+_LABELLED = f"ahead AS (SELECT entity, date, row_number() OVER (PARTITION BY entity ORDER BY date) AS i, {comp(1, 5)} AS r5, {comp(1, 20)} AS r20, {comp(1, 60)} AS r60 FROM su)" + "".join(
+    f""",
+h{w} AS (SELECT entity, date, max(date) OVER (PARTITION BY entity) AS own_last, max(date) OVER () AS last FROM ahead WHERE i >= {w}),
+t{w} AS (SELECT entity, date FROM h{w} WHERE NOT (date = own_last AND date < last))""" for w in (5, 20, 60))
+
+
+@query(sql("su", " UNION ALL ".join(_labelled(w, h, unit, n) for w, n in ((5, 60), (20, 480), (60, 2160)) for h, unit in ((5, "week"), (20, "month"), (60, "quarter"))), _LABELLED))
 def labelled_images(spark, sf):
     """Charts with labels for every window and sampling frequency."""
     from .pipelines import build_images
 
     out = None
     for (window, horizon), d in build_images(su_daily(spark, sf), cross=True).items():
-        d = d.select("entity", "date", "window", F.lit(horizon).alias("horizon"), "year", "ret", "label", F.length("image").alias("n_bytes"))
+        d = d.select("entity", "date", "window", F.lit(horizon).alias("horizon"), "year", F.round("ret", 6).alias("ret"), "label", F.length("image").alias("n_bytes"))
         out = d if out is None else out.unionByName(d)
     return out
 
