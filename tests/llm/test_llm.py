@@ -289,7 +289,7 @@ def test_rules_are_learned(spark):
 
 def _base_spans(text):
     out = []
-    for kind, pattern, least, group in (("assign", secrets.ASSIGN.pattern, 6, 2), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0)):
+    for kind, pattern, least, group in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0)):
         flags = re.I | re.A if kind == "assign" else 0
         out += [(kind, m.start(), m.end()) for m in re.finditer(pattern, text or "", flags) if len(m[group]) >= least]
     return out
@@ -312,6 +312,27 @@ def test_secret_scan(spark):
     assert clean[104].endswith(" short [SECRET]") and "9aF3k" not in clean[106] and clean[109] == texts[9]
 
 
+def test_planted_secrets(spark):
+    """Random strings put into ordinary texts are found by the models, and nothing is found in the texts left alone."""
+    rng = random.Random(12)
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect() if r.text]
+    alphabets = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZ23456789")
+    rows, planted = [], {}
+    for i, text in enumerate(docs):
+        if i % 2:
+            w = text.split(" ")
+            planted[i] = "".join(rng.choice(alphabets[i % 3]) for _ in range(rng.randrange(20, 44)))
+            w.insert(rng.randrange(len(w) + 1), planted[i])
+            text = " ".join(w)
+        rows.append((i, text, "s"))
+    models = secrets.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    found = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in secrets.scan(corpus(spark, rows), models).collect()}
+    text = dict((i, t) for i, t, _ in rows)
+    hit = sum(any(int(a) <= text[i].index(p) + len(p) // 2 < int(b) for _, a, b in found[i]) for i, p in planted.items())
+    assert hit >= 0.98 * len(planted) and any(k == "markov" for i in planted for k, _, _ in found[i])
+    assert not [i for i in text if i not in planted and any(k == "markov" for k, _, _ in found[i])]
+
+
 def test_markov_models_hold_out():
     rng = random.Random(5)
     ordinary = ["".join(rng.choice(["the", "er", "on", "ing", "th", "re", "and", "_"]) for _ in range(8)) for _ in range(2000)]
