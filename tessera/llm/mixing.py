@@ -103,14 +103,19 @@ def _queue() -> Column:
     return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
 
 
+def _source_key() -> Column:
+    """A source as a string that is never null, of one type wherever it is made, so that no join deals rows anew."""
+    return F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source").cast("string")))
+
+
 def _taken(rows: DataFrame, sized: DataFrame, order: tuple[str, ...], curriculum, share: float, max_repeats: int, whole: bool) -> DataFrame:
     """``rows`` (source, size, queue and others) with source_size, target and copies; ``sized`` are the same rows, from
     which the sums of sources and buckets are taken. Rows of a bucket meet once and take their places by ``order``."""
     digits = max(3, math.ceil(math.log(max(sized.count(), 1) / ROWS, 16)))
-    keyed = lambda d: d.withColumn("bucket", F.substring("queue", 1, digits)).withColumn("source_key", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
+    keyed = lambda d: d.withColumn("bucket", F.substring("queue", 1, digits)).withColumn("source_key", _source_key())
     bucket_sums = materialise(keyed(sized).groupBy("source_key", "bucket").agg(F.sum("size").alias("words")))
-    sources = source_targets(bucket_sums.select(F.when(~F.col("source_key.n"), F.col("source_key.s")).alias("source"), F.col("words").alias("size")), curriculum, share, max_repeats)
-    sources = sources.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("source_key"), "source_size", "segments", "target")
+    sources = source_targets(bucket_sums.select(F.expr("CASE WHEN startswith(source_key, '1') THEN substring(source_key, 2) END").alias("source"), F.col("words").alias("size")), curriculum, share, max_repeats)
+    sources = sources.select(_source_key().alias("source_key"), "source_size", "segments", "target")
     ahead = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead_of = bucket_sums.select("source_key", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before")).join(sources, "source_key")
     inside = Window.partitionBy("source_key", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
