@@ -8,6 +8,7 @@ Word hashing works on the UTF-8 bytes of a whole Arrow batch at once. A word is
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver drop what finished rounds of an iteration held. Their shuffle files, broadcasts and compiled plans go
+    only once the driver's garbage is collected, for which Spark itself waits half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_hot(rows: DataFrame, by_key: DataFrame, key: str, share: int = 1000) -> DataFrame:
     """``rows`` left-joined with ``by_key``, which has each key once and n, how many rows it may meet; n is left out.
 

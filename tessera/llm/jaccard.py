@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, arrow, batches, column, grouped, hash_words, materialise, shingle, shuffle_partitions, signed, splitmix, utf8
+from .common import Bloom, arrow, batches, column, forget, grouped, hash_words, materialise, shingle, shuffle_partitions, signed, splitmix, utf8
 from .components import components
 from .substring import LAST, expand, keyed, squeeze
 
@@ -532,6 +532,7 @@ def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     columns are kept, whatever their names.
     """
     found = materialise(join(docs, k, num, den))
+    forget(docs.sparkSession)
     group = [F.coalesce("root", "id").alias("component"), F.when(F.col("n_shingles") == 0, F.col("mark")).alias("empty")]
     stays = found.groupBy(*group).agg(F.min(F.struct("id", "mark")).alias("s"), F.count("*").alias("n"))
     groups = found.select(*group, "id")
