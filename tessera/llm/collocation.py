@@ -44,7 +44,8 @@ def _words(batch: pa.RecordBatch):
     document's language hash and first word."""
     data, offs = utf8(column(batch, "text"))
     s, e, h, first = hash_words(data, offs, lower=True, space=_APART)
-    lang = text_hash(*utf8(column(batch, "lang").fill_null(UNKNOWN)))
+    # mixed once more than words are: a word and a language of one name have one hash, and two of them would swap
+    lang = splitmix(text_hash(*utf8(column(batch, "lang").fill_null(UNKNOWN))) + _U(1))
     codes = splitmix(h ^ np.repeat(lang, np.diff(first))) >> _U(2)
     at = np.searchsorted(np.flatnonzero(_BREAK[data]), s)
     begins = np.ones(len(s), bool)

@@ -53,6 +53,13 @@ def test_collocations(spark, monkeypatch, vocabulary, size):
     assert sorted(map(tuple, got.collect())) == _brute(rows, 5, 60)
 
 
+def test_collocations_of_words_that_are_names_of_languages(spark):
+    texts = {"de": "es war de und es ist en", "es": "de la es de lo en", "en": "de en es en la", None: "und de und es war", "und": "es und en"}
+    rows = [(text, lang) for i, (lang, text) in enumerate(texts.items()) for _ in range(6 + i)]
+    got = collocation.collocations(spark.createDataFrame(rows, "text string, lang string"), least=5, most=60)
+    assert sorted(map(tuple, got.collect())) == _brute(rows, 5, 60)
+
+
 def test_collocations_of_nothing(spark):
     d = spark.createDataFrame([], "text string, lang string")
     assert collocation.collocations(d).count() == 0
