@@ -406,13 +406,12 @@ def _near(sides: DataFrame, classes: DataFrame, num: int, den: int, nearest: boo
     return grouped(dealt, ["grp", "i", "j"], compare, "a long, b long")
 
 
-def _apart(mixed: DataFrame, labels: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+def _apart(outer: DataFrame, labels: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
     """Plausible pairs (a, b) of crowds' members outside the main component with all members of other components.
 
-    ``mixed`` has key, cls, root and main. A member outside meets the whole main component once, however many crowds they
+    ``outer`` has those members' key, cls, root and main. A member outside meets the whole main component once, however many crowds they
     share: the component has each of its members once. Members outside meet each other crowd by crowd.
     """
-    outer = mixed.where("root <> main")
     mains = outer.select(F.col("main").alias("root")).distinct()
     inside = labels.select(F.col("node").alias("cls"), "root").unionByName(mains.select(F.col("root").alias("cls"), "root")).distinct().join(mains, "root", "left_semi")
     sides = inside.select(F.col("root").alias("grp"), "cls", "root", F.lit(False).alias("out")).unionByName(outer.select(F.col("main").alias("grp"), "cls", "root", F.lit(True).alias("out")).distinct())
@@ -423,8 +422,8 @@ def _apart(mixed: DataFrame, labels: DataFrame, classes: DataFrame, num: int, de
     return _near(sides, classes, num, den, nearest).unionByName(_near(both, classes, num, den, nearest)).distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b: classes) whose sets are linked; sets come from their classes' first documents."""
+def _token_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """cls and tokens of the classes that ``pairs`` (a, b) name, from their first documents."""
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = materialise(classes.join(ends, "cls").select("cls", "rep"))
     known = Bloom(wanted, "rep").test()
@@ -437,7 +436,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num
 
     sets = arrow(keyed(docs).select("id", "text", Bloom.hash("id").alias("hash")), run, "id long, cls long, tokens binary")
     sets = sets.join(wanted.select("cls", F.col("rep").alias("id")), ["cls", "id"], "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
-    sets = materialise(sets)
+    return materialise(sets)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b: classes) whose sets are linked."""
 
     def test(parts):
         for batch in parts:
@@ -457,6 +460,29 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num
     return arrow(both.select("a", "b", "sa", "sb"), test, "a long, b long")
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links among ``pairs`` that have the components of all links among them, and those components' labels.
+
+    First each class is compared with that of its partners which has most partners itself; of the other pairs only those
+    whose ends are still apart are, since a link inside a component changes nothing. So sets are sent about once a class,
+    however many pairs a group of similar ones has.
+    """
+    sets = _token_sets(docs, pairs, classes, k)
+    sides = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+    partners = sides.groupBy("cls").agg(F.count("*").alias("n"))
+    best = sides.join(partners.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.max(F.struct("n", "other")).alias("m"))
+    tree = materialise(best.select(F.least("cls", "m.other").alias("a"), F.greatest("cls", "m.other").alias("b")).distinct())
+    edges = materialise(_linked(tree, sets, num, den))
+    labels = components(edges)
+    root = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = pairs.join(tree, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = materialise(apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    if not apart.isEmpty():
+        edges = materialise(edges.unionByName(_linked(apart, sets, num, den)))
+        labels = components(edges)
+    return edges, labels
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, crowd: int = CROWD) -> DataFrame:
     """Per row: doc_id, id, mark, n_shingles, component_id (smallest doc_id reachable by links), root (of the component
     itself: components without a doc_id, or with one in common, differ in it; null where there are no words).
@@ -497,21 +523,28 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, crowd: int
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     stars = crowded.join(centres, "key").where(F.col("cls") != F.col("c")).select(*ordered(F.col("cls"), F.col("c")))
     first = materialise(at.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(stars).distinct())
-    edges = materialise(_verified(docs, materialise(_plausible(first, classes, num, den)), classes, k, num, den))
-    labels = components(edges)
+    edges, labels = _verified(docs, materialise(_plausible(first, classes, num, den)), classes, k, num, den)
     # what the stars left apart: members outside the largest component of their crowd, with the nearest member of each
     # other one, which joins most of them; then what is still apart with all members of others
+    met = None
     for nearest in (True, False):
-        placed = crowded.select("key", "cls").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        root_of = labels.select(F.col("node").alias("cls"), "root")
+        placed = crowded.select("key", "cls").join(root_of, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         of_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
         main = of_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("m.root").alias("main"))
-        mixed = materialise(placed.join(main, "key"))
-        if mixed.isEmpty():
+        outer = placed.join(main, "key").where("root <> main")
+        if met is not None:
+            # the first time, each plausible pair of components gave one of their members': others have nothing to meet
+            ends = met.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(root_of, "cls", "left")
+            outer = outer.join(materialise(ends.select(F.coalesce("root", "cls").alias("root")).distinct()), "root", "left_semi")
+        outer = materialise(outer)
+        if outer.isEmpty():
             break
-        more = materialise(_apart(mixed, labels, classes, num, den, nearest).join(first, ["a", "b"], "left_anti"))
+        met = materialise(_apart(outer, labels, classes, num, den, nearest))
+        more = materialise(met.join(first, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             first = first.unionByName(more)
-            edges = materialise(edges.unionByName(_verified(docs, more, classes, k, num, den)))
+            edges = materialise(edges.unionByName(_verified(docs, more, classes, k, num, den)[0]))
             labels = components(edges)
     named = classes.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest_of = named.groupBy("root").agg(F.min("rep").alias("component"))

@@ -135,6 +135,23 @@ def test_jaccard_join_finds_all_links(spark, k, num, crowd):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == _components(rows, k, num, 100)
 
 
+def test_similar_sets_are_compared_about_once_a_class(spark, monkeypatch):
+    """A group of similar texts, whose pairs grow with its square, and single ones that crowd at its signatures."""
+    rng, seen, rounds = random.Random(8), [], []
+    linked, apart = jaccard._linked, jaccard._apart
+    monkeypatch.setattr(jaccard, "_linked", lambda pairs, *a: seen.append(pairs.count()) or linked(pairs, *a))
+    monkeypatch.setattr(jaccard, "_apart", lambda outer, *a: rounds.append(outer.select("cls").distinct().count()) or apart(outer, *a))
+    base = [f"w{i}" for i in range(300)]
+    group = [(i, " ".join(base[:i] + ["x"] + base[i + 1 :]), "s") for i in range(100, 122)]
+    got = jaccard.join(corpus(spark, group), 5, 80, 100).collect()
+    assert {r.component_id for r in got} == {100} and sum(seen) <= 2 * len(group)
+
+    shared = base[:120]
+    crowd = [(i, " ".join(shared + [f"y{i}_{j}" for j in range(rng.randrange(150, 160))]), "s") for i in range(200, 240)]
+    got = jaccard.join(corpus(spark, crowd), 5, 80, 100, crowd=4).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(rounds) < 2
+
+
 def test_deduplicate_keeps_one_of_each(spark):
     rows = odd_rows()
     d = corpus(spark, rows)
