@@ -87,7 +87,9 @@ def records(marked: DataFrame, pages: DataFrame) -> DataFrame:
     response = record("response", "response", F.concat(http_of(F.col("payload_bytes")), F.col("html")), "application/http;msgtype=response", [digest])
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     same = lambda page, url, digest: [F.coalesce(F.col(page).cast("string"), F.lit("")).alias("k1"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("k2"), digest.alias("k3")]
-    bodies = pages.select(*same("page_id", "url", base32(F.sha1(html.cast("binary")))), html.alias("html")).dropDuplicates(["k1", "k2", "k3"])
+    bodies = pages.select(*same("page_id", "url", base32(F.sha1(html.cast("binary")))), html.alias("html"))
+    # dealt first: else payloads are sorted to find repeats in each task, and again where they meet
+    bodies = bodies.repartition("k1", "k2", "k3").dropDuplicates(["k1", "k2", "k3"])
     kept = marked.where("original is null").select("*", *same("page_id", "url", F.col("payload_digest"))).join(bodies, ["k1", "k2", "k3"])
     return (kept.select(response.alias("record"))
             .unionByName(marked.where("original is not null").select(revisit.alias("record")))

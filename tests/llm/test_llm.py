@@ -471,6 +471,13 @@ def test_warc_reads_archives_of_any_layout(spark, tmp_path):
     assert list(warc.parse(warc.unpacked(b""))) == []
 
 
+def test_warc_payloads_are_dealt_before_they_are_sorted(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (2, "v", "b")], "page_id long, url string, html string")
+    plan = warc.records(warc.captures(pages), pages)._jdf.queryExecution().executedPlan().toString()
+    ways = [x.split("Scan", 1)[0] for x in plan.split("Exchange hashpartitioning(k1")[1:]]
+    assert ways and not any("Sort" in x for x in ways)
+
+
 def test_warc_common_payloads(spark):
     """A payload that most pages share: its rows meet their response without gathering at its key."""
     rows = [(i, "u", "same" if i % 3 else f"page {i % 40}") for i in range(600)]
