@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import compounded
+from ..functions.expr import compounded, safe_div
 from ..operators import asof, portfolio, regress, report, rules, signals, stats, xsection
 from ..sources.panels import ev_daily, period_panel, su_daily, table
 from .series import rounded
@@ -376,7 +376,7 @@ def _models(spark, sf) -> DataFrame:
     """Two models on one panel: the day's return, and its range over its close."""
     ev = ev_daily(spark, sf)
     by = Window.partitionBy("entity").orderBy("date")
-    d = ev.select("entity", "date", "cap", F.lead("ret").over(by).alias("ahead"), F.array(F.struct(F.lit("return").alias("model"), F.col("ret").alias("signal")), F.struct(F.lit("range").alias("model"), ((F.col("high") - F.col("low")) / F.col("close")).alias("signal"))).alias("m"))
+    d = ev.select("entity", "date", "cap", F.lead("ret").over(by).alias("ahead"), F.array(F.struct(F.lit("return").alias("model"), F.col("ret").alias("signal")), F.struct(F.lit("range").alias("model"), safe_div(F.col("high") - F.col("low"), "close").alias("signal"))).alias("m"))
     return d.select("entity", "date", "cap", F.col("ahead").alias("ret"), F.explode("m").alias("m")).select("entity", "date", "cap", "ret", "m.*").dropna(subset=["signal", "ret"])
 
 
