@@ -37,3 +37,7 @@ ZERO = f"user_id < 40 OR user_id IN (SELECT user_id FROM '{SF}/events.parquet' W
 
 def test_overview_with_a_close_of_zero(spark, cut):
     same(spark, cut("events", ZERO), "overview")
+
+
+def test_transfer_compare_with_a_close_of_zero(spark, cut):
+    same(spark, cut("events", ZERO), "transfer_compare")
