@@ -108,6 +108,12 @@ def compounded(r: Column | str, first: int, last: int, window: WindowSpec | None
     return F.expm1(rolling(F.sum, log1p_safe(r), first, last, window))
 
 
+def half_away(c: Column | str, digits: int) -> Column:
+    """Rounded to ``digits``, halves away from zero, as SQL engines do it: the scaled double is rounded. ``F.round`` goes by
+    the shortest decimal that names the double, and differs where the product is a half and the decimal is not."""
+    return F.round(col(c) * 10.0**digits, 0) / 10.0**digits
+
+
 def half_even(c: Column) -> Column:
     """Nearest integer, halves to even."""
     return F.bround(c, 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import by_entity, safe_div
+from ..functions.expr import by_entity, half_away, safe_div
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def su_daily(spark: SparkSession, sf_dir: str, entity: str = "l_suppkey") -> Dat
     """Line items by supplier (or part) and shipping day; sums are exact, so no order matters."""
     li = table(spark, sf_dir, "lineitem").select(F.col(entity).alias("entity"), F.to_date("l_shipdate").alias("date"), "l_quantity", "l_extendedprice", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     g = li.groupBy("entity", "date").agg(
-        F.round(F.avg("price"), 6).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        half_away(F.avg("price"), 6).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("vol"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("cap"))
     return with_returns(g.withColumn("close", safe_div("cap", "vol")))
 

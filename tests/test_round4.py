@@ -41,3 +41,11 @@ def test_overview_with_a_close_of_zero(spark, cut):
 
 def test_transfer_compare_with_a_close_of_zero(spark, cut):
     same(spark, cut("events", ZERO), "transfer_compare")
+
+
+#: Suppliers with a day whose mean price is a half at six digits.
+HALVES = "l_suppkey IN (457, 480, 661)"
+
+
+def test_chart_bars_with_an_open_at_a_half(spark, cut):
+    same(spark, cut("lineitem", HALVES), "chart_bars")
