@@ -49,3 +49,7 @@ HALVES = "l_suppkey IN (457, 480, 661)"
 
 def test_chart_bars_with_an_open_at_a_half(spark, cut):
     same(spark, cut("lineitem", HALVES), "chart_bars")
+
+
+def test_price_rows_with_an_open_at_a_half(spark, cut):
+    same(spark, cut("lineitem", HALVES), "price_rows")
