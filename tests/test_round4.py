@@ -53,3 +53,11 @@ def test_chart_bars_with_an_open_at_a_half(spark, cut):
 
 def test_price_rows_with_an_open_at_a_half(spark, cut):
     same(spark, cut("lineitem", HALVES), "price_rows")
+
+
+#: Suppliers among whom a month's closes over opens are ties, or not, by how an open at a half is rounded.
+TIED = "l_suppkey < 120 OR l_suppkey IN (522, 817, 581, 271, 491, 456, 222, 754)"
+
+
+def test_rule_high_low_with_an_open_at_a_half(spark, cut):
+    same(spark, cut("lineitem", TIED), "rule_high_low")
