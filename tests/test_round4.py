@@ -61,3 +61,7 @@ TIED = "l_suppkey < 120 OR l_suppkey IN (522, 817, 581, 271, 491, 456, 222, 754)
 
 def test_rule_high_low_with_an_open_at_a_half(spark, cut):
     same(spark, cut("lineitem", TIED), "rule_high_low")
+
+
+def test_rule_sharpe_summary_with_an_open_at_a_half(spark, cut):
+    same(spark, cut("lineitem", TIED), "rule_sharpe_summary")
