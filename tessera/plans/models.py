@@ -25,9 +25,8 @@ def query(sql_text: str | None = None):
     return add
 
 
-def _charts(spark, sf, window=5) -> DataFrame:
-    su = su_daily(spark, sf)
-    return raster.charts(su, period_panel(su, "month").select("entity", "date"), window)
+def _charts(spark, sf, window=5, **how) -> DataFrame:
+    return raster.charts(su_daily(spark, sf), calendar.own_last("month"), window, **how)
 
 
 @query()
@@ -49,18 +48,17 @@ digits AS (SELECT entity, date, spot // 4 AS d, sum(CASE WHEN bit THEN 8 >> CAST
 @query(sql("su", "SELECT entity, date, string_agg(substr('0123456789ABCDEF', CAST(v AS INTEGER) + 1, 1), '' ORDER BY d) AS image FROM digits GROUP BY entity, date", _BARS))
 def chart_bars(spark, sf):
     """Charts of five sessions without the average's line, whose packed pixels SQL can draw too."""
-    su = su_daily(spark, sf)
-    return raster.charts(su, period_panel(su, "month").select("entity", "date"), 5, average=False).select("entity", "date", F.hex("image").alias("image"))
+    return _charts(spark, sf, average=False).select("entity", "date", F.hex("image").alias("image"))
 
 
 @query()
 def chart_images_20(spark, sf):
-    return _charts(spark, sf, 20).select("entity", "date", F.length("image").alias("n_bytes"), raster.set_pixels("image").alias("n_set"))
+    return _charts(spark, sf, 20, counted=True).select("entity", "date", F.length("image").alias("n_bytes"), "n_set")
 
 
 @query()
 def chart_pixel_stats(spark, sf):
-    return raster.pixel_stats(_charts(spark, sf), 5)
+    return raster.pixel_stats(_charts(spark, sf, counted=True), 5)
 
 
 @query()
