@@ -221,13 +221,10 @@ t{w} AS (SELECT entity, date FROM h{w} WHERE NOT (date = own_last AND date < las
 @query(sql("su", " UNION ALL ".join(_labelled(w, h, unit, n) for w, n in ((5, 60), (20, 480), (60, 2160)) for h, unit in ((5, "week"), (20, "month"), (60, "quarter"))), _LABELLED))
 def labelled_images(spark, sf):
     """Charts with labels for every window and sampling frequency."""
-    from .pipelines import build_images
+    from .pipelines import UNITS, labelled_charts
 
-    out = None
-    for (window, horizon), d in build_images(su_daily(spark, sf), cross=True).items():
-        d = d.select("entity", "date", "window", F.lit(horizon).alias("horizon"), "year", F.round("ret", 6).alias("ret"), "label", F.length("image").alias("n_bytes"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    d = labelled_charts(su_daily(spark, sf), [(w, h) for w in raster.LAYOUT for h in UNITS])
+    return d.select("entity", "date", "window", "horizon", "year", F.round("ret", 6).alias("ret"), "label", F.length("image").alias("n_bytes"))
 
 
 @query()

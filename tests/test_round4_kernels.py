@@ -49,3 +49,24 @@ def test_charts_at_once_are_those_drawn_one_by_one():
             assert sum(int(np.bitwise_count(b).sum()) for b in bits) == sum(int(raster.unpack(i, window).sum()) for i in want.values())
             drawn += len(want)
     assert drawn > 500
+
+
+def test_labelled_charts_in_one_pass_are_those_of_each_pair(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import signals, universe
+    from tessera.plans import pipelines
+
+    rng = np.random.default_rng(1)
+    rows = [(e, k * step, float(100 + rng.normal(0, 5)), float(rng.integers(0, 9))) for e, step, n in ((1, 1, 150), (2, 2, 100), (3, 1, 30), (4, 5, 3)) for k in range(n)]
+    d = spark.createDataFrame(rows, "entity long, k int, close double, vol double").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("k")))
+    d = d.withColumns({"open": F.col("close"), "high": F.col("close") + 1, "low": F.col("close") - 1, "ret": F.col("close") / 100 - 1}).drop("k")
+    pairs = [(w, h) for w in (5, 20) for h in (5, 20, 60)]
+    got = {tuple(r) for r in pipelines.labelled_charts(d, pairs).select("window", "horizon", "entity", "date", "image", "ret", "label", "year").collect()}
+    want = set()
+    for w, h in pairs:
+        at = pipelines.as_of_rows(universe.without_final_rows(universe.with_history(d, w)), h)
+        y = signals.forward_returns(d, (h,)).select("entity", "date", F.col(f"ret_{h}d").alias("r"))
+        one = raster.charts(d, at.select("entity", "date"), w).join(y, ["entity", "date"])
+        want |= {tuple(r) for r in one.select(F.lit(w), F.lit(h), "entity", "date", "image", "r", signals.label("r"), F.year("date")).collect()}
+    assert got == want and len({(r[0], r[1]) for r in got}) == len(pairs)
