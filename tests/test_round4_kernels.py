@@ -70,3 +70,36 @@ def test_labelled_charts_in_one_pass_are_those_of_each_pair(spark):
         one = raster.charts(d, at.select("entity", "date"), w).join(y, ["entity", "date"])
         want |= {tuple(r) for r in one.select(F.lit(w), F.lit(h), "entity", "date", "image", "r", signals.label("r"), F.year("date")).collect()}
     assert got == want and len({(r[0], r[1]) for r in got}) == len(pairs)
+
+
+def test_rules_that_share_signals_are_those_made_alone():
+    from tessera.operators import rules
+
+    every = rules.manifest()
+    kernel = rules.Kernel(every)
+    for seed in range(6):
+        s = _sessions(seed)
+        with np.errstate(all="ignore"):
+            got = kernel.positions(s["close"], s["vol"])
+            some = range(seed, len(every), 97)
+            alone = np.column_stack([rules.evaluate(s["close"], s["vol"], [every[i]])[:, 0] for i in some])
+        assert (got[:, list(some)] == alone).all()
+    assert kernel.raws < len(every) - len(kernel.path)
+
+
+def test_holding_locks_one_row_after_the_other():
+    from tessera.operators import rules
+
+    rng = np.random.default_rng(2)
+    raw, c = rng.integers(-1, 2, (80, 60)).astype(np.int8), rng.choice([0, 1, 2, 5, 50, 300], 60)
+    want = np.zeros_like(raw)
+    for k in range(60):
+        pos = lock = 0
+        for i in range(80):
+            if lock == 0 and raw[i, k]:
+                pos, lock = raw[i, k], max(c[k] - 1, 0)
+            else:
+                lock = max(lock - 1, 0)
+            want[i, k] = pos
+    assert (rules.held(raw, c) == want).all()
+    assert (rules.held(raw, np.minimum(c, 1)) == rules.held(raw, np.zeros(60, np.int64))).all()
