@@ -103,3 +103,25 @@ def test_holding_locks_one_row_after_the_other():
             want[i, k] = pos
     assert (rules.held(raw, c) == want).all()
     assert (rules.held(raw, np.minimum(c, 1)) == rules.held(raw, np.zeros(60, np.int64))).all()
+
+
+def test_legs_by_counts_are_those_by_sorting():
+    from tessera.operators import portfolio
+
+    rng = np.random.default_rng(3)
+    cells = np.stack([rng.choice(4, 37, p=p) for p in rng.dirichlet([0.4, 0.4, 0.4, 0.1], 50)], axis=1).astype(np.uint8)
+    ret, weights = rng.normal(0, 0.1, 37), np.vstack([np.ones(37), rng.random(37)])
+    with np.errstate(all="ignore"):
+        got = portfolio.cells_high_low(cells, ret, weights, 5)
+    counts = np.stack([(cells == k).sum(axis=0) for k in range(3)])
+    low, high = portfolio._legs(np.ascontiguousarray(cells.T), counts.astype(float), 5)
+    for r in range(50):
+        there = np.flatnonzero(cells[:, r] < 3)
+        order = there[np.argsort(cells[there, r], kind="stable")]
+        grp = np.minimum(5, np.arange(len(order)) * 5 // max(len(order), 1) + 1)
+        if len(order) < 5 or len(set(cells[there, r])) < 2:
+            assert np.isnan(got[:, r]).all()
+            continue
+        assert set(np.flatnonzero(low[r])) == set(order[grp == 1]) and set(np.flatnonzero(high[r])) == set(order[grp == 5])
+        leg = lambda own: (weights[:, own] * ret[own]).sum(axis=1) / weights[:, own].sum(axis=1)
+        assert np.allclose(got[:, r], leg(order[grp == 5]) - leg(order[grp == 1]), rtol=1e-12)
