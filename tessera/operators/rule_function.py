@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
@@ -10,6 +12,15 @@ from ..deploy import ship
 from . import rules
 
 
+@cache
+def _kernel(rule_id: int) -> rules.Kernel:
+    """The rule made ready, once for all entities of a worker."""
+    chosen = next((r for r in rules.manifest() if r.rule_id == rule_id), None)
+    if chosen is None:
+        raise ValueError(f"no rule {rule_id}")
+    return rules.Kernel([chosen])
+
+
 class RulePositions:
     """Daily positions of the rule with a number of the manifest, over one entity's rows in order of date."""
 
@@ -23,11 +34,8 @@ class RulePositions:
     def terminate(self):
         if not self.rows:
             return
-        chosen = next((r for r in rules.manifest() if r.rule_id == self.rule), None)
-        if chosen is None:
-            raise ValueError(f"no rule {self.rule}")
         number = lambda i: np.array([np.nan if r[i] is None else float(r[i]) for r in self.rows])
-        for (entity, date, *_), pos in zip(self.rows, rules.evaluate(number(2), number(3), [chosen])[:, 0]):
+        for (entity, date, *_), pos in zip(self.rows, _kernel(self.rule).positions(number(2), number(3))[:, 0]):
             yield entity, date, self.rule, int(pos)
 
 

@@ -125,3 +125,9 @@ def test_legs_by_counts_are_those_by_sorting():
         assert set(np.flatnonzero(low[r])) == set(order[grp == 1]) and set(np.flatnonzero(high[r])) == set(order[grp == 5])
         leg = lambda own: (weights[:, own] * ret[own]).sum(axis=1) / weights[:, own].sum(axis=1)
         assert np.allclose(got[:, r], leg(order[grp == 5]) - leg(order[grp == 1]), rtol=1e-12)
+
+
+def test_the_table_functions_rule_is_made_ready_once():
+    from tessera.operators import rule_function
+
+    assert rule_function._kernel(17) is rule_function._kernel(17)
