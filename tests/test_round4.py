@@ -65,3 +65,13 @@ def test_rule_high_low_with_an_open_at_a_half(spark, cut):
 
 def test_rule_sharpe_summary_with_an_open_at_a_half(spark, cut):
     same(spark, cut("lineitem", TIED), "rule_sharpe_summary")
+
+
+def test_daily_bars_are_shuffled_once(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.expr import compounded
+    from tessera.sources.panels import su_daily
+
+    d = su_daily(spark, SF).withColumn("ahead", compounded("ret", 1, 5)).groupBy("entity").agg(F.max("ahead"))
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
