@@ -131,3 +131,26 @@ def test_the_table_functions_rule_is_made_ready_once():
     from tessera.operators import rule_function
 
     assert rule_function._kernel(17) is rule_function._kernel(17)
+
+
+def test_pooled_fits_from_rows_that_the_caller_holds(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import regress
+
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame([(int(k % 7), float(rng.integers(0, 2)), float(rng.normal()), float(rng.normal())) for k in range(300)], "entity long, y double, a double, b double")
+    models = {"one": ("y", ["a"]), "two": ("y", ["a", "b"])}
+    bench = spark.createDataFrame([(e, 0.3 + e / 20) for e in range(6)], "entity long, p_bench double")
+    want = regress.pooled_fits(regress.with_benchmark(regress.stacked(d, models, ("entity",)), bench))
+    both = d.join(bench, "entity", "left")
+    asked = []
+
+    def rows(names):
+        asked.append(names)
+        return regress.stacked(both, {m: models[m] for m in names or models}, ("entity",), None, dict.fromkeys(models, "p_bench"))
+
+    got = regress.pooled_fits(rows)
+    assert asked[0] is None and len(asked) > 2
+    for m in models:
+        assert np.allclose(got[m].beta, want[m].beta, atol=1e-9) and got[m].unseen == want[m].unseen > 0 and np.isclose(got[m].ll_bench, want[m].ll_bench)
