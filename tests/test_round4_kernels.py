@@ -154,3 +154,19 @@ def test_pooled_fits_from_rows_that_the_caller_holds(spark):
     assert asked[0] is None and len(asked) > 2
     for m in models:
         assert np.allclose(got[m].beta, want[m].beta, atol=1e-9) and got[m].unseen == want[m].unseen > 0 and np.isclose(got[m].ll_bench, want[m].ll_bench)
+
+
+def test_models_rows_meet_by_date_without_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import regress
+    from tessera.plans import tables
+
+    d = spark.range(400).select(F.expr("date_add(date'2020-01-01', cast(id % 3 as int))").alias("date"), (F.col("id") % 2).cast("double").alias("y"), F.rand(1).alias("a"), F.rand(2).alias("b"))
+    models = {"one": ("y", ["a"]), "two": ("y", ["a", "b"])}
+    held = tables._by_date(d)
+    held.count()
+    out = regress.logits_by_date(regress.stacked(held, models, ("date",)), {m: xs for m, (_, xs) in models.items()})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("InMemoryTableScan")] and out.count() == 3 * 2 + 3 * 3
+    held.unpersist()
