@@ -170,3 +170,17 @@ def test_models_rows_meet_by_date_without_a_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("InMemoryTableScan")] and out.count() == 3 * 2 + 3 * 3
     held.unpersist()
+
+
+def test_the_market_meets_a_panel_without_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import signals
+
+    d = spark.range(50).select(F.lit(1).cast("long").alias("entity"), F.expr("date_add(date'2020-01-01', cast(id as int))").alias("date"), F.rand(1).alias("ret"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = signals.rolling_beta(d, d.groupBy("date").agg(F.avg("ret").alias("mkt_ret")), 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
