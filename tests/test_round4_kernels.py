@@ -184,3 +184,13 @@ def test_the_market_meets_a_panel_without_a_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_rank_correlations_shuffle_a_row_a_name_and_not_each_pair(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.plans import tables
+
+    d = spark.range(90).select(F.expr("date_add(date'2020-01-01', cast(id % 2 as int))").alias("date"), *(F.rand(i).alias(c) for i, c in enumerate([f"p{w}" for w, _ in tables.CHARTS] + ["mom", "beta"])))
+    plan = tables.rank_correlations(d, ("mom", "beta"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [date" in plan
