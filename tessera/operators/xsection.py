@@ -67,13 +67,13 @@ def ranked_in_ranges(panel: DataFrame, signal: str, by: tuple[str, ...] = ("date
     than a task should sort; NULL for NULL.
 
     Values are counted first, so a value that most names share is one row. Approximate quantiles cut a cross-section's
-    values into ranges (any cuts give the same ranks: a value lies in one range whole); ranges are counted, a value's
-    place inside its range is a running sum there, and what lies in the ranges before it is added.
+    values into ranges (any cuts give the same ranks: a value lies in one range whole). They depend on the order in which
+    sketches merge and are read twice, so they are made once and held, a row a date; ranges are counted, a value's place inside its range is a running sum there, and what lies in the ranges before it is added.
     """
     value = finite(signal)
     d = panel.withColumn("__v", value)
     counts = d.where("__v is not null").groupBy(*by, "__v").agg(F.count("*").alias("__n"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("__v", [i / ranges for i in range(1, ranges)], 1000).alias("__cuts"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("__v", [i / ranges for i in range(1, ranges)], 1000).alias("__cuts")).persist()
     # how many cuts lie at or below a value
     counts = counts.join(cuts, list(by)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))).drop("__cuts")
     whole = counts.groupBy(*by, "__range").agg(F.sum("__n").alias("__size"))

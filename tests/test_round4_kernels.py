@@ -194,3 +194,13 @@ def test_rank_correlations_shuffle_a_row_a_name_and_not_each_pair(spark):
     d = spark.range(90).select(F.expr("date_add(date'2020-01-01', cast(id % 2 as int))").alias("date"), *(F.rand(i).alias(c) for i, c in enumerate([f"p{w}" for w, _ in tables.CHARTS] + ["mom", "beta"])))
     plan = tables.rank_correlations(d, ("mom", "beta"))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [date" in plan
+
+
+def test_ranges_of_ranks_have_one_set_of_cuts(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import xsection
+
+    d = spark.range(60).select(F.lit(1).alias("date"), F.rand(1).alias("v"))
+    plan = xsection.ranked_in_ranges(d, "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation [date") == 2
