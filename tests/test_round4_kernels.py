@@ -204,3 +204,10 @@ def test_ranges_of_ranks_have_one_set_of_cuts(spark):
     d = spark.range(60).select(F.lit(1).alias("date"), F.rand(1).alias("v"))
     plan = xsection.ranked_in_ranges(d, "v")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("InMemoryRelation [date") == 2
+
+
+def test_charts_at_a_condition_are_not_joined(spark):
+    from tessera.plans import models
+
+    d = models._charts(spark, "/root/testdata/sf0.001")
+    assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString()
