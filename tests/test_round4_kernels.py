@@ -211,3 +211,10 @@ def test_charts_at_a_condition_are_not_joined(spark):
 
     d = models._charts(spark, "/root/testdata/sf0.001")
     assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pixels_counted_where_charts_are_drawn(spark):
+    from tessera.plans import models
+
+    counted, plain = (models._charts(spark, "/root/testdata/sf0.001", counted=c) for c in (True, False))
+    assert raster.pixel_stats(counted, 5).first() == raster.pixel_stats(plain, 5).first()
